@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.llm import stage
 
@@ -28,6 +29,7 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 SEGMENTS = 3
+_FP = "__fingerprint"
 
 #: For each byte, its bits spread over eight byte lanes, most significant first.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -177,21 +179,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
         stays = stays.groupBy("doc_id").agg(least).select(*[F.col("doc_id") if c == "doc_id" else F.col("r")[c].alias(c) for c in docs.columns])
     nameless = fps.filter("doc_id is null").limit(1).count()
     if nameless:
-        lone = fingerprints_beside(docs.filter("doc_id is null")).join(kinds.filter("component_id is null"), "fp", "left_semi")
-        lone = lone.groupBy("fp").agg(F.min(F.struct(*[c for c in ["text", *[c for c in docs.columns if c != "text"]]])).alias("r"))
+        alone = kinds.filter("component_id is null").select(F.col("fp").alias(_FP))
+        lone = fingerprints_beside(docs.filter("doc_id is null")).join(alone, _FP, "left_semi")
+        lone = lone.groupBy(_FP).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("r"))
         stays = stays.unionByName(lone.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
     return stays
 
 
 def fingerprints_beside(docs: DataFrame) -> DataFrame:
-    """``docs`` with its fingerprint as a further column ``fp``."""
-    schema = docs.schema.simpleString()[len("struct<") : -1]
+    """``docs`` with its fingerprint as a further column."""
     at = docs.columns.index("text")
 
     def run(batches):
         for b in stage.slices(batches, "text"):
             out = [_signed(fingerprint(t)) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, _FP])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, fp long") if schema else docs
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(_FP, LongType())]))

@@ -77,3 +77,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
                 start, held = k, 0
             held += int(n) + size // 64
         yield batch.slice(start)
+
+
+def sampled(df: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, by the hash of their id: the bounded sample for fitting.
+
+    A threshold on the hash first, from a count of ids alone, keeps what is
+    sorted close to ``most`` rows whatever the size of the table.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.select(id_col).count()
+    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("sample"))
+    if n > 2 * most:
+        df = df.filter(F.pmod(key, F.lit(1_000_000)) < int(1_500_000 * most / n) + 1)
+    return df.orderBy(key).limit(most)
