@@ -3,11 +3,12 @@
 The benchmark is the query set. It is broadcast in blocks of bounded size, so
 one scan of the documents for each block finds every run of ``SEED_WORDS``
 words that a test item also has, and keeps the passage around it. How often
-each seed occurs is counted over all documents. In every window of
-``RARE_WINDOW`` neighbouring seeds of an item the rarest one counts as rare, so
-an item keeps seeds all along its length however common its text is in the
-corpus. Passages with a rare seed are aligned word by word; edited and
-paraphrased copies keep a high score.
+each seed occurs is counted over all documents. A seed is rare if its count is
+at most ``RARE_TIMES`` the median of its item's seeds, so a run of stop words
+that many texts hold by chance is not. Passages with a rare seed, or with two
+seeds of any count (which chance does not give, but an edited copy that is
+itself frequent does), are aligned word by word; edited and paraphrased copies
+keep a high score.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lectern.llm import stage
 
 SEED_WORDS = 4
-RARE_WINDOW = 3
+RARE_TIMES = 2
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Part of an item's best possible score from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -104,11 +105,11 @@ class Block:
                 group = [h]
 
     def rare(self, counts: dict[int, int]) -> list[set[int]]:
-        """For each item the rarest seed of every window of neighbouring seeds."""
+        """For each item its seeds that are no more frequent than its typical ones."""
         out = []
         for seeds in self.seeds:
-            n = max(1, len(seeds) - RARE_WINDOW + 1)
-            out.append({min(seeds[k : k + RARE_WINDOW], key=lambda c: counts.get(c, 0)) for k in range(n)})
+            most = RARE_TIMES * float(np.median([counts.get(c, 0) for c in seeds]))
+            out.append({c for c in seeds if counts.get(c, 0) <= most})
         return out
 
 
@@ -178,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for batch in batches:
                 made = []
                 for doc_id, item, first, passage, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if keep[item].isdisjoint(seeds):
+                    if len(seeds) < 2 and keep[item].isdisjoint(seeds):
                         continue
                     item_id, ws = b.items[item]
                     if len(known) > 100_000:

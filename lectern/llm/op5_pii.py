@@ -221,7 +221,7 @@ class Tagger:
         g["emb"] = emb
         return loss, g
 
-    def fit(self, examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 14, batch: int = 48, rate: float = 0.012, seed: int = 3) -> Tagger:
+    def fit(self, examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 12, batch: int = 32, rate: float = 0.015, seed: int = 3) -> Tagger:
         """Adam from labelled spans (kind, start, end) of texts of at most ``WINDOW`` characters."""
         sym = np.zeros((len(examples), WINDOW), np.int64)
         gold = np.zeros_like(sym)
@@ -256,7 +256,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 # -- labelled spans --------------------------------------------------------
-def labelled_examples(n: int = 1200, seed: int = 19) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_examples(n: int = 900, seed: int = 19) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Made-up windows with labelled spans in many spellings, and look-alikes without."""
     r = np.random.default_rng(seed)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
