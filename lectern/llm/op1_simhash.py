@@ -171,7 +171,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fps = stage.written(fingerprints(docs), "fingerprints")
     kinds = classes(fps)
     kept = stage.written(kinds.filter("component_id is not null").select(F.col("component_id").alias("kept_id")).distinct(), "kept")
-    stays = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    # The kept ids grow with the corpus, so the join is a merge at every size.
+    stays = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
     repeated = fps.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
     if repeated:
         others = [c for c in docs.columns if c != "doc_id"]
