@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from lectern.plans import ingest, registry, search, texts
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+__all__ = ["FLAGSHIP", "ingest", "oracle_sql", "queries", "search", "texts"]
+
+FLAGSHIP = search.rank_metrics
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
