@@ -96,7 +96,8 @@ def resolve_names(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def has_hints(c: Column, keywords: list[str]) -> Column:
     """A year, a keyword, or a capitalised word after the first that is not all capitals."""
-    later = F.slice(F.split(F.trim(c), r"\s+"), 2, 10_000)
+    words = F.split(F.trim(c), r"\s+")
+    later = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(0)))
     name = F.exists(later, lambda w: w.rlike(r"^\p{Lu}") & w.rlike(r"\p{Ll}"))
     return c.rlike(r"\b(?:19|20)\d{2}\b") | T.any_keyword(c, keywords) | name
 

@@ -137,7 +137,7 @@ KEYS = ["the", "que "]
 @query(
     "p8_hints",
     r"""SELECT doc_id, regexp_matches(text, '\b(?:19|20)\d{2}\b') OR contains(lower(text), 'token') OR
-    len(list_filter(list_slice(string_split_regex(trim(text), '\s+'), 2, 10001), lambda w: regexp_matches(w, '^\p{Lu}') AND regexp_matches(w, '\p{Ll}'))) > 0 AS hint FROM documents""",
+    len(list_filter(string_split_regex(trim(text), '\s+')[2:], lambda w: regexp_matches(w, '^\p{Lu}') AND regexp_matches(w, '\p{Ll}'))) > 0 AS hint FROM documents""",
 )
 def hints(spark, d):
     return _docs(spark, d).select("doc_id", P.has_hints(F.col("text"), ["token"]).alias("hint"))
