@@ -144,13 +144,14 @@ def relevant_windows(text: Column, query: Column, size: int = 800, most: int = 3
     flat = T.normalize_tr(text)
     any_word = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
     cut = F.split(flat, F.concat(F.lit("(?="), any_word, F.lit(")")))
-    at_start = F.exists(words, lambda w: F.startswith(flat, w))
+    at_start = F.regexp_like(flat, F.concat(F.lit("^(?:"), any_word, F.lit(")")))
     pieces = F.transform(cut, lambda p, k: F.struct(F.length(p).alias("n"), ((k > 0) | at_start).alias("hit")))
     span = "struct<a:int,b:int>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
     def mark(s: Column, p: Column) -> Column:
-        a, b = F.greatest(F.lit(0), s["at"] - size), F.least(F.length(text), s["at"] + size)
+        # Ends are cut to the text's length once the windows are merged; measuring it here would read the text at each hit.
+        a, b = F.greatest(F.lit(0), s["at"] - size), s["at"] + size
         last = F.get(s["spans"], F.size(s["spans"]) - 1)
         joins = last.isNotNull() & (a <= last["b"])
         longer = F.concat(F.slice(s["spans"], 1, F.greatest(F.size(s["spans"]) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], b).alias("b"))))
@@ -166,7 +167,8 @@ def relevant_windows(text: Column, query: Column, size: int = 800, most: int = 3
         parts = F.when(s["full"] | part.isNull(), s["parts"]).otherwise(F.concat(s["parts"], F.array(part)))
         return F.struct(F.when(s["full"] | over, s["n"]).otherwise(s["n"] + n).alias("n"), (s["full"] | over).alias("full"), parts.alias("parts"))
 
-    spans = F.aggregate(pieces, start, mark, lambda s: s["spans"])
+    marked = F.aggregate(pieces, start, mark, lambda s: s["spans"])
+    spans = F.transform(marked, lambda w: F.struct(w["a"].alias("a"), F.least(w["b"], F.length(text)).alias("b")))
     shown = F.array_join(F.aggregate(spans, empty, take, lambda s: s["parts"]), "\n[...]\n")
-    hit = F.exists(words, lambda w: F.contains(flat, w))
+    hit = (F.size(words) > 0) & F.regexp_like(flat, any_word)
     return F.when(hit, shown).otherwise(F.substring(text, 1, most))
