@@ -115,15 +115,16 @@ def token_overlap(retrieved: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def page_metrics(retrieved: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Page matching: a hit shares a page key with the query's, recall is over distinct keys."""
+    """Page matching: a hit shares a page key with the query's, recall is over distinct keys, NDCG's ideal has one hit for each key."""
     rel = relevant.select("query_id", "document_id", F.explode("pages").alias("page")).distinct()
     n_rel = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     keys = retrieved.filter(F.col("rank") <= k).select("query_id", "rank", "document_id", F.explode("pages").alias("page"))
     found = keys.join(rel, ["query_id", "document_id", "page"], "left_semi")
-    got = found.groupBy("query_id").agg(F.countDistinct("rank").alias("n_hit"), F.countDistinct("document_id", "page").alias("n_found"), F.min("rank").alias("first"))
-    return n_rel.join(got, "query_id", "left").select(
-        "query_id", (F.coalesce("n_hit", F.lit(0)) / k).alias("precision"), (F.coalesce("n_found", F.lit(0)) / F.col("n_rel")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr")
-    )
+    ranks = found.groupBy("query_id", "rank").agg(F.lit(1).alias("hit"))
+    keyed = found.groupBy("query_id").agg(F.countDistinct("document_id", "page").alias("n_found"))
+    scored = rank_metrics(ranks, n_rel, k).drop("recall")
+    recall = F.coalesce("n_found", F.lit(0)) / F.col("n_rel")
+    return scored.join(n_rel, "query_id").join(keyed, "query_id", "left").select("query_id", "precision", recall.alias("recall"), "hit_rate", "mrr", "ndcg")
 
 
 def regressions(now: DataFrame, golden: DataFrame, columns: list[str], most: float = 1.0) -> DataFrame:

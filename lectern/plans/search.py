@@ -231,14 +231,16 @@ def retrieve_with_year(spark, d):
 @query(
     "e15_page_metrics",
     f"""WITH {HITS}, rp AS (SELECT DISTINCT query_id, unnest([query_id % 7, (query_id + 1) % 7]) AS page FROM q), h AS (SELECT query_id, rank, unnest([chunk_id % 7, chunk_id % 5]) AS page FROM hits WHERE rank <= 10),
-    f AS (SELECT h.query_id, count(DISTINCT rank) AS a, count(DISTINCT page) AS b, min(rank) AS c FROM h JOIN rp USING (query_id, page) GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM rp GROUP BY 1)
-    SELECT query_id, round(coalesce(a, 0) / 10.0::DOUBLE, 6) AS precision, round(coalesce(b, 0) / n::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / c, 0), 6) AS mrr FROM n LEFT JOIN f USING (query_id)""",
+    f AS (SELECT h.query_id, count(DISTINCT rank) AS a, count(DISTINCT page) AS b, min(rank) AS c FROM h JOIN rp USING (query_id, page) GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM rp GROUP BY 1),
+    g AS (SELECT query_id, sum(1 / log2(rank + 1)) AS g FROM (SELECT DISTINCT query_id, rank FROM h JOIN rp USING (query_id, page)) GROUP BY 1)
+    SELECT query_id, round(coalesce(a, 0) / 10.0::DOUBLE, 6) AS precision, round(coalesce(b, 0) / n::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / c, 0), 6) AS mrr, (coalesce(a, 0) > 0)::INT AS hit_rate,
+    round(coalesce(g, 0) / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN f USING (query_id) LEFT JOIN g USING (query_id)""",
 )
 def page_metrics(spark, d):
     page = lambda c, m: (F.col(c) % m).cast("long")
     hits = _hits(spark, d).select("query_id", "rank", F.lit("d").alias("document_id"), F.array(page("chunk_id", 7), page("chunk_id", 5)).alias("pages"))
     rel = _queries(spark, d).select("query_id", F.lit("d").alias("document_id"), F.array(page("query_id", 7), ((F.col("query_id") + 1) % 7).cast("long")).alias("pages"))
-    return M.page_metrics(hits, rel, 10).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")])
+    return M.page_metrics(hits, rel, 10).select("query_id", "hit_rate", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr", "ndcg")])
 
 
 @query("f12_f13_vectors", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-9), 6) AS cos,
