@@ -117,7 +117,8 @@ class SwapRegularised:
 
 def _pairs(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return rows, np.array([c for x in lists for c in sorted(x)], np.int64)
+    parts = [np.sort(np.asarray(x, np.int32)) for x in lists]
+    return rows, np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def held_out(column: str = "doc_id"):
@@ -126,16 +127,27 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> SwapRegularised | None:
-    """Fit on at most ``most`` labelled documents that are not held out; None without both labels."""
+    """Fit on at most ``most`` labelled documents that are not held out; None without both labels.
+
+    The model sees a text only as the set of its words, so that is what the
+    driver gets of each, however long the text.
+    """
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out())
     usable = usable.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(stage.sampled(usable, "rated_id", most))  # ``most`` rows bound it
     docs = docs.select("doc_id", "text")
-    rows = docs.join(chosen, docs["doc_id"] == chosen["rated_id"]).select("rated_id", "toxic", "text")
-    got = rows.toPandas().sort_values(["rated_id", "text"], ignore_index=True).head(most)
+    rows = docs.join(chosen, docs["doc_id"] == chosen["rated_id"]).select(docs["doc_id"].cast("long").alias("doc_id"), "toxic", "text")
+
+    def run(batches):
+        for b in stage.slices(batches, "text"):
+            held = [" ".join(sorted(words(t))) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held)], names=["doc_id", "toxic", "held"])
+
+    got = stage.map_batches(rows, run, "doc_id long, toxic int, held string").toPandas()
+    got = got.sort_values(["doc_id", "held"], ignore_index=True).head(most)
     if got.toxic.nunique() < 2:
         return None
-    return SwapRegularised.fit(got.text.tolist(), got.toxic.tolist())
+    return SwapRegularised.fit(got.held.tolist(), got.toxic.tolist())
 
 
 def toxicity(docs: DataFrame, model: SwapRegularised | None) -> DataFrame:
