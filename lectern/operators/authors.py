@@ -64,31 +64,10 @@ def detect(document_type: Column, text: Column) -> Column:
     )
 
 
-def _ends(n: Column, starts: Column) -> Column:
-    """(first, count) of each chunk from the positions at which chunks start."""
-    return F.transform(starts, lambda s, k: F.struct(s.alias("first"), (F.coalesce(F.get(starts, k + 1), n) - s).alias("count")))
-
-
-def _fold(sizes: Column, least: int, most: int, join: int, soft) -> Column:
-    """Where chunks start; a start is written only where a chunk closes, so the fold is linear in atoms."""
-    state = F.struct(F.lit(-1).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(s: Column, a: Column) -> Column:
-        new = (s["size"] < 0) | ((s["size"] >= least) & (soft(a) | (s["size"] + join + a["n"] > most)))
-        size = F.when(new, a["n"]).otherwise(s["size"] + join + a["n"])
-        return F.struct(size.alias("size"), (s["at"] + 1).alias("at"), F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"))
-
-    return F.aggregate(sizes, state, step, lambda s: s["starts"])
-
-
-def _chunks(docs: DataFrame, least: int, most: int, join: str, soft) -> DataFrame:
+def _chunks(docs: DataFrame, least: int, most: int, join: str, soft=lambda a: F.lit(False)) -> DataFrame:
     """(doc_id, chunk, atoms) of documents with an array ``atoms`` in order."""
     sizes = F.transform("atoms", lambda a: a.withField("n", F.length(a["text"])))
-    cut = docs.select("doc_id", "atoms", _fold(sizes, least, most, len(join), soft).alias("starts"))
-    cut = cut.select("doc_id", "atoms", _ends(F.size("atoms"), F.col("starts")).alias("cuts"))
-    # Two references keep the slices out of the explode's own argument.
-    held = cut.filter(F.size("cuts") > 0).select("doc_id", "atoms", F.posexplode("cuts").alias("chunk", "c"))
-    return held.select("doc_id", "chunk", F.slice("atoms", F.col("c.first") + 1, F.col("c.count")).alias("atoms"))
+    return C.cut(docs, C.chunk_starts(sizes, least, most, len(join), lambda a: a["n"], soft))
 
 
 def _text(atoms: Column, join: str) -> Column:
@@ -114,7 +93,7 @@ def pack_pages(docs: DataFrame, least: int, most: int, join: str = "\n\n") -> Da
     it past ``most``. Its pages are those of its atoms, its page the first. A
     document without atoms has no chunk.
     """
-    packed = _chunks(docs, least, most, join, lambda a: F.lit(False)).withColumn("pages", _pages(F.col("atoms")))
+    packed = _chunks(docs, least, most, join).withColumn("pages", _pages(F.col("atoms")))
     return packed.select("doc_id", "chunk", _text(F.col("atoms"), join).alias("text"), F.get("pages", F.lit(0)).alias("page"), "pages")
 
 

@@ -12,30 +12,41 @@ def atoms(docs: DataFrame, separator: str = "\n") -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("pos", "text"))
 
 
-def greedy_sizes(sizes: Column, least: int, most: int, join: int = 2) -> Column:
-    """The chunk number of each atom, folded over their sizes in order.
+def chunk_starts(atoms: Column, least: int, most: int, join: int = 2, size=lambda a: a, soft=lambda a: F.lit(False)) -> Column:
+    """The positions of the atoms that open a chunk, folded over their sizes in order.
 
-    A chunk closes only if it has ``least`` characters and the next atom would
-    take it past ``most``; so ``most`` is soft.
+    A chunk closes only if it has ``least`` and the next atom would take it past
+    ``most``, or is one that ``soft`` closes at; so ``most`` is soft. A position
+    is written only where a chunk opens, so the fold copies no array at every atom.
     """
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(-1).alias("size"), F.array().cast("array<int>").alias("of"))
+    state = F.struct(F.lit(-1).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
-    def step(s: Column, n: Column) -> Column:
-        close = (s["size"] >= least) & (s["size"] + join + n > most)
-        chunk = F.when(close, s["chunk"] + 1).otherwise(s["chunk"])
-        size = F.when(close | (s["size"] < 0), n).otherwise(s["size"] + join + n)
-        return F.struct(chunk.alias("chunk"), size.alias("size"), F.concat(s["of"], F.array(chunk)).alias("of"))
+    def step(s: Column, a: Column) -> Column:
+        new = (s["size"] < 0) | ((s["size"] >= least) & (soft(a) | (s["size"] + join + size(a) > most)))
+        now = F.when(new, size(a)).otherwise(s["size"] + join + size(a))
+        return F.struct(now.alias("size"), (s["at"] + 1).alias("at"), F.when(new, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"))
 
-    return F.aggregate(sizes, start, step, lambda s: s["of"])
+    return F.aggregate(atoms, state, step, lambda s: s["starts"])
+
+
+def cut(docs: DataFrame, starts: Column) -> DataFrame:
+    """(doc_id, chunk, atoms): the slices of each document's array ``atoms`` from one start to the next.
+
+    The slices are made before the explode, which then copies no document once
+    for each chunk; nothing is shuffled.
+    """
+    held = docs.select("doc_id", "atoms", starts.alias("starts"))
+    ends = F.transform("starts", lambda s, k: F.struct((s + 1).alias("first"), (F.coalesce(F.get("starts", k + 1), F.size("atoms")) - s).alias("count")))
+    held = held.select("doc_id", "atoms", ends.alias("cuts"))
+    parts = F.transform("cuts", lambda c: F.slice("atoms", c["first"], c["count"]))
+    return held.select("doc_id", F.posexplode(parts).alias("chunk", "atoms"))
 
 
 def greedy_pack(docs: DataFrame, least: int = 400, most: int = 1500) -> DataFrame:
     """(doc_id, chunk, text, n_atoms): greedy packing of a document's lines."""
-    parts = docs.select("doc_id", F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "").alias("parts"))
-    packed = parts.select("doc_id", F.posexplode(F.arrays_zip("parts", greedy_sizes(F.transform("parts", F.length), least, most).alias("chunk"))).alias("pos", "a"))
-    rows = packed.select("doc_id", "pos", F.col("a.parts").alias("atom"), F.col("a.chunk").alias("chunk"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "atom"))), lambda x: x["atom"]), "\n\n")
-    return rows.groupBy("doc_id", "chunk").agg(text.alias("text"), F.count("*").alias("n_atoms"))
+    lines = docs.select("doc_id", F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "").alias("atoms"))
+    packed = cut(lines, chunk_starts(F.transform("atoms", lambda a: F.length(a)), least, most))
+    return packed.select("doc_id", "chunk", F.array_join("atoms", "\n\n").alias("text"), F.size("atoms").cast("long").alias("n_atoms"))
 
 
 def fixed_windows(docs: DataFrame, size: int = 1500) -> DataFrame:

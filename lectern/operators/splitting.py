@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import chunking as C
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 FLUSH_CHARS = 4_000_000
@@ -103,33 +104,22 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def merge_groups(sizes: Column, least: int) -> Column:
-    """The merged chunk's number of each chunk: one with under ``least`` tokens takes in the next."""
-    start = F.struct(F.lit(0).alias("group"), F.lit(-1).alias("size"), F.array().cast("array<int>").alias("of"))
-
-    def step(s: Column, n: Column) -> Column:
-        close = s["size"] >= least
-        group = F.when(close, s["group"] + 1).otherwise(s["group"])
-        size = F.when(close | (s["size"] < 0), n).otherwise(s["size"] + n)
-        return F.struct(group.alias("group"), size.alias("size"), F.concat(s["of"], F.array(group)).alias("of"))
-
-    return F.aggregate(sizes, start, step, lambda s: s["of"])
-
-
 def min_token_merge(chunks: DataFrame, least: int) -> DataFrame:
-    """(doc_id, chunk, text, char_start, char_end, n_merged): small chunks joined with those after them.
+    """(doc_id, chunk, text, char_start, char_end, n_merged): a chunk of under ``least`` tokens takes in those after it.
 
-    A document's chunk sizes are folded; texts are joined only within the
-    merged chunks, which ``least`` bounds.
+    A document's chunks are brought together once; they were one text before,
+    and are sliced where they stand.
     """
-    n = F.size(T.tokens(F.col("text")))
-    order = F.array_sort(F.collect_list(F.struct("chunk", n.alias("n"))))
-    sizes = chunks.groupBy("doc_id").agg(order.alias("c"))
-    groups = sizes.select("doc_id", F.explode(F.arrays_zip(F.col("c.chunk").alias("chunk"), merge_groups(F.col("c.n"), least).alias("group"))).alias("g"))
-    named = chunks.join(groups.select("doc_id", "g.chunk", "g.group"), ["doc_id", "chunk"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "\n\n")
-    out = named.groupBy("doc_id", "group").agg(text.alias("text"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.count("*").alias("n_merged"))
-    return out.withColumnRenamed("group", "chunk")
+    n = F.size(T.tokens(F.col("text"))).alias("n")
+    atoms = F.array_sort(F.collect_list(F.struct("chunk", "text", "char_start", "char_end", n)))
+    docs = chunks.groupBy("doc_id").agg(atoms.alias("atoms"))
+    # With no upper size a chunk closes as soon as it has enough.
+    merged = C.cut(docs, C.chunk_starts(F.col("atoms"), least, -1, 0, lambda a: a["n"]))
+    return merged.select(
+        "doc_id", "chunk", F.array_join(F.transform("atoms", lambda a: a["text"]), "\n\n").alias("text"),
+        F.array_min(F.transform("atoms", lambda a: a["char_start"])).alias("char_start"), F.array_max(F.transform("atoms", lambda a: a["char_end"])).alias("char_end"),
+        F.size("atoms").cast("long").alias("n_merged"),
+    )
 
 
 def relevant_windows(text: Column, query: Column, size: int = 800, most: int = 3000, least_rest: int = 200) -> Column:
