@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import answers as A
+from lectern.functions import metadata as D
 from lectern.functions import text as T
+from lectern.operators import splitting as S
 
 # Rows to fetch, and to hold as primary and reserve, by kind of question.
 BUDGETS = {
@@ -152,3 +154,21 @@ def comparison(per_query: DataFrame, metrics: list[str], by: str, names: list[st
     """A row for each metric with its mean in a column for each of ``names``."""
     long = per_query.unpivot([by], metrics, "metric", "value")
     return long.groupBy("metric").pivot(by, names).agg(F.avg("value"))
+
+
+def expanded_query(query: Column, expansion: Column) -> Column:
+    """A query with what a model added to it, unless that is nothing new."""
+    return F.when((expansion != "") & (expansion != query), F.trim(F.concat(query, F.lit(" "), expansion))).otherwise(query)
+
+
+def agent_rows(hits: DataFrame, collection: str, labels: list[tuple[str, str]]) -> DataFrame:
+    """Hits as an agent reads them: the parts near the query's words under a line of labelled metadata.
+
+    ``hits`` have query, text, metadata, distance and rerank_score. Older
+    metadata keys get their present names, the collection is noted, and a
+    rerank score replaces the distance by what it lacks of one.
+    """
+    meta = D.canonical(F.col("metadata"))
+    named = hits.withColumns({"metadata": meta, "collection": F.lit(collection), "distance": F.coalesce(1 - F.col("rerank_score"), F.col("distance"))})
+    line = T.prefix_line([(label, F.try_element_at("metadata", F.lit(key))) for label, key in labels])
+    return named.withColumn("text", F.concat(line, S.relevant_windows(F.col("text"), F.col("query"))))

@@ -49,11 +49,12 @@ def greedy_pack(docs: DataFrame, least: int = 400, most: int = 1500) -> DataFram
     return packed.select("doc_id", "chunk", F.array_join("atoms", "\n\n").alias("text"), F.size("atoms").cast("long").alias("n_atoms"))
 
 
-def fixed_windows(docs: DataFrame, size: int = 1500) -> DataFrame:
-    """Non-overlapping windows of ``size`` characters."""
+def fixed_windows(docs: DataFrame, size: int = 1500, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Non-overlapping windows of ``size`` characters, with the columns in ``keep`` of their document."""
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(size))
-    rows = docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(starts).alias("char_start"))
-    return rows.select("doc_id", "char_start", F.expr(f"substring(text, char_start + 1, {size})").alias("text"))
+    windows = F.transform(starts, lambda a: F.struct(a.alias("char_start"), F.col("text").substr(a + 1, F.lit(size)).alias("text")))
+    rows = docs.filter(F.length("text") > 0).select("doc_id", *keep, F.explode(windows).alias("w"))
+    return rows.select("doc_id", *keep, "w.char_start", "w.text")
 
 
 def spans(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import answers as A
 from lectern.functions import text as T
+from lectern.operators import agents as G
 from lectern.operators import metrics as M
+from lectern.operators.retrieval import QUERY_BLOCK
+
+# What a judge scores.
+DIMENSIONS = ("faithfulness", "groundedness", "relevance", "citation_quality")
 
 
 def matcher(pages: Column, spans: Column, excerpts: Column, records: Column, chunk_ids: Column) -> Column:
@@ -75,6 +83,41 @@ def by_matcher(retrieved: DataFrame, golden: DataFrame, k: int, threshold: float
     return all_queries.join(rows, "query_id", "left")
 
 
+def judged(first: Column, second: Column, most: float = 1.0) -> Column:
+    """The mean of two runs of a judge in each dimension, and whether any differs by more than ``most``.
+
+    Runs are JSON texts, fenced or not; an absent dimension, or all of a broken
+    run's, count as 0. The rationale is the first run's.
+    """
+    runs = [A.extract_json(c) for c in (first, second)]
+    value = lambda r, k: F.coalesce(F.get_json_object(r, f"$.{k}").try_cast("double"), F.lit(0.0))
+    pairs = {k: [value(r, k) for r in runs] for k in DIMENSIONS}
+    noisy = F.greatest(*[F.abs(a - b) for a, b in pairs.values()]) > most
+    means = [F.bround((a + b) / 2, 2).alias(k) for k, (a, b) in pairs.items()]
+    return F.struct(*means, F.coalesce(F.get_json_object(runs[0], "$.rationale"), F.lit("")).alias("rationale"), noisy.alias("noisy"))
+
+
+def layers(retrieved: DataFrame, golden: DataFrame, k: int, most_distance: float = 1.8) -> DataFrame:
+    """One row for each query: rank metrics, routing and date accuracy, and what reached the context.
+
+    ``retrieved`` has query_id, rank, document_id and distance; ``golden``
+    query_id, query, relevant_ids, is_minutes, expected_source, expected_year.
+    An unknown distance reaches the context.
+    """
+    marked = retrieved.join(golden.select("query_id", "relevant_ids"), "query_id")
+    hit = F.coalesce(F.array_contains("relevant_ids", F.col("document_id")), F.lit(False))
+    ranks = M.rank_metrics(marked.select("query_id", "rank", hit.cast("int").alias("hit")), golden.select("query_id", F.coalesce(F.size(F.array_distinct("relevant_ids")), F.lit(0)).alias("n_rel")), k)
+    near = F.when(F.col("distance").isNull() | (F.col("distance") <= most_distance), F.col("document_id"))
+    # Only relevant documents can count, so no more than those are gathered.
+    included = marked.filter(hit).groupBy("query_id").agg(F.collect_set(near).alias("included"))
+    rows = golden.join(ranks, "query_id").join(included, "query_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        *ranks.columns, G.routing_accuracy(F.col("is_minutes"), F.col("expected_source")).alias("routing_acc"), G.date_accuracy(F.col("query"), F.col("expected_year")).alias("date_acc"),
+        G.context_share(F.coalesce("relevant_ids", none), F.coalesce("included", none)).alias("context_coverage"),
+    )
+
+
 def fixture_counts(golden: DataFrame) -> DataFrame:
     """One row: how many queries there are, and how many have spans and chunk ids."""
     return golden.agg(
@@ -107,13 +150,16 @@ def window_bench(queries: DataFrame, chunks: DataFrame, relevant: DataFrame, k:
     ``queries`` (query_id, qvec) are a stated set; ``chunks`` (max_tokens,
     chunk, vec) hold each window's vectors. ``relevant`` (query_id, chunk) may
     lack a query, whose nearest chunk then counts as relevant. Queries are
-    broadcast, and each partition keeps a query's sums and its best rows only:
+    broadcast in blocks of ``QUERY_BLOCK``, and each partition keeps a query's sums and its best rows only:
     a relevant chunk's rank is a count of the chunks before it.
     """
     # The truth is a part of the stated set, so it goes along with its query.
     truth = relevant.groupBy("query_id").agg(F.collect_set("chunk").alias("truth"))
     side = queries.join(truth, "query_id", "left").select("query_id", "truth", T.doubles(F.col("qvec")).alias("q"))
-    pairs = chunks.join(F.broadcast(side)).withColumn("cos", F.round(T.cosine(F.col("q"), T.doubles(F.col("vec"))), 12)).drop("q", "vec")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = [side if blocks == 1 else side.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    met = reduce(DataFrame.unionByName, [chunks.join(F.broadcast(p)) for p in parts])
+    pairs = met.withColumn("cos", F.round(T.cosine(F.col("q"), T.doubles(F.col("vec"))), 12)).drop("q", "vec")
     keys = ["max_tokens", "query_id"]
     w = Window.partitionBy(*keys).orderBy(F.desc("cos"), "chunk")
     top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(k, near))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import answers as A
 from lectern.operators import retrieval as R
 
 # What a plan's fields may hold; the first is what others become.
@@ -93,6 +94,23 @@ def _quoted(c: Column, path: str) -> Column:
     return F.coalesce(kind == "STRING", F.lit(False))
 
 
+def verdict(output: Column, answer: Column) -> Column:
+    """A validator's output as (passes, ran, issues, corrected_answer); a broken one passes and says it did not run.
+
+    A correction counts only for an answer that fails, and only if it differs.
+    """
+    found = A.extract_json(output)
+    kind = F.schema_of_variant(F.try_parse_json(found))
+    ran = F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
+    passes = ~ran | F.coalesce(F.get_json_object(found, "$.passes") != "false", F.lit(True))
+    fixed = F.get_json_object(found, "$.corrected_answer")
+    issues = F.when(ran, F.from_json(F.get_json_object(found, "$.issues"), "array<string>")).otherwise(F.array(F.lit("Validation skipped")))
+    return F.struct(
+        passes.alias("passes"), ran.alias("ran"), F.coalesce(issues, F.array().cast("array<string>")).alias("issues"),
+        F.when(~passes & (F.trim(fixed) != F.trim(answer)), fixed).alias("corrected_answer"),
+    )
+
+
 def merged_context(results: list[DataFrame], max_chars: int, most_distance: float, total: int) -> DataFrame:
     """One context for each query from several result lists, in the order of the lists.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import metadata as D
+from lectern.operators import agents as G
 from lectern.operators import authors as U
 from lectern.operators import chunking as C
 from lectern.operators import evaluation as E
@@ -116,7 +117,7 @@ def chunk_tags(spark, d):
 def press_chunks(spark, d):
     none = F.lit(None).cast("string")
     docs = table(spark, d, "documents").select("doc_id", "text", U.press_header(F.col("source"), none, none, F.col("lang")).alias("header"))
-    windows = C.fixed_windows(docs).join(docs.select("doc_id", "header"), "doc_id").withColumn("char_end", F.col("char_start") + F.length("text"))
+    windows = C.fixed_windows(docs, keep=("header",)).withColumn("char_end", F.col("char_start") + F.length("text"))
     return U.press_chunks(windows, F.col("header")).select("doc_id", "char_start", F.md5("text").alias("h"))
 
 
@@ -313,6 +314,63 @@ def contexts(spark, d):
     return H.cited_context(rows).join(merged.select("query_id", F.md5("context").alias("merged")), "query_id", "left").select("query_id", F.md5("context").alias("cited"), "merged")
 
 
+@query(
+    "e20_judged",
+    """SELECT doc_id, round((q + t) / 2.0::DOUBLE, 2) AS faithfulness, round(q / 2.0::DOUBLE, 2) AS relevance, abs(q - t) > 1 OR q > 1 AS noisy FROM (SELECT doc_id, doc_id % 5 AS q, coalesce(toxic, 0) * 3 AS t FROM labels)""",
+)
+def judged(spark, d):
+    """Two runs of a judge for each labelled document; the second lacks a dimension."""
+    score = lambda **kv: F.to_json(F.struct(*[v.alias(k) for k, v in kv.items()]))
+    q, t = F.col("doc_id") % 5, F.coalesce("toxic", F.lit(0)) * 3
+    runs = table(spark, d, "labels").select("doc_id", E.judged(F.concat(F.lit("```json\n"), score(faithfulness=q, relevance=q), F.lit("\n```")), score(faithfulness=t)).alias("j"))
+    return runs.select("doc_id", *[F.col(f"j.{c}").alias(c) for c in ("faithfulness", "relevance", "noisy")])
+
+
+@query(
+    "o5_verdicts",
+    "SELECT conv_id, turn, turn % 4 = 3 OR turn % 3 <> 0 AS passes, turn % 4 <> 3 AS ran, CASE WHEN turn % 4 <> 3 AND turn % 6 = 0 THEN 'fixed' ELSE text END AS answer FROM conversations",
+)
+def verdicts(spark, d):
+    """A validator's output for each turn: failing, broken, or with a correction."""
+    t = F.col("turn")
+    given = F.when(t % 4 == 3, "no json").otherwise(
+        F.concat(F.lit('{"passes": '), F.when(t % 3 == 0, "false").otherwise("true"), F.lit(', "issues": ["x"], "corrected_answer": '), F.when(t % 2 == 0, '"fixed"').otherwise("null"), F.lit("}"))
+    )
+    v = table(spark, d, "conversations").withColumn("v", H.verdict(given, F.col("text")))
+    return v.select("conv_id", "turn", "v.passes", "v.ran", F.coalesce("v.corrected_answer", "text").alias("answer"))
+
+
+@query(
+    "e17_layers",
+    """WITH h AS (SELECT conv_id AS query_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, role, turn % 3 = 0 AS rel, turn % 2 = 0 AS near FROM conversations), n AS (SELECT query_id, count(*) FILTER (rel) AS n FROM h GROUP BY 1)
+    SELECT query_id, count(*) FILTER (rel AND rank <= 5) / 5.0::DOUBLE AS precision, CASE WHEN n > 0 THEN round(count(*) FILTER (rel AND rank <= 5) / n::DOUBLE, 6) ELSE 0 END AS recall, CASE WHEN n > 0 THEN round(count(*) FILTER (rel AND near) / n::DOUBLE, 6) ELSE 1 END AS context_coverage
+    FROM h JOIN n USING (query_id) GROUP BY query_id, n""",
+)
+def layers(spark, d):
+    from pyspark.sql import Window
+
+    c = table(spark, d, "conversations").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    got = c.select(F.col("conv_id").alias("query_id"), "rank", F.col("turn").cast("string").alias("document_id"), F.when(F.col("turn") % 2 == 0, 0.5).otherwise(1.9).alias("distance"))
+    rel = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.collect_set(F.when(F.col("turn") % 3 == 0, F.col("turn").cast("string"))).alias("relevant_ids"))
+    golden = rel.select("query_id", "relevant_ids", F.lit("1997").alias("query"), F.lit(1997).alias("expected_year"), F.lit(True).alias("is_minutes"), F.lit("both").alias("expected_source"))
+    r = E.layers(got, golden, 5)
+    return r.select("query_id", "precision", F.round("recall", 6).alias("recall"), F.round("context_coverage", 6).alias("context_coverage"))
+
+
+@query(
+    "v10_v11_agent_rows",
+    """SELECT doc_id, 'Kaynak: ' || source || ' | Tarih: 1999-01-01' || chr(10) || substring(text, 1, 3000) AS shown, '1999' AS year, 'docs' AS collection, CASE WHEN doc_id % 2 = 0 THEN 0.75 ELSE 0.5 END AS distance,
+    CASE WHEN doc_id % 3 = 0 THEN 'zzzq' ELSE 'zzzq zzzr' END AS expanded FROM documents""",
+)
+def agent_rows(spark, d):
+    """No text holds the query's word, so each shows its start."""
+    k = F.col("doc_id")
+    meta = F.create_map(F.lit("gazete"), F.col("source"), F.lit("tarih"), F.lit("1999-01-01"))
+    rows = table(spark, d, "documents").select("doc_id", F.lit("zzzq").alias("query"), "text", meta.alias("metadata"), F.lit(0.5).alias("distance"), F.when(k % 2 == 0, 0.25).alias("rerank_score"))
+    got = G.agent_rows(rows, "docs", [("Kaynak", "source_name"), ("Tarih", "date")])
+    return got.select("doc_id", F.col("text").alias("shown"), F.col("metadata")["year"].alias("year"), "collection", "distance", G.expanded_query(F.col("query"), F.when(k % 3 == 0, "zzzq").otherwise("zzzr")).alias("expanded"))
+
+
 @query("s12_s13_lookup", "SELECT 'p' || page_id AS chunk_id, url, 'lookup' AS how FROM pages WHERE page_id IN (3, 5) UNION ALL (SELECT 'p' || page_id, url, 'page' FROM pages ORDER BY 1 LIMIT 20 OFFSET 10)")
 def lookups(spark, d):
     chunks = table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("chunk_id"), "url")

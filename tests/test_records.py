@@ -236,3 +236,41 @@ def test_inline_texts(spark):
     df = spark.createDataFrame([("a", {"dokuman_metni": "t"}), ("b", {}), ("c", None)], "document_id string, metadata map<string,string>")
     ok, bad = configs.inline_texts(df)
     assert [r.document_id for r in ok.collect()] == ["a"] and sorted(r.document_id for r in bad.collect()) == ["b", "c"]
+
+
+def test_verdict_fails_open(spark):
+    def v(output, answer="a"):
+        return _one(spark, H.verdict(F.lit(output).cast("string"), F.lit(answer)))
+
+    bad = v('{"passes": false, "issues": ["i"], "corrected_answer": "b"}')
+    assert (bad.passes, bad.ran, bad.issues, bad.corrected_answer) == (False, True, ["i"], "b")
+    assert v('{"passes": false, "corrected_answer": " a "}').corrected_answer is None
+    assert v('{"passes": true, "corrected_answer": "b"}').corrected_answer is None
+    assert v("{}").passes and v("{}").ran and v("{}").issues == []
+    for broken in ("nothing", None, "[1]"):
+        assert (v(broken).passes, v(broken).ran) == (True, False)
+
+
+def test_judged(spark):
+    j = _one(spark, E.judged(F.lit('```json\n{"faithfulness": 5, "relevance": 4, "rationale": "r"}\n```'), F.lit('{"faithfulness": 3, "relevance": 3.5}')))
+    assert (j.faithfulness, j.relevance, j.groundedness, j.rationale, j.noisy) == (4.0, 3.75, 0.0, "r", True)
+    broken = _one(spark, E.judged(F.lit("x"), F.lit(None).cast("string")))
+    assert (broken.faithfulness, broken.noisy) == (0.0, False)
+
+
+def test_layers_keep_queries_without_hits(spark):
+    golden = spark.createDataFrame([(1, "1997", ["a", "b"], True, "minutes", 1997), (2, "x", None, False, "both", None)], "query_id int, query string, relevant_ids array<string>, is_minutes boolean, expected_source string, expected_year int")
+    got = spark.createDataFrame([(1, 1, "a", 1.9), (1, 2, "b", None), (1, 3, "c", 0.1)], "query_id int, rank int, document_id string, distance double")
+    rows = {r.query_id: r for r in E.layers(got, golden, 5).collect()}
+    assert (rows[1].recall, rows[1].context_coverage, rows[1].routing_acc, rows[1].date_acc) == (1.0, 0.5, 1.0, 1.0)
+    assert (rows[2].recall, rows[2].mrr, rows[2].context_coverage) == (0.0, 0.0, 1.0)
+
+
+def test_window_bench_in_blocks(spark, monkeypatch):
+    chunks = spark.createDataFrame([(m, k, [float(k == j) + 0.1 * j for j in range(6)]) for m in (1, 2) for k in range(6)], "max_tokens int, chunk long, vec array<double>")
+    queries = chunks.filter("max_tokens = 1 and chunk < 5").selectExpr("chunk as query_id", "vec as qvec")
+    relevant = spark.createDataFrame([(0, 0), (1, 99)], "query_id long, chunk long")
+    whole = sorted(map(tuple, E.window_bench(queries, chunks, relevant).collect()))
+    assert whole[0][1] == pytest.approx(0.8)  # a query whose truth no window holds scores 0
+    monkeypatch.setattr(E, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, E.window_bench(queries, chunks, relevant).collect())) == whole
