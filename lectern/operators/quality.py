@@ -38,13 +38,38 @@ def outliers_so_far(docs: DataFrame, by: str, value: str, order: str, least: int
     return docs.withColumn("seen", n).withColumn("outlier", F.coalesce((n >= least) & (off > most), F.lit(False)))
 
 
-def vowel_signals(c: Column) -> tuple[Column, Column, Column]:
-    """Word count, words of four letters on with two vowels, and those of them that break vowel harmony."""
-    words = F.regexp_extract_all(T.lower_tr(c), F.lit(r"(?U)\p{L}+"), F.lit(0))
-    vowels = lambda w: F.regexp_replace(w, "[^aıoueiöü]", "")
-    long = F.filter(words, lambda w: (F.length(w) >= 4) & (F.length(vowels(w)) >= 2))
-    mixed = F.filter(long, lambda w: vowels(w).rlike("[aıou]") & vowels(w).rlike("[eiöü]"))
-    return F.size(words), F.size(long), F.size(mixed)
+# Vowels, other letters of Turkish words (a capital dotted i
+# lower-cases to two characters, and a capital dotless one to a dotted i), the
+# remaining letters of words, and what a mix-up of the letters i looks like.
+BACK, FRONT = "aıouAOU", "eiöüEIÖÜ"
+CONSONANTS, OTHERS = "bcçdfgğhjklmnprsştvyzBCÇDFGĞHJKLMNPRSŞTVYZ", "qwxQWXİ"
+CONFUSED = "[a-zçğıöşü][Iİ][a-zçğıöşü]|[A-ZÇĞÖŞÜ][ıi][A-ZÇĞÖŞÜ]"
+
+
+def ocr_signals(c: Column) -> dict[str, Column]:
+    """Counts of words, of those that mix up the letters i, of those with vowels to compare, and of those that break vowel harmony.
+
+    Words to compare are Turkish, of four letters on with two vowels. Letters
+    are first brought to one of each kind (a, e, b, x), so that patterns have
+    small classes; they start at words' starts only, so each is linear in the
+    text however long a word is. Null counts as empty.
+    """
+    kinds = F.translate(c, BACK + FRONT + CONSONANTS + OTHERS, "a" * len(BACK) + "e" * len(FRONT) + "b" * len(CONSONANTS) + "x" * len(OTHERS))
+    letter = f"[{BACK}{FRONT}{CONSONANTS}{OTHERS}]"
+    turkish = "(?<![abex])(?=[abe]{4,}+(?!x))"
+    count = lambda s, p: F.coalesce(F.regexp_count(s, F.lit(p)), F.lit(0))
+    return {
+        "n_words": count(kinds, "[abex]++"),
+        "n_confused": F.when(c.rlike(CONFUSED), count(c, f"(?<!{letter}){letter}*?(?:{CONFUSED}){letter}*+")).otherwise(0),
+        "n_compared": count(kinds, f"{turkish}b*+[ae]b*+[ae][abe]*+"),
+        "n_broken": count(kinds, f"{turkish}b*+(?:a[ab]*+e|e[eb]*+a)[abe]*+"),
+    }
+
+
+def ocr_ratios(n_words: Column, n_confused: Column, n_compared: Column, n_broken: Column) -> dict[str, Column]:
+    """The counts of :func:`ocr_signals` as ratios at four places; 0 without a word to count."""
+    ratio = lambda a, b: F.when(b > 0, F.bround(a / b, 4)).otherwise(0.0)
+    return {"i_confusion_ratio": ratio(n_confused, n_words), "vowel_harmony_violation_ratio": ratio(n_broken, n_compared)}
 
 
 def mean_confidence(report: Column, cells: Column) -> Column:

@@ -258,12 +258,14 @@ def outliers(spark, d):
 
 @query(
     "m13_vowel_signals",
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(translate(text, 'İI', 'iı')), '\p{L}+') AS w FROM documents), l AS (SELECT doc_id, len(w) AS n, list_filter(list_transform(w, lambda x: [x, regexp_replace(x, '[^aıoueiöü]', '', 'g')]), lambda p: length(p[1]) >= 4 AND length(p[2]) >= 2) AS l FROM w)
-    SELECT doc_id, n AS n_words, len(l) AS n_long, len(list_filter(l, lambda p: regexp_matches(p[2], '[aıou]') AND regexp_matches(p[2], '[eiöü]'))) AS n_mixed FROM l""",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-zÇĞİÖŞÜçğıöşü]+') AS w FROM documents), l AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '[a-zçğıöşü][Iİ][a-zçğıöşü]|[A-ZÇĞÖŞÜ][ıi][A-ZÇĞÖŞÜ]'))) AS c,
+    list_filter(list_transform(w, lambda x: [x, regexp_replace(x, '[^aıoueiöüAOUEIÖÜ]', '', 'g')]), lambda p: length(p[1]) >= 4 AND length(p[2]) >= 2 AND NOT regexp_matches(p[1], '[qwxQWXİ]')) AS l FROM w),
+    m AS (SELECT doc_id, n, c, len(l) AS e, len(list_filter(l, lambda p: regexp_matches(p[2], '[aıouAOU]') AND regexp_matches(p[2], '[eiöüEIÖÜ]'))) AS b FROM l)
+    SELECT doc_id, n AS n_words, c AS n_confused, e AS n_compared, b AS n_broken, CASE WHEN n > 0 THEN round_even(c / n, 4) ELSE 0 END AS i_confusion_ratio, CASE WHEN e > 0 THEN round_even(b / e, 4) ELSE 0 END AS vowel_harmony_violation_ratio FROM m""",
 )
 def vowel_signals(spark, d):
-    n, long, mixed = Q.vowel_signals(F.col("text"))
-    return _docs(spark, d).select("doc_id", n.alias("n_words"), long.alias("n_long"), mixed.alias("n_mixed"))
+    counts = Q.ocr_signals(F.col("text"))
+    return _docs(spark, d).select("doc_id", *[v.alias(k) for k, v in counts.items()]).withColumns(Q.ocr_ratios(*[F.col(k) for k in counts]))
 
 
 # Spans: a document's lines are golden, its windows of 300 characters are retrieved in order.

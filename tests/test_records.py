@@ -11,6 +11,7 @@ from lectern.functions import metadata as D
 from lectern.operators import authors as U
 from lectern.operators import evaluation as E
 from lectern.operators import health as H
+from lectern.operators import quality as Q
 from lectern.sources import configs, reports
 from lectern.sources.sqlite import sqlite_table
 
@@ -274,3 +275,22 @@ def test_window_bench_in_blocks(spark, monkeypatch):
     assert whole[0][1] == pytest.approx(0.8)  # a query whose truth no window holds scores 0
     monkeypatch.setattr(E, "QUERY_BLOCK", 2)
     assert sorted(map(tuple, E.window_bench(queries, chunks, relevant).collect())) == whole
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("kIsa BAġBAKAN gelDİler", (4, 1, 2, 1)),
+        ("kitap kalem evler arabalar", (4, 0, 4, 2)),
+        ("BAiT wexler İstanbul KITAP ev", (5, 1, 2, 2)),
+        ("a1b2", (2, 0, 0, 0)),
+        ("", (0, 0, 0, 0)),
+        (None, (0, 0, 0, 0)),
+        ("ab" * 200_000 + "q" + " kalem" * 3, (4, 0, 3, 3)),
+    ],
+)
+def test_ocr_signals(spark, text, want):
+    counts = Q.ocr_signals(F.col("t"))
+    df = spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in counts.items()])
+    assert tuple(df.first()) == want
+    assert df.select(*Q.ocr_ratios(*[F.col(k) for k in counts]).values()).first()[0] == (round(want[1] / want[0], 4) if want[0] else 0.0)
