@@ -35,18 +35,25 @@ _FP = "__fingerprint"
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a whole text as an unsigned integer."""
+def shingle_digests(text: str | None, shingle: int, seed: int = SEED) -> bytes:
+    """The 8-byte hashes of a whole text's shingles, end to end; a text of fewer words is one shingle."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return b""
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, seed)
+        return xxhash.xxh64_digest(line, seed)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[: len(words) - shingle]]
     cuts = map(slice, starts, [e - 1 for e in ends[shingle - 1 :]])
-    raw = b"".join(map(xxhash.xxh64_digest, map(line.__getitem__, cuts), repeat(seed)))
+    return b"".join(map(xxhash.xxh64_digest, map(line.__getitem__, cuts), repeat(seed)))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of a whole text as an unsigned integer."""
+    raw = shingle_digests(text, shingle, seed)
+    if len(raw) <= 8:
+        return int.from_bytes(raw, "big")
     lanes = _LANES[np.frombuffer(raw, np.uint8)].reshape(-1, 8)
     n = len(lanes)
     # A lane holds up to 255 ones before it would run into the next.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lectern.llm import near_copies
 from lectern.llm import op1_simhash as simhash
 from lectern.llm import op2_token_files as files
 from lectern.llm import op3_decontaminate as decon
@@ -111,6 +112,40 @@ def test_keep_one_keeps_one_of_each_class(docs, rows):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == named
 
 
+def test_pipeline_drops_near_copies_at_five_words(spark, docs, rows):
+    r = random.Random(12)
+    made = [" ".join(f"w{r.randrange(9000)}" for _ in range(120)) for _ in range(12)]
+    for t in made[:12]:
+        for _ in range(6):
+            ws = t.split()
+            for _ in range(r.choice([1, 2, 2, 3, 5])):
+                ws[r.randrange(len(ws))] = f"v{r.randrange(9000)}"
+            made.append(" ".join(ws))
+    rows = [*rows, *((1000 + k, t) for k, t in enumerate(made)), (1000, "clean text under a used id, like no other"), (None, made[0] + " more")]
+
+    def grams(text):
+        ws = (text or "").encode().lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        row = (i is None, i or 0)
+        want[g] = min(row, want.get(g, row))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0) for x in got) == sorted(want.values())
+    assert any(x.text.startswith("clean text") for x in got if x.doc_id == 1000)
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
 def _ids(text, name="word_bpe_49k.json"):
     return Tokenizer.from_file(default_tokenizer(name)).encode(text or "", add_special_tokens=False).ids
 
