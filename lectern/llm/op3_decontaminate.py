@@ -1,19 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is the query set. It is broadcast in blocks of bounded size, so
 one scan of the documents for each block finds every run of ``SEED_WORDS``
-words that a test item also has, and keeps the passage around it. How often
-each seed occurs is counted over all documents. A seed is rare if its count is
-at most ``RARE_TIMES`` the median of its item's seeds, so a run of stop words
-that many texts hold by chance is not. Passages with a rare seed, or with two
-seeds of any count (which chance does not give, but an edited copy that is
-itself frequent does), are aligned word by word; edited and paraphrased copies
-keep a high score.
+words that a test item also has, and aligns the passage around it word by word
+with the item; edited and paraphrased copies keep a high score. No seed is too
+frequent to count: only passages whose words, in any order, could not reach the
+threshold are passed over, which loses nothing.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +22,6 @@ from pyspark.sql import functions as F
 from lectern.llm import stage
 
 SEED_WORDS = 4
-RARE_TIMES = 2
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Part of an item's best possible score from which a document counts as contaminated.
 THRESHOLD = 0.5
@@ -62,22 +59,21 @@ class Block:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
         self.places: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        self.seeds: list[list[int]] = []
         for k, ids in enumerate(self.ids):
             n = min(SEED_WORDS, len(ids))  # a short item is one seed
             codes = seed_codes(ids, n).astype(np.int64).tolist()
-            self.seeds.append(codes)
             for at, c in enumerate(codes):
                 self.places.setdefault(n, {}).setdefault(c, []).append((k, at))
+        self.bags = [Counter(ws) for _, ws in self.items]
         self.sorted = {n: np.array(sorted(p), np.int64) for n, p in self.places.items()}
 
     def passages(self, text: str | None):
-        """(item, first word, passage's words, its seeds) for each place that shares a seed."""
+        """(item, first word, passage's words) for each place that shares a seed."""
         ws = words(text)
         if not ws:
             return
         ids = np.fromiter(map(self.vocabulary.get, ws, repeat(0)), np.int64, len(ws))
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
         for n, known in self.sorted.items():
             if len(ids) < n:
                 continue
@@ -89,7 +85,7 @@ class Block:
             hit = known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
             for at, c in zip(spots[hit].tolist(), codes[hit].tolist(), strict=True):
                 for item, offset in self.places[n][c]:
-                    found.setdefault(item, []).append((at - offset, at, c))
+                    found.setdefault(item, []).append((at - offset, at))
         for item, hits in found.items():
             size = len(self.ids[item])
             slack = 2 + size // 4
@@ -101,17 +97,9 @@ class Block:
                     continue
                 first = max(0, group[0][0] - slack)
                 last = min(len(ws), group[-1][0] + size + slack)
-                yield item, first, ws[first:last], sorted({g[2] for g in group})
+                yield item, first, ws[first:last]
                 group = [h]
 
-    def rare(self, counts: dict[int, int]) -> list[set[int]]:
-        """For each item its seeds that are no more frequent than its typical ones."""
-        out = []
-        for seeds in self.seeds:
-            most = RARE_TIMES * float(np.median([counts.get(c, 0) for c in seeds]))
-            out.append({c for c in seeds if counts.get(c, 0) <= most})
-        return out
-
 
 def smith_waterman(a: list, b: list) -> tuple[int, int]:
     """The best local alignment score of two word lists, and where it ends in ``b``."""
@@ -157,49 +145,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
 
-        def find(batches, shared=shared):
+        def find(batches, shared=shared, threshold=threshold):
             b = shared.value
+            known: dict[tuple[int, str], tuple[int, int, int]] = {}
             for batch in stage.slices(batches, "text"):
                 made = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    made += [(doc_id, item, first, " ".join(ws), seeds) for item, first, ws, seeds in b.passages(text)]
-                if made:
-                    cols = list(zip(*made, strict=True))
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item", "first", "passage", "seeds"])
-
-        passages = stage.written(stage.map_batches(rows, find, "doc_id long, item int, first int, passage string, seeds array<long>"), "passages")
-        counted = passages.select(F.explode("seeds").alias("seed")).groupBy("seed").count()
-        counts = {r[0]: r[1] for r in counted.collect()}  # no more rows than the block has seeds
-        rare = spark.sparkContext.broadcast(block.rare(counts))
-
-        def align(batches, shared=shared, rare=rare, threshold=threshold):
-            b, keep = shared.value, rare.value
-            known: dict[tuple[int, str], tuple[int, int]] = {}
-            for batch in batches:
-                made = []
-                for doc_id, item, first, passage, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if len(seeds) < 2 and keep[item].isdisjoint(seeds):
-                        continue
-                    item_id, ws = b.items[item]
-                    if len(known) > 100_000:
-                        known.clear()
-                    key = (item, passage)
-                    if key not in known:
-                        there = passage.split(" ")
-                        score, end = smith_waterman(ws, there)
-                        back, size = smith_waterman(ws[::-1], there[:end][::-1]) if score else (0, 0)
-                        known[key] = (score, end - size, end)
-                    score, begin, end = known[key]
-                    part = score / (MATCH * len(ws))
-                    if part >= threshold:
-                        made.append((doc_id, item_id, part, first + begin, first + end))
+                    for item, first, there in b.passages(text):
+                        item_id, ws = b.items[item]
+                        best = MATCH * len(ws)
+                        if MATCH * (b.bags[item] & Counter(there)).total() / best < threshold:
+                            continue
+                        if len(known) > 100_000:
+                            known.clear()
+                        key = (item, " ".join(there))
+                        if key not in known:
+                            score, end = smith_waterman(ws, there)
+                            back, size = smith_waterman(ws[::-1], there[:end][::-1]) if score else (0, 0)
+                            known[key] = (score, end - size, end)
+                        score, begin, end = known[key]
+                        if score / best >= threshold:
+                            made.append((doc_id, item_id, score / best, first + begin, first + end))
                 if made:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                     names = ["doc_id", "item_id", "score", "first_word", "last_word"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-        found = stage.map_batches(passages, align, "doc_id long, item_id long, score double, first_word int, last_word int")
+        found = stage.map_batches(rows, find, "doc_id long, item_id long, score double, first_word int, last_word int")
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("near"), "last_word")).alias("r")
     out = out.groupBy("doc_id", "item_id").agg(best)

@@ -272,6 +272,15 @@ def test_contaminated_finds_edited_copies(spark, docs, empty):
     assert decon.drop_contaminated(frame, bench).count() == frame.count() - 12
 
 
+def test_one_frequent_seed_is_enough_to_align(spark):
+    ws = [f"w{k}" for k in range(15)]
+    edited = [w if k not in (3, 7, 12) else f"x{k}" for k, w in enumerate(ws)]  # runs of 3, 3, 4 and 2 words
+    rows = [(k, " ".join([f"a{k}", *edited, f"b{k}"])) for k in range(30)] + [(99, " ".join(ws[8:12]) + " and no more of it")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decon.contaminated(frame, spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")).collect()
+    assert sorted((g.doc_id, g.score) for g in got) == [(k, 0.7) for k in range(30)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k}") for k in range(9)], "item_id long, text string")
     rows = items.select(F.col("item_id").alias("doc_id"), "text")
