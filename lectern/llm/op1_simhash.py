@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.llm import stage
 
@@ -29,7 +28,6 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 SEGMENTS = 3
-_FP = "__fingerprint"
 
 #: For each byte, its bits spread over eight byte lanes, most significant first.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -93,7 +91,8 @@ def _signed(x: int) -> int:
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints within ``DISTANCE`` bits.
 
-    A pair may come up under more than one chain.
+    A pair may come up under more than one chain. Null fingerprints link to
+    none, repeated ones add repeated pairs, and an empty table gives none.
     """
     parts = _segments()
     held, varied = [], []
@@ -112,44 +111,58 @@ def links(fps: DataFrame) -> DataFrame:
     return left.join(right, (left["chain"] == right["chain"]) & (left["key"] == right["key"]) & near).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     """(fp, label): the smallest fingerprint reachable from each linked one.
 
-    Rounds of taking the least label among neighbours and then the label's own
-    label. A fingerprint has at most as many neighbours as there are words
-    within ``DISTANCE`` bits, so no round gathers an unbounded group; each round
-    is a table in the shared folder and only a count of changes reaches the
-    driver.
+    Alternating stars: each round first joins every larger neighbour of a
+    fingerprint to the least of its neighbourhood, then every smaller one. The
+    number of edges never grows, a path shrinks by a constant factor a round,
+    and the rounds end when only stars are left. Minima are taken by partial
+    aggregation, each half round is a table in the shared folder, and only
+    counts reach the driver (``rounds`` gets the edges left after each).
     """
     spark = edges.sparkSession
-    both = stage.written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "links")
-    labels = stage.written(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        least = stage.written(
-            labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label")), "labels"
-        )
-        roots = least.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        after = stage.written(least.join(roots, "label").select("v", "was", F.least("label", "root").alias("label")), "labels")
-        changed = after.filter("label <> was").limit(1).count()
-        for old in (labels, least):
-            stage.drop_table(spark, old)
-        labels = after.select("v", "label")
-        if not changed:
-            return labels.select(F.col("v").alias("fp"), "label")
+    now = stage.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    n = now.count()
+    while n and not _all_stars(now):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        joined = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage.written(joined.distinct(), "large-stars", n, 16)
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        joined = joined.select("u", F.col("m").alias("v")).union(joined.filter("v > m").select("v", "m"))
+        after = stage.written(joined.distinct(), "small-stars", n, 16)
+        stage.drop_table(spark, now, large)
+        now, n = after, after.count()
+        if rounds is not None:
+            rounds.append(n)
+    roots = now.select(F.col("v").alias("fp"), F.col("v").alias("label")).distinct()
+    return stage.written(now.select(F.col("u").alias("fp"), F.col("v").alias("label")).union(roots), "labels", 2 * n, 16)
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each upper end has one lower end, which is no upper end itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.filter("up > 1 or (up = 1 and down = 1)").limit(1).count()
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of a (doc_id, fp) table."""
-    nodes = stage.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "nodes")
+    """(fp, component_id) for each distinct fingerprint of a (doc_id, fp) table.
+
+    The component's id is the least of its rows' ids; null where it has none.
+    Repeated rows count once, and an empty table gives an empty result.
+    """
+    n = fps.count()
+    nodes = stage.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "nodes", n, 16)
     found = components(links(nodes.select("fp")))
-    linked = stage.written(nodes.join(found, "fp"), "linked")
-    roots = linked.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    mapped = linked.join(stage.written(roots, "roots"), "label").select("fp", "component_id")
-    return stage.written(
-        nodes.join(stage.written(mapped, "mapped"), "fp", "left").select("fp", F.coalesce("component_id", "least_doc").alias("component_id")),
-        "classes",
-    )
+    linked = stage.written(nodes.join(found, "fp"), "linked", n, 24)
+    roots = stage.written(linked.groupBy("label").agg(F.min("least_doc").alias("component_id")), "roots", n, 16)
+    mapped = stage.written(linked.join(roots, "label").select("fp", "component_id"), "mapped", n, 16)
+    kinds = nodes.join(mapped, "fp", "left").select("fp", F.coalesce("component_id", "least_doc").alias("component_id"))
+    out = stage.written(kinds, "classes", n, 16)
+    stage.drop_table(fps.sparkSession, nodes, found, linked, roots, mapped)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,40 +180,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(stage.table(spark, sf_dir, "documents"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate class.
-
-    Of rows with one id the least by text stays. Rows without an id stay only
-    if their class has no row with an id, the least text of each such class.
-    """
-    fps = stage.written(fingerprints(docs), "fingerprints")
-    kinds = classes(fps)
-    kept = stage.written(kinds.filter("component_id is not null").select(F.col("component_id").alias("kept_id")).distinct(), "kept")
-    # The kept ids grow with the corpus, so the join is a merge at every size.
-    stays = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
-    repeated = fps.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count()
-    if repeated:
-        others = [c for c in docs.columns if c != "doc_id"]
-        least = F.min(F.struct("text", *[c for c in others if c != "text"])).alias("r")
-        stays = stays.groupBy("doc_id").agg(least).select(*[F.col("doc_id") if c == "doc_id" else F.col("r")[c].alias(c) for c in docs.columns])
-    nameless = fps.filter("doc_id is null").limit(1).count()
-    if nameless:
-        alone = kinds.filter("component_id is null").select(F.col("fp").alias(_FP))
-        lone = fingerprints_beside(docs.filter("doc_id is null")).join(alone, _FP, "left_semi")
-        lone = lone.groupBy(_FP).agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("r"))
-        stays = stays.unionByName(lone.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
-    return stays
-
-
-def fingerprints_beside(docs: DataFrame) -> DataFrame:
-    """``docs`` with its fingerprint as a further column."""
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for b in stage.slices(batches, "text"):
-            out = [_signed(fingerprint(t)) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, _FP])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(_FP, LongType())]))

@@ -97,19 +97,25 @@ def test_links_lose_no_pair_of_random_fingerprints(spark):
     assert got == want
 
 
-def test_components_of_a_long_chain(spark):
-    r = random.Random(3)
-    order = r.sample(range(1000), 120)
-    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
-    assert {x.label for x in simhash.components(edges).collect()} == {min(order)}
-
-
-def test_keep_one_keeps_one_of_each_class(docs, rows):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    classes = simhash.near_duplicates(docs).collect()
-    named = sorted({c.component_id for c in classes if c.component_id is not None})
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == named
+@pytest.mark.parametrize("kind", ["random", "both ends", "rising"])
+def test_components_of_a_path_take_few_rounds(spark, kind):
+    n = 1500
+    path = {"random": random.Random(3).sample(range(9 * n), n), "both ends": [*range(0, n, 2), *range(n - 1, 0, -2)], "rising": list(range(n))}[kind]
+    rounds = []
+    got = simhash.components(spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a long, b long"), rounds).collect()
+    assert len(got) == n and {x.label for x in got} == {min(path)} and len(rounds) <= 2 * np.log2(n)
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(230)]
+    group = list(range(400))
+    for a, b in edges:
+        x, y = group[a], group[b]
+        group = [min(x, y) if g in (x, y) else g for g in group]
+    linked = {v for a, b in edges if a != b for v in (a, b)}
+    got = {x.fp: x.label for x in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: group[v] for v in linked}
 
 
 def test_pipeline_drops_near_copies_at_five_words(spark, docs, rows):
