@@ -28,9 +28,11 @@ SPLIT = (
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
-#: Entries of a worker's caches for words and for chunks; a full one becomes
-#: the older of two generations, so memory is bounded and frequent words stay.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's caches for words and for chunks, and characters of the
+#: longest one that stays; a full one becomes the older of two generations, so
+#: memory is bounded and frequent words stay.
+CACHE_ENTRIES = 200_000
+CACHED_CHARS = 64
 TOKEN_LIMIT = 512
 
 
@@ -107,7 +109,7 @@ class MergeCounter:
                 c = self.old_words.get(w)
                 if c is None:
                     c = self.merges(w)
-                if len(w) < 64:
+                if len(w) <= CACHED_CHARS:
                     by_word[w] = c
             total += c
         return total
@@ -124,10 +126,15 @@ class MergeCounter:
         total += len(lines) - 1
         for line in lines:
             first, *chunks = line.split(" ")
+            long = []
             for c in set(filterfalse(by_chunk.__contains__, chunks)):
                 n = self.old_chunks.get(c)
                 by_chunk[c] = self._split(" " + c) if n is None else n
+                if len(c) > CACHED_CHARS:
+                    long.append(c)
             total += self._split(first) + sum(map(by_chunk.__getitem__, chunks))
+            for c in long:
+                del by_chunk[c]
         return total
 
     def count(self, text: str | None) -> int:

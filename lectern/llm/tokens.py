@@ -7,9 +7,11 @@ import os
 import re
 from array import array
 
-#: Entries of a worker's cache; when it is full it becomes the older of two
-#: generations, so memory is bounded and frequent words stay.
-CACHE_ENTRIES = 450_000
+#: Entries of a worker's cache, and bytes of the longest word that stays in it;
+#: when it is full it becomes the older of two generations, so memory is bounded
+#: and frequent words stay.
+CACHE_ENTRIES = 200_000
+CACHED_BYTES = 64
 
 _TRAILING = re.compile(rb"(?<=[a-z])(?=[.,][ \n])")
 #: A run of letters and the ASCII marks that follow it are separate words to
@@ -80,7 +82,7 @@ class WordEncoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         cache, older, other = self.cache, self.older, {}
-        split, tokenize, settled = [], self.model.tokenize, _SETTLED.fullmatch
+        split, long, tokenize, settled = [], [], self.model.tokenize, _SETTLED.fullmatch
 
         def one(key: bytes, word: str) -> None:
             if key in cache or key in other:
@@ -101,12 +103,15 @@ class WordEncoder:
                 one(head, m[1])
                 one(tail, m[2])
                 split.append((c, head, tail))
+                long += [x for x in (head, tail) if len(x) > CACHED_BYTES]
             else:
                 one(c, s)
         if other:
             cache.update(zip(other, self._library(list(other.values())), strict=True))
         for c, head, tail in split:
             cache[c] = cache[head] + cache[tail]
+        for c in long:
+            cache.pop(c, None)
 
     @staticmethod
     def _chunks(text: bytes) -> list[bytes]:
@@ -139,6 +144,9 @@ class WordEncoder:
             for i, c in gaps:
                 ids[i] = cache[c]
             out.append(b"".join(ids))
+        for c in missing:
+            if len(c) > CACHED_BYTES:
+                cache.pop(c, None)
         return out
 
 
