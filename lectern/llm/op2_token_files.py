@@ -29,6 +29,10 @@ _HEAD = struct.Struct("<8sQQIB3x")  # magic, documents, ids, rows without an id,
 #: Bytes of input for each range, and ids after which a file ends.
 RANGE_BYTES = 16 << 20
 FILE_IDS = 6_000_000
+#: Ranges, and so reduce tasks, at most; beyond them ranges grow, files do not.
+MOST_RANGES = 50_000
+#: Ids that the driver samples for each range to find its ends.
+SAMPLES_A_RANGE = 20
 END_ID = 1
 
 
@@ -75,11 +79,15 @@ def _filesystem(uri: str):
 
 
 def _ranges(docs: DataFrame, n: int) -> list[int]:
-    """Upper ends of ``n`` ranges of ids with about as many rows; reads only ids."""
-    if n < 2:
+    """Upper ends of ``n`` ranges of ids with about as many rows, from a bounded sample of ids alone."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    rows, most = ids.count() if n > 1 else 0, SAMPLES_A_RANGE * n
+    if not rows:
         return []
-    found = docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)
-    return sorted({int(x) for x in found})
+    if rows > most:
+        ids = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(1_000_000_000 * most / rows) + 1)
+    found = np.sort(np.array([r[0] for r in ids.distinct().limit(2 * most).toLocalIterator()], np.int64))
+    return sorted({int(found[len(found) * k // n]) for k in range(1, n)}) if len(found) else []
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -88,11 +96,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     Null texts count as empty; every document ends with ``end_id``. Rows come in
     ascending order of id, those without one first, equal ids by their token
     ids. A text may be longer than a file's aim; it then makes a file of its own.
+    Further columns are not read, and an empty table gives an empty manifest. A
+    range is a reduce task's share; its sort spills, and its files are closed
+    one by one, so memory is bounded by a file and the longest text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(1, min(100_000, -(-size // range_bytes)))
+    n = max(1, min(MOST_RANGES, -(-size // range_bytes)))
     ends = np.array(_ranges(rows, n), dtype=np.int64)
     n = len(ends) + 1
 
@@ -140,7 +151,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield flush()
 
     tokens = stage.map_batches(rows, tokenise, "part int, doc_id long, width byte, ids binary")
-    dealt = tokens.repartition(n, "part").sortWithinPartitions("part", "doc_id", F.length("ids"), "ids")
+    # The range's number is the partition: a hash would put several into one task.
+    dealt = tokens.repartitionById(n, "part").sortWithinPartitions("part", "doc_id", F.length("ids"), "ids")
     files = stage.map_batches(dealt, write, "name string, part int, file int, n_docs long, n_ids long")
     return stage.written(files, "token-manifest")
 
@@ -148,7 +160,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone.
 
-    The running total is over files, not documents: a row for about six million
+    A document's ends in its file come from ``select`` on the code; no table of
+    offsets is made. Null ids and repeated rows are as they were written, and
+    an empty manifest gives an empty result. The running total is over files, not documents: a row for about six million
     ids, so one task can hold it.
     """
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,13 +174,14 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
             for name, base in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 with filesystem.open_input_file(name) as f:
                     tokens = TokenFile(f.read())
-                ends = tokens.bounds.decode()
-                wide = tokens.ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(wide[4 * a : 4 * z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens.doc_ids, pa.int64()), pa.array(ends[:-1] + base, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                wide, rows, a = memoryview(tokens.ids.astype("<u4").tobytes()), [], tokens.bounds.select(0)
+                for k, doc_id in enumerate(tokens.doc_ids):
+                    z = tokens.bounds.select(k + 1)
+                    rows.append((doc_id, base + a, z - a, zlib.crc32(wide[4 * a : 4 * z])))
+                    a = z
+                    if len(rows) == 50_000 or k + 1 == tokens.n_docs:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        rows = []
 
     spread = files.repartition(max(1, min(2_000, manifest.count())), "name")
     return stage.map_batches(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
