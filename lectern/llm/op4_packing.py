@@ -3,8 +3,10 @@
 Each task packs the documents it reads, in their order. A level array counts
 the partly filled windows at each fill; a document goes to the level, or to a
 new window, that leaves the least sum of squared counts. Full windows leave at
-once. When the task's input ends, what the open windows hold is laid end to end
-and cut at the window size, so a task leaves one padded window at most.
+once. What is open when a task ends goes to a second stage, which packs the
+open windows of many tasks by the same choice; only what is open at its end is
+laid end to end and cut, which leaves one padded window for each group of
+tasks.
 """
 
 from __future__ import annotations
@@ -22,8 +24,13 @@ from lectern.llm.tokens import default_tokenizer, encoder
 
 WINDOW = 2048
 END_ID = 1
-#: Windows a task may hold open; the fullest are then completed by cutting.
+#: Windows a packer holds open at most, 64 MB of ids; beyond it the fullest is
+#: completed with ids cut from the emptiest.
 MOST_OPEN = 8192
+#: Ids left open that a group of the second stage takes, as an aim.
+GROUP_IDS = 32_000_000
+#: Sequence numbers of the second stage start here.
+SECOND = 1 << 62
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -36,6 +43,7 @@ class Packer:
         self.levels = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
         self.n_open = 0
+        self.cut_ids = 0  # ids in windows that were completed by cutting
 
     def choose(self, n: int) -> int:
         """The fill level at which ``n`` more ids leave the least sum of squares; 0 opens a window."""
@@ -56,21 +64,28 @@ class Packer:
         whole = n - n % self.size
         for at in range(0, whole, self.size):
             yield from self._close([(doc_id, at, ids[4 * at : 4 * (at + self.size)], n)])
-        if n == whole:
-            return
-        piece = (doc_id, whole, ids[4 * whole :], n)
-        h = self.choose(n - whole)
-        held = self._take(h) if h else []
-        held.append(piece)
-        fill = h + n - whole
-        if fill == self.size:
+        if n > whole:
+            yield from self.place([(doc_id, whole, ids[4 * whole :], n)])
+
+    def place(self, pieces: list[tuple]):
+        """Place pieces that stay together, fewer ids than a window in all."""
+        n = sum(len(p[2]) for p in pieces) // 4
+        h = self.choose(n)
+        held = (self._take(h) if h else []) + pieces
+        if h + n == self.size:
             yield from self._close(held)
             return
+        self._put(h + n, held)
+        if self.n_open > self.most_open:
+            fullest, emptiest = max(self.open), min(self.open)
+            if self.n_open > 1:
+                first, rest = self._take(fullest), self._take(emptiest)
+                yield from self._cut(first + rest)
+
+    def _put(self, fill: int, held: list[tuple]) -> None:
         self.levels[fill] += 1
         self.open.setdefault(fill, []).append(held)
         self.n_open += 1
-        if self.n_open > self.most_open:
-            yield from self.finish(keep_last=True)
 
     def _take(self, h: int) -> list[tuple]:
         self.levels[h] -= 1
@@ -87,12 +102,8 @@ class Packer:
             at += len(ids) // 4
         self.next += 1
 
-    def finish(self, keep_last: bool = False):
-        """Lay the open windows end to end, fullest first, and cut at the window size."""
-        pieces = [p for h in sorted(self.open, reverse=True) for held in self.open[h] for p in held]
-        self.levels[:] = 0
-        self.open.clear()
-        self.n_open = 0
+    def _cut(self, pieces: list[tuple]):
+        """Lay pieces end to end and close what is full; the rest is a window of its own."""
         held, fill = [], 0
         for doc_id, start, ids, n in pieces:
             while ids:
@@ -100,44 +111,101 @@ class Packer:
                 held.append((doc_id, start, ids[: 4 * take], n))
                 start, ids, fill = start + take, ids[4 * take :], fill + take
                 if fill == self.size:
+                    self.cut_ids += fill
                     yield from self._close(held)
                     held, fill = [], 0
-        if held and keep_last:
-            self.levels[fill] += 1
-            self.open[fill] = [held]
-            self.n_open = 1
-        elif held:
+        if held:
+            self._put(fill, held)
+
+    def leave(self) -> list[list[tuple]]:
+        """The open windows, fullest first; the packer then holds none."""
+        out = [held for h in sorted(self.open, reverse=True) for held in self.open[h]]
+        self.levels[:] = 0
+        self.open.clear()
+        self.n_open = 0
+        return out
+
+    def finish(self):
+        """Lay the open windows end to end, fullest first, and cut at the window size."""
+        yield from self._cut([p for held in self.leave() for p in held])
+        for held in self.leave():
             yield from self._close(held)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece of each document.
+_MADE = pa.schema([*((c, pa.int64()) for c in COLUMNS), ("part", pa.int32()), ("open_window", pa.int32()), ("ids", pa.binary())])
 
-    Null and empty texts hold the end id alone. Every row is a document of its
-    own, so repeated rows and null ids are packed as they are. Further columns
-    are not read; an empty table gives no pieces. ``sequence_id`` holds the
-    task's number above 32 bits, so a task that runs again gives the same rows.
-    """
+
+def _first_stage(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Pieces of full windows, and with their ids those of windows left open by each task."""
 
     def run(batches):
         enc = encoder(tokenizer_path)
-        packer = Packer(window, TaskContext.get().partitionId() << 32)
+        part = TaskContext.get().partitionId()
+        packer = Packer(window, part << 32)
         last = np.array([end_id], "<u4").tobytes()
 
         def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=COLUMNS)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MADE, strict=True)], schema=_MADE)
 
         for b in stage.slices(batches, "text"):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
                 rows += packer.add(doc_id, ids + last)
             if rows:
-                yield batch(rows)
-        if rows := list(packer.finish()):
-            yield batch(rows)
+                yield batch([(*r, part, None, None) for r in rows])
+        left = packer.leave()
+        for at in range(0, len(left), 500):
+            yield batch([(d, start, len(ids) // 4, None, n, None, None, part, at + k, ids) for k, held in enumerate(left[at : at + 500]) for d, start, ids, n in held])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stage.map_batches(rows, run, ", ".join(f"{c} long" for c in COLUMNS))
+    return stage.map_batches(rows, run, ", ".join(f"{c} long" for c in COLUMNS) + ", part int, open_window int, ids binary")
+
+
+def _second_stage(left: DataFrame, window: int, group_ids: int) -> DataFrame:
+    """Pieces of the windows that the open ones of the first stage make; groups are runs of tasks."""
+    ids, parts = left.agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("part") + 1, F.lit(0))).first()
+    groups = max(1, -(-ids // group_ids))
+    each = max(1, -(-parts // groups))
+
+    def run(batches):
+        packer, group, seen, held = None, None, None, []
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=COLUMNS)
+
+        for b in stage.slices(batches, "ids"):
+            rows = []
+            for part, number, doc_id, start, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (part, number) != seen:
+                    if held:
+                        rows += packer.place(held)
+                    seen, held = (part, number), []
+                if part // each != group:
+                    rows += packer.finish() if packer else []
+                    group = part // each
+                    packer = Packer(window, SECOND + (group << 32))
+                held.append((doc_id, start, ids, n))
+            if rows:
+                yield batch(rows)
+        if held:
+            yield batch([*packer.place(held), *packer.finish()])
+
+    rows = left.select("part", "open_window", "doc_id", "start", "doc_tokens", "ids")
+    dealt = rows.repartition(groups, F.floor(F.col("part") / each)).sortWithinPartitions("part", "open_window", "doc_id", "start", "ids")
+    return stage.map_batches(dealt, run, ", ".join(f"{c} long" for c in COLUMNS))
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group_ids: int = GROUP_IDS) -> DataFrame:
+    """One row for each piece of each document.
+
+    Null and empty texts hold the end id alone. Every row is a document of its
+    own, so repeated rows and null ids are packed as they are. Further columns
+    are not read; an empty table gives no pieces. ``sequence_id`` holds the
+    task's number above 32 bits, so a task that runs again gives the same rows.
+    """
+    made = stage.written(_first_stage(docs, tokenizer_path, window, end_id, id_col, text_col), "packed")
+    full = made.filter("open_window is null").select(*COLUMNS)
+    return full.unionByName(_second_stage(made.filter("open_window is not null"), window, group_ids))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
