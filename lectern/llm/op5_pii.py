@@ -2,12 +2,15 @@
 
 Base spans come from fixed patterns and their checks. A bidirectional LSTM over
 characters with a CRF on top, written in numpy and trained from labelled spans,
-reads overlapping windows; the spans decoded in all windows of a text are
-reconciled together by the best total weight without overlap. Those that pass
-the check of their kind and touch no base span are added.
-
-Every kind needs a digit or an at sign, so windows that hold neither could add
-nothing and are not decoded; all other windows of the whole text are.
+reads overlapping windows for what the patterns miss: spelled-out and bracketed
+addresses, numbers with other separators, telephone numbers without a plus.
+Spans cut by a window's edge are joined with those of its neighbours, and those
+of a whole text are reconciled together by the best total weight without
+overlap. What passes the check of its kind and touches no base span is added.
+
+A span that passes has at most ``MOST_CHARS`` characters and holds a digit, an
+at sign or a spelled one, so windows further than that from all of these can
+add nothing and are not decoded; all other windows of the whole text are.
 """
 
 from __future__ import annotations
@@ -35,7 +38,16 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_HOT = re.compile(r"[0-9@]")
+_MARKED = re.compile(r"[0-9@]")
+_HOT = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]|\bat\b(?=.{1,80}?\bdot\b)", re.IGNORECASE)
+#: Spelled signs, and what is left of each kind once they are brought to plain ones.
+_AT = re.compile(r"\s?[\[({]\s?(?:at|@)\s?[\])}]\s?|\s(?:at|@)\s", re.IGNORECASE)
+_DOT = re.compile(r"\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\s(?:dot|\.)\s", re.IGNORECASE)
+_EMAIL = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+_CARD_LIKE = re.compile(r"[0-9](?:[ ./_-]{0,3}[0-9])+")
+_PHONE_LIKE = re.compile(r"(?=.*[0-9][ ().,/-]+[0-9])\+?\(?[0-9](?:[ ()./-]{0,3}[0-9])+")
+#: Characters of the longest span that is added.
+MOST_CHARS = 254
 _DIGITS = re.compile(r"[^0-9]")
 
 
@@ -62,23 +74,24 @@ def _emails(text: str):
 
 
 def valid(kind: str, s: str) -> bool:
-    """The check that a span's text must pass for its kind."""
+    """The check that an added span's text must pass for its kind."""
+    if len(s) > MOST_CHARS or not _HOT.search(s):
+        return False
     if kind == "email":
-        local, _, domain = s.partition("@")
-        return bool(local) and "." in domain.strip(". ") and " " not in s.strip() and len(s) <= 254
-    digits = _DIGITS.sub("", s)
+        return bool(_EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", s))))
     if kind == "ip":
-        parts = s.split(".")
+        parts = _DOT.sub(".", s).split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    digits = _DIGITS.sub("", s)
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15
+        return 13 <= len(digits) <= 19 and bool(_CARD_LIKE.fullmatch(s)) and luhn(digits)
+    return 9 <= len(digits) <= 15 and bool(_PHONE_LIKE.fullmatch(s))
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind by the fixed patterns: leftmost, not overlapping within a kind."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    if not _HOT.search(text):
+    if not _MARKED.search(text):
         return out
     out["email"] = list(_emails(text))
     for m in _IP.finditer(text):
@@ -95,7 +108,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 # -- the network -----------------------------------------------------------
-_ALPHABET = {c: 2 + k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0@.-+() _%:/#,\n")}
+_ALPHABET = {c: 2 + k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0@.-+() _%:/#,\n[]{}")}
 SYMBOLS = 2 + len(_ALPHABET)
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
@@ -256,51 +269,69 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 # -- labelled spans --------------------------------------------------------
-def labelled_examples(n: int = 900, seed: int = 19) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Made-up windows with labelled spans in many spellings, and look-alikes without."""
+def maker(seed: int):
+    """A source of made-up pieces: ``make(kind)`` gives a text that holds one, plain or disguised."""
     r = np.random.default_rng(seed)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     digits = lambda k: "".join(map(str, r.integers(0, 10, k)))
     parts = ["an", "er", "en", "th", "on", "re", "ti", "au", "sch", "que", "or", "la", "ie", "nd", "ö", "é", "ción"]
     word = lambda: "".join(pick(parts) for _ in range(int(r.integers(1, 4))))
 
-    def card() -> str:
+    def card(plain: bool) -> str:
         body = digits(int(r.integers(12, 16)))
         d = next(c for c in "0123456789" if luhn(body + c))
-        s, sep = body + d, pick(["", "", " ", "-", "."])
+        s, sep = body + d, pick(["", "", " ", "-"] if plain else [".", "/", "_", " - "])
         return sep.join(s[k : k + 4] for k in range(0, len(s), 4))
 
-    def phone() -> str:
-        plus = pick(["+", "+", "", "00"])
-        a, b, c = digits(3), digits(3), digits(4)
-        country = str(r.integers(1, 99))
-        return pick([f"{plus}{country} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{plus}{country} {a} {b} {c}", f"{plus}{country}-{a}-{b}-{c}", f"{plus}{country}.{a}.{b}.{c}", f"{a}.{b}.{c}"])
-
-    def email() -> str:
-        return f"{word()}{pick(['', '.', '_', '-'])}{word()}{pick(['', digits(2)])}@{word()}.{pick(['com', 'org', 'net', 'de', 'example', 'co.uk'])}".encode("ascii", "ignore").decode()
-
-    make = {"email": email, "card": card, "phone": phone, "ip": lambda: ".".join(str(x) for x in r.integers(0, 256, 4))}
+    def phone(plain: bool) -> str:
+        a, b, c, country = digits(3), digits(3), digits(4), str(r.integers(1, 99))
+        if plain:
+            return pick([f"+{country} ({a}) {b}-{c}", f"+{country} {a} {b} {c}", f"+{country}-{a}-{b}-{c}", f"+{country}.{a}.{b}.{c}"])
+        return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{country} {a} {b} {c}", f"{a}/{b}-{c}", f"00{country} ({a}) {b}-{c}"])
+
+    def email(plain: bool) -> str:
+        ascii_word = lambda: word().encode("ascii", "ignore").decode() or "an"
+        local = ascii_word() + pick(["", "", ".", "_", digits(2)]) + pick(["", digits(2), ascii_word()])
+        if local[-1] in "._":
+            local += digits(2)
+        host = [pick([ascii_word(), f"mail{digits(1)}.example"]), pick(["com", "org", "net", "de", "example", "com"])]
+        if plain:
+            return f"{local}@{'.'.join(host)}"
+        at, dot = pick([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", " (dot) "), (" @ ", " . "), ("{at}", "{dot}"), ("[at]", "[dot]"), (" AT ", " DOT ")])
+        return at.join([local, dot.join(".".join(host).split("."))])
+
+    def ip(plain: bool) -> str:
+        return pick(["."] if plain else ["[.]", "(.)", " . ", " dot ", "[dot]"]).join(str(x) for x in r.integers(0, 256, 4))
+
+    kinds = {"email": email, "card": card, "phone": phone, "ip": ip}
     unlike = [
         lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: digits(int(r.integers(1, 7))), lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}",
         lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(2)}%", lambda: f"@{word()}", lambda: f"{digits(3)}.{digits(2)}", lambda: f"{word()}@{word()}",
         lambda: "".join(pick("0123456789abcdef") for _ in range(int(r.integers(16, 40)))), lambda: f"{digits(1)}/{digits(2)}/{digits(4)}", lambda: f'token = "{digits(4)}{word()}{digits(6)}"',
+        lambda: f"at {word()}", lambda: f"{word()} at {word()} {word()}", lambda: f"dot {word()}", lambda: f"{word()} dot {word()}", lambda: f"BY {digits(1)}.{digits(1)}.", lambda: digits(16), lambda: f"({word()})",
     ]
+    return r, pick, word, lambda kind, plain: kinds[kind](plain), lambda: pick(unlike)()
+
+
+def labelled_examples(n: int = 2400, seed: int = 19) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Made-up windows with labelled spans in plain and disguised spellings, and look-alikes without."""
+    r, pick, word, make, unlike = maker(seed)
     out = []
     while len(out) < n:
         text, spans = "", []
-        lead = pick(["", "", word() + " ", " ".join(word() for _ in range(3)) + " "])
+        lead = pick(["", "", word() + " ", " ".join(word() for _ in range(3)) + " ", word() + ". "])
         text += lead
         for _ in range(int(r.integers(1, 3))):
-            kind = pick([*KINDS, "", ""])
-            piece = make[kind]() if kind else pick(unlike)()
+            kind = pick([*KINDS, "email", "", "", ""])
+            piece = make(kind, r.random() < 0.35) if kind else unlike()
             if kind:
                 spans.append((kind, len(text), len(text) + len(piece)))
             text += piece + pick([" ", ", ", ". ", "\n", "$$$ ", "### ", " | "]) + pick(["", word() + " "])
         text += " ".join(word() for _ in range(4))
-        cut = int(r.integers(0, 6)) if not lead else 0
-        text, spans = text[cut:], [(k, max(0, a - cut), b - cut) for k, a, b in spans]
-        if all(a < b <= WINDOW for _, a, b in spans) and not (cut and spans and spans[0][1] == 0):
-            out.append((text[:WINDOW], spans))
+        # Windows start and end anywhere, so spans are cut like the text.
+        cut = int(r.integers(0, 12)) if not lead and r.random() < 0.5 else 0
+        end = min(len(text), cut + WINDOW)
+        out.append((text[cut:end], [(k, max(0, a - cut), min(b, end) - cut) for k, a, b in spans if b > cut and a < end]))
     return out
 
 
@@ -312,14 +343,38 @@ def trained() -> Tagger:
 
 # -- whole texts -----------------------------------------------------------
 def _windows(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or an at sign."""
-    starts: dict[int, None] = {}
+    """Starts of the overlapping windows that can hold a part of an added span."""
+    reach, last, out, done = MOST_CHARS + 2 * WINDOW, max(0, -(-(len(text) - WINDOW) // STRIDE)), [], 0
     for m in _HOT.finditer(text):
-        k = m.start() // STRIDE
-        for s in (k - 1, k):
-            if s >= 0:
-                starts[s * STRIDE] = None
-    return list(starts)
+        for k in range(max(done, (m.start() - reach) // STRIDE), min(last, (m.start() + reach) // STRIDE) + 1):
+            out.append(k * STRIDE)
+            done = k + 1
+    return out
+
+
+def joined(spans: list[tuple[int, int, float, str, bool, bool]]) -> list[tuple[int, int, float, str]]:
+    """(start, end, weight, kind) with spans that meet at a window's edge made one.
+
+    Takes spans that also say whether a window's edge cuts their start and
+    their end. Of one kind, a span that is cut joins those it overlaps or
+    touches; weights are means by character.
+    """
+    out = []
+    for kind in KINDS:
+        run: list = []
+        for a, b, w, _, left, right in sorted(s for s in spans if s[3] == kind):
+            if run and a <= run[1] and (left or run[4]):
+                run[2] += w * (b - a)
+                run[3] += b - a
+                if b >= run[1]:
+                    run[1], run[4] = b, right if b > run[1] else right and run[4]
+            else:
+                if run:
+                    out.append((run[0], run[1], run[2] / run[3], kind))
+                run = [a, b, w * (b - a), b - a, right]
+        if run:
+            out.append((run[0], run[1], run[2] / run[3], kind))
+    return out
 
 
 def reconcile(spans: list[tuple[int, int, float, str]]) -> list[tuple[int, int, float, str]]:
@@ -343,7 +398,7 @@ def reconcile(spans: list[tuple[int, int, float, str]]) -> list[tuple[int, int,
 def added_spans(texts: list[str], base: list[dict[str, list[tuple[int, int]]]], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
     """What the tagger adds to each text's base spans."""
     where = [(k, s) for k, t in enumerate(texts) for s in _windows(t)]
-    found: list[list[tuple[int, int, float, str]]] = [[] for _ in texts]
+    found: list[list[tuple]] = [[] for _ in texts]
     known: dict[str, list[tuple[int, int, float, str]]] = {}
     pieces = [texts[k][s : s + WINDOW] for k, s in where]
     new = list(dict.fromkeys(pieces))
@@ -358,14 +413,11 @@ def added_spans(texts: list[str], base: list[dict[str, list[tuple[int, int]]]],
     for (k, s), t in zip(where, pieces, strict=True):
         whole = len(texts[k])
         for a, b, w, kind in known[t]:
-            # A span that touches a cut edge is left to the neighbouring window.
-            if (a == 0 and s > 0) or (b == len(t) and s + b < whole):
-                continue
-            found[k].append((s + a, s + b, w, kind))
+            found[k].append((s + a, s + b, w, kind, a == 0 and s > 0, b == len(t) and s + b < whole))
     out = []
     for text, spans, own in zip(texts, found, base, strict=True):
         taken = sorted(x for v in own.values() for x in v)
-        ok = [s for s in spans if valid(s[3], text[s[0] : s[1]]) and not any(a < s[1] and s[0] < b for a, b in taken)]
+        ok = [s for s in joined(spans) if valid(s[3], text[s[0] : s[1]]) and not any(a < s[1] and s[0] < b for a, b in taken)]
         out.append([(kind, a, b) for a, b, _, kind in reconcile(ok)])
     return out
 
@@ -435,7 +487,11 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """``docs`` with personal data replaced by its kind and ``n_chars`` to match; other columns as they are."""
+    """``docs`` with personal data replaced by its kind and ``n_chars`` to match; other columns as they are.
+
+    Null and empty texts, null ids and repeated rows stay as they are; columns
+    pass through under any name; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tagger or trained())
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
@@ -454,7 +510,7 @@ def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 cols[size] = pa.array([o if n == t or n is None else len(n) for o, n, t in zip(old, new, texts, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return stage.map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
