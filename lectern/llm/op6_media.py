@@ -146,15 +146,12 @@ def payload(text: str | None, unit: int = UNIT) -> tuple[bytes, int]:
 
 
 def to_media(data: bytes) -> bytes:
-    """Store a payload without loss: short ones as colour BMP, even ones as PGM, odd ones as PPM.
-
-    The form depends on the payload's length alone.
-    """
+    """Store a payload without loss as colour BMP, PGM or PPM, by a digest of its bytes."""
     samples = np.frombuffer(data, np.uint8)
-    units = len(data) // UNIT
-    if units == 1:
+    kind = zlib.crc32(data) % 3
+    if kind == 0:
         return encode_bmp(samples.reshape(-1, 8, 3))
-    if units % 2:
+    if kind == 1:
         return encode_ppm(samples.reshape(-1, 8, 3))
     return encode_pgm(samples.reshape(-1, WIDTH))
 
@@ -179,37 +176,46 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_tiles(media: DataFrame) -> DataFrame:
-    """(doc_id, tile, dhash): the NPY tile and difference hash of each stored image."""
+    """``media`` (doc_id, n_bytes, media) with the NPY tile and the difference hash of each stored image.
+
+    Null ids and repeated rows keep their rows; further columns are not read;
+    a null or undecodable image is an error; an empty table stays empty.
+    """
 
     def run(batches):
         for b in stage.slices(batches, "media"):
-            images = [decode(m) for m in b.column(1).to_pylist()]
+            images = [decode(m) for m in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(tile, images), pa.binary()), pa.array([f"{difference_hash(i):016x}" for i in images])],
-                names=["doc_id", "tile", "dhash"],
+                [*b.columns, pa.array(map(tile, images), pa.binary()), pa.array([f"{difference_hash(i):016x}" for i in images], pa.string())],
+                names=[*b.schema.names, "tile", "dhash"],
             )
 
-    return stage.map_batches(media.select("doc_id", "media"), run, "doc_id long, tile binary, dhash string")
+    return stage.map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, tile binary, dhash string")
+
 
+def features(stored: DataFrame) -> DataFrame:
+    """Digests of each stored image and of its NPY tile, both as read back.
 
-def features(media: DataFrame) -> DataFrame:
-    """Digests of each stored image as read back, with its tile's hash as feature."""
+    Takes (doc_id, n_bytes, media, tile, dhash); null ids, repeated rows,
+    further columns and an empty table are as for :func:`with_tiles`.
+    """
 
     def run(batches):
         for b in stage.slices(batches, "media"):
             rows = []
-            for doc_id, n, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                image = decode(m)
-                data = image.tobytes()
-                feature = f"dhash={difference_hash(image):016x};tile={zlib.crc32(tile(image)):08x};mean={image.mean():.3f}"
+            for doc_id, n, m, t, dhash in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = decode(m).tobytes()
+                small = np.load(io.BytesIO(t))
+                feature = f"dhash={dhash};tile={zlib.crc32(small.tobytes()):08x};mean={small.mean():.3f}"
                 rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stage.map_batches(media.select("doc_id", "n_bytes", "media"), run, schema)
+    return stage.map_batches(stored.select("doc_id", "n_bytes", "media", "tile", "dhash"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(stage.written(store_media(stage.table(spark, sf_dir, "documents")), "media"))
+    """Media and NPY tiles are written to the shared folder; all digests are of what is read from there."""
+    return features(stage.written(with_tiles(store_media(stage.table(spark, sf_dir, "documents"))), "media"))
