@@ -2,42 +2,50 @@
 
 A word's emission is the sum of hashed weights of its affixes, its character
 n-grams and itself, and of its place in a lexicon learned for each language.
-Forward-backward over chains of words with learned transitions gives each word
-a distribution, so a text that switches language is labelled word by word. A
-document's language has the greatest sum of word posteriors.
+Forward-backward over one chain of all words of a text, with learned
+transitions, gives each word a distribution, so a text that switches language
+is labelled word by word. A document's language has the greatest sum of word
+posteriors. Transitions are learned from whole labelled texts and from chains
+that switch between labelled texts of two languages.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import stage
 
 BUCKETS = 1 << 15
-SAMPLE_ROWS = 2500
-#: Words of each sampled document that the fit reads, and words in a chain.
-FIT_WORDS = 256
-CHAIN = 64
-#: Entries of a worker's cache of emissions, in two generations.
-CACHE_ENTRIES = 300_000
+SAMPLE_ROWS = 2000
+#: Runs of words from each of two texts in a chain that switches.
+SWITCH_RUN, SWITCH_RUNS = 12, 4
+#: Words whose emissions a worker keeps, and characters of the longest of them.
+CACHE_ENTRIES = 200_000
+CACHED_CHARS = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The runs of letters of a text in lower case."""
+    found = _WORD.findall(text.lower()) if text else []
+    # The pattern also takes signs that count as numbers, such as a raised two.
+    return found if all(map(str.isalpha, found)) else list(chain.from_iterable(map(_LETTERS.findall, found)))
 
 
 def word_features(word: str) -> list[int]:
-    """Buckets of the word itself, its prefixes and suffixes, and its trigrams."""
-    raw = word.encode()[:48]
+    """Buckets of the word itself, its prefixes and suffixes, and all its trigrams."""
+    raw = word.encode()
     w = b"^" + raw + b"$"
     out = [crc32(raw)]
     out += [crc32(w[:k], 1) for k in (2, 3, 4)]
@@ -46,6 +54,24 @@ def word_features(word: str) -> list[int]:
     return [x % BUCKETS for x in out]
 
 
+class Chains:
+    """Chains of any lengths, longest first, laid out step by step: step k holds a row for each chain longer than k."""
+
+    def __init__(self, lengths: list[int]):
+        n = np.asarray(lengths, np.int64)
+        self.order = np.argsort(-n, kind="stable")
+        self.widths = np.searchsorted(-n[self.order], -np.arange(n.max(initial=0)), side="left")
+        self.starts = np.concatenate([[0], np.cumsum(self.widths)])
+        #: For each chain in the given order, where its words lie.
+        self.places: list[np.ndarray] = [None] * len(n)
+        for at, k in enumerate(self.order.tolist()):
+            self.places[k] = self.starts[: n[k]] + at
+
+    def steps(self):
+        """(first row, rows) of each step."""
+        return zip(self.starts[:-1].tolist(), self.widths.tolist(), strict=True)
+
+
 class LanguageField:
     def __init__(self, languages: list[str], weights: np.ndarray, lexicon: dict[str, int], lexical: np.ndarray, first: np.ndarray, moves: np.ndarray):
         self.languages, self.weights, self.lexicon, self.lexical = languages, weights, lexicon, lexical
@@ -53,20 +79,24 @@ class LanguageField:
 
     # -- fitting -----------------------------------------------------------
     @classmethod
-    def fit(cls, texts: list[list[str]], labels: list[str], epochs: int = 4, batch: int = 128, rate: float = 0.05, decay: float = 1e-5) -> LanguageField:
+    def fit(cls, texts: list[list[str]], labels: list[str], epochs: int = 3, batch: int = 48, rate: float = 0.05, decay: float = 1e-5) -> LanguageField:
+        """Adam on the negative log-likelihood of whole texts and of chains that switch between two."""
         languages = sorted(set(labels))
         n = len(languages)
         y = np.array([languages.index(x) for x in labels])
-        lexicon = cls._lexicon(texts, y, n)
-        model = cls(languages, np.zeros((BUCKETS, n)), lexicon, np.zeros((n, n)), np.zeros(n), np.eye(n))
-        chains = [(k, ws[a : a + CHAIN]) for k, ws in enumerate(texts) for a in range(0, len(ws), CHAIN)]
-        order = np.random.default_rng(11).permutation(len(chains))
+        model = cls(languages, np.zeros((BUCKETS, n)), cls._lexicon(texts, y, n), np.zeros((n, n)), np.zeros(n), np.eye(n))
+        rows = [(ws, np.full(len(ws), k)) for ws, k in zip(texts, y, strict=True)] + cls._switches(texts, y)
+        r = np.random.default_rng(11)
+        known: dict[str, list[int]] = {}
         state = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.weights, model.lexical, model.first, model.moves)]
         step = 0
         for _ in range(epochs):
-            for at in range(0, len(order), batch):
-                part = [chains[k] for k in order[at : at + batch]]
-                grads = model._gradient([c for _, c in part], y[[k for k, _ in part]])
+            # Texts of about one length share a batch; the batches come in random order.
+            order = sorted(r.permutation(len(rows)).tolist(), key=lambda k: len(rows[k][0]).bit_length())
+            parts = [order[at : at + batch] for at in range(0, len(order), batch)]
+            for b in r.permutation(len(parts)):
+                part = [rows[k] for k in parts[b]]
+                grads = model._gradient([ws for ws, _ in part], [g for _, g in part], known)
                 step += 1
                 for p, g, (m, v) in zip((model.weights, model.lexical, model.first, model.moves), grads, state, strict=True):
                     g = g / len(part) + decay * p
@@ -90,26 +120,51 @@ class LanguageField:
                 out[w] = best
         return out
 
-    def _gradient(self, chains: list[list[str]], gold: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the negative log-likelihood of chains whose words all have one label."""
-        n, size = len(self.languages), max(map(len, chains))
-        mask = np.arange(size)[None, :] < np.array([len(c) for c in chains])[:, None]
+    @staticmethod
+    def _switches(texts: list[list[str]], y: np.ndarray) -> list[tuple[list[str], np.ndarray]]:
+        """Chains of runs from texts of two languages in turn, with each word's label; one for every eighth text."""
+        r = np.random.default_rng(23)
+        out = []
+        for k in range(0, len(texts), 8):
+            j = int(r.integers(len(texts)))
+            if y[j] == y[k]:
+                continue
+            ws, gold = [], []
+            for run in range(2 * SWITCH_RUNS):
+                src = (k, j)[run % 2]
+                at = int(r.integers(max(1, len(texts[src]) - SWITCH_RUN)))
+                part = texts[src][at : at + SWITCH_RUN]
+                ws += part
+                gold += [y[src]] * len(part)
+            out.append((ws, np.array(gold)))
+        return out
+
+    def _gradient(self, chains: list[list[str]], golds: list[np.ndarray], known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, ...]:
+        """Of the negative log-likelihood of chains with a label for each word."""
+        n, known = len(self.languages), {} if known is None else known
         flat = [w for c in chains for w in c]
-        feats = [word_features(w) for w in flat]
+        for w in flat:
+            if w not in known:
+                known[w] = word_features(w)
+        feats = [known[w] for w in flat]
         lens = np.array([len(f) for f in feats])
-        idx = np.fromiter((i for f in feats for i in f), np.int64, lens.sum())
+        idx = np.fromiter(chain.from_iterable(feats), np.int64, lens.sum())
         lex = np.array([self.lexicon.get(w, -1) for w in flat])
-        scores = np.full((len(chains), size, n), 0.0)
-        scores[mask] = self._scores(idx, lens, lex)
-        post, pair = self.posteriors(scores, mask, pairs=True)
-        one = np.eye(n)[gold]
-        off = (post - one[:, None, :])[mask]
+        laid = Chains([len(c) for c in chains])
+        place = np.concatenate(laid.places)
+        scores = np.empty((len(flat), n))
+        scores[place] = self._scores(idx, lens, lex)
+        post, pair = self.posteriors(scores, laid, pairs=True)
+        gold = np.concatenate(golds)
+        off = post[place] - np.eye(n)[gold]
         per = np.repeat(off, lens, axis=0)
         gw = np.stack([np.bincount(idx, per[:, k], BUCKETS) for k in range(n)], axis=1)
         gl = np.stack([np.bincount(lex[lex >= 0], off[lex >= 0, k], n) for k in range(n)], axis=1)
-        stays = np.zeros((n, n))
-        np.add.at(stays, (gold, gold), np.maximum(mask.sum(axis=1) - 1, 0))
-        return gw, gl, (post[:, 0] - one).sum(axis=0), pair - stays
+        seen = np.zeros((n, n))
+        for g in golds:
+            np.add.at(seen, (g[:-1], g[1:]), 1)
+        starts = np.cumsum([0, *(len(c) for c in chains[:-1])])
+        return gw, gl, off[starts].sum(axis=0), pair - seen
 
     # -- inference ---------------------------------------------------------
     def _scores(self, idx: np.ndarray, lens: np.ndarray, lex: np.ndarray) -> np.ndarray:
@@ -120,65 +175,58 @@ class LanguageField:
     def emissions(self, ws: list[str]) -> np.ndarray:
         feats = [word_features(w) for w in ws]
         lens = np.array([len(f) for f in feats])
-        idx = np.fromiter((i for f in feats for i in f), np.int64, lens.sum())
+        idx = np.fromiter(chain.from_iterable(feats), np.int64, lens.sum())
         return self._scores(idx, lens, np.array([self.lexicon.get(w, -1) for w in ws]))
 
-    def posteriors(self, scores: np.ndarray, mask: np.ndarray, pairs: bool = False):
-        """Forward-backward over padded chains (chains, words, languages)."""
-        e = np.exp(scores - scores.max(axis=2, keepdims=True))
-        e[~mask] = 1.0
+    def posteriors(self, scores: np.ndarray, laid: Chains, pairs: bool = False):
+        """Forward-backward over chains of any lengths, whose words lie as ``laid`` says."""
+        e = np.exp(scores - scores.max(axis=1, keepdims=True))
         t = np.exp(self.moves - self.moves.max())
-        size = e.shape[1]
-        ahead, back = np.empty_like(e), np.empty_like(e)
-        ahead[:, 0] = np.exp(self.first - self.first.max()) * e[:, 0]
-        ahead[:, 0] /= ahead[:, 0].sum(axis=1, keepdims=True)
-        for k in range(1, size):
-            a = (ahead[:, k - 1] @ t) * e[:, k]
-            ahead[:, k] = np.where(mask[:, k, None], a / a.sum(axis=1, keepdims=True), ahead[:, k - 1])
-        back[:, -1] = 1.0
-        for k in range(size - 2, -1, -1):
-            b = (back[:, k + 1] * e[:, k + 1]) @ t.T
-            back[:, k] = np.where(mask[:, k + 1, None], b / b.sum(axis=1, keepdims=True), 1.0)
+        ahead, back = np.empty_like(e), np.ones_like(e)
+        steps = list(laid.steps())
+        before = None
+        for at, w in steps:
+            a = e[at : at + w]
+            a = a * np.exp(self.first - self.first.max()) if before is None else a * (before[:w] @ t)
+            a /= a.sum(axis=1, keepdims=True)
+            ahead[at : at + w] = before = a
+        for (at, _), (nxt, w) in zip(steps[-2::-1], steps[:0:-1], strict=True):
+            b = (back[nxt : nxt + w] * e[nxt : nxt + w]) @ t.T
+            b /= b.sum(axis=1, keepdims=True)
+            back[at : at + w] = b  # chains that end here keep their ones
         post = ahead * back
-        post /= post.sum(axis=2, keepdims=True)
+        post /= post.sum(axis=1, keepdims=True)
         if not pairs:
             return post
-        joint = ahead[:, :-1, :, None] * t[None, None] * (e * back)[:, 1:, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        return post, (joint * mask[:, 1:, None, None]).sum(axis=(0, 1))
+        later = np.concatenate([np.arange(at, at + w) for at, w in steps[1:]]) if len(steps) > 1 else np.zeros(0, np.int64)
+        earlier = later - np.repeat([w for _, w in steps[:-1]], [w for _, w in steps[1:]])
+        joint = ahead[earlier, :, None] * t * (e * back)[later, None, :]
+        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        return post, joint.sum(axis=0)
 
     def label_words(self, text: str | None) -> list[tuple[str, str, float]]:
         """(word, language, posterior) for each word of a text, code-switched or not."""
         ws = words(text)
         if not ws:
             return []
-        post = self._blocks([self.emissions(ws)])[0]
+        post = self.chains([self.emissions(ws)])[0]
         best = post.argmax(axis=1)
         return [(w, self.languages[k], float(p[k])) for w, k, p in zip(ws, best, post, strict=True)]
 
-    def _blocks(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """Word posteriors of each text from its words' scores, in chains of ``CHAIN`` words."""
-        n = len(self.languages)
-        need = [-(-len(r) // CHAIN) for r in rows]
-        scores, mask = np.zeros((sum(need) * CHAIN, n)), np.zeros(sum(need) * CHAIN, bool)
-        at = 0
-        for r, k in zip(rows, need, strict=True):
-            scores[at : at + len(r)] = r
-            mask[at : at + len(r)] = True
-            at += k * CHAIN
-        post = self.posteriors(scores.reshape(-1, CHAIN, n), mask.reshape(-1, CHAIN)).reshape(-1, n)
-        out, at = [], 0
-        for r, k in zip(rows, need, strict=True):
-            out.append(post[at : at + len(r)])
-            at += k * CHAIN
-        return out
+    def chains(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Word posteriors of each text from its words' scores, each text as one chain."""
+        laid = Chains([len(r) for r in rows])
+        scores = np.empty((sum(map(len, rows)), len(self.languages)))
+        scores[np.concatenate(laid.places)] = np.concatenate(rows)
+        post = self.posteriors(scores, laid)
+        return [post[p] for p in laid.places]
 
 
 class _Emissions:
-    """Emission scores of words, kept for frequent ones."""
+    """Emission scores of words, kept for those of usual length until the table is full."""
 
     def __init__(self, model: LanguageField):
-        self.model, self.known, self.older = model, {}, {}
+        self.model, self.known = model, {}
         self.table, self.rows = np.zeros((1024, len(model.languages))), 0
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -193,7 +241,11 @@ class _Emissions:
             self.known.update(zip(new, range(self.rows, self.rows + len(new)), strict=True))
             self.rows += len(new)
         get = self.known.__getitem__
-        return [self.table[np.fromiter(map(get, ws), np.int64, len(ws))] for ws in texts]
+        out = [self.table[np.fromiter(map(get, ws), np.int64, len(ws))] for ws in texts]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.known[w]
+        return out
 
 
 def held_out(column: str = "doc_id"):
@@ -202,11 +254,11 @@ def held_out(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_ROWS) -> LanguageField | None:
-    """Fit on at most ``most`` documents with a language that are not held out."""
+    """Fit on the whole texts of at most ``most`` documents with a language that are not held out."""
     usable = docs.select("doc_id", "lang", "text").filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
     got = stage.sampled(usable, "doc_id", most).toPandas()
     got = got.sort_values(["doc_id", "lang", "text"], ignore_index=True)
-    rows = [(w[:FIT_WORDS], lang) for t, lang in zip(got.text, got.lang, strict=True) if (w := words(t))]
+    rows = [(w, lang) for t, lang in zip(got.text, got.lang, strict=True) if (w := words(t))]
     return LanguageField.fit([w for w, _ in rows], [x for _, x in rows]) if rows else None
 
 
@@ -227,7 +279,7 @@ def languages(docs: DataFrame, model: LanguageField | None) -> DataFrame:
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             full = [k for k, ws in enumerate(texts) if ws] if m else []
             if full:
-                for k, post in zip(full, m._blocks(cache.of([texts[k] for k in full])), strict=True):
+                for k, post in zip(full, m.chains(cache.of([texts[k] for k in full])), strict=True):
                     share = post.mean(axis=0)
                     best = int(share.argmax())
                     langs[k], scores[k] = m.languages[best], float(min(1.0, share[best]))
