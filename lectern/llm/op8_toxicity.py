@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> SwapRegu
     """Fit on at most ``most`` labelled documents that are not held out; None without both labels.
 
     The model sees a text only as the set of its words, so that is what the
-    driver gets of each, however long the text.
+    driver gets of each, however long the text. Of rows that share a labelled
+    id one counts, so at most ``most`` rows reach the driver.
     """
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out())
     usable = usable.groupBy(F.col("doc_id").alias("rated_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -143,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> SwapRegu
             held = [" ".join(sorted(words(t))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held)], names=["doc_id", "toxic", "held"])
 
-    got = stage.map_batches(rows, run, "doc_id long, toxic int, held string").toPandas()
-    got = got.sort_values(["doc_id", "held"], ignore_index=True).head(most)
+    rows = stage.map_batches(rows, run, "doc_id long, toxic int, held string")
+    got = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("held").alias("held")).toPandas()
+    got = got.sort_values("doc_id", ignore_index=True)
     if got.toxic.nunique() < 2:
         return None
     return SwapRegularised.fit(got.held.tolist(), got.toxic.tolist())
