@@ -1,12 +1,16 @@
 """Quality by ordinal cumulative-link regression on hashed-text weights.
 
-One weight vector over hashed character-class n-grams scores a text; ordered
+One weight vector over hashed text scores a text: the words it holds with
+stems of the longer ones, its character-class n-grams and its shape. Ordered
 thresholds turn the score into probabilities of grades. The expected grade
 ranks texts, and the probability of at least ``KEEP_GRADE`` selects them.
 """
 
 from __future__ import annotations
 
+import re
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +19,10 @@ from pyspark.sql import functions as F
 from lectern.llm import stage
 
 BUCKETS = 2048
-SAMPLE_ROWS = 4000
+#: Buckets of words, beside those of character classes, and lengths of stems.
+WORD_BUCKETS = 1 << 15
+STEMS = (5, 7)
+SAMPLE_ROWS = 6000
 KEEP_GRADE = 1
 KEEP_PROBABILITY = 0.5
 #: Buckets at the end that hold the text's overall shape.
@@ -32,6 +39,7 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+_WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.int64)
 
 
@@ -58,23 +66,42 @@ def text_features(text: str | None) -> np.ndarray:
     return out
 
 
+def word_buckets(text: str | None) -> np.ndarray:
+    """The buckets of the words that the whole text holds, and of their stems."""
+    held = set(_WORD.findall(text.lower())) if text else set()
+    found = {crc32(w.encode()) % WORD_BUCKETS for w in held}
+    found |= {crc32(w[:n].encode(), n) % WORD_BUCKETS for w in held if len(w) > STEMS[0] for n in STEMS if len(w) > n}
+    return np.fromiter(found, np.int32, len(found))
+
+
 class CumulativeLink:
-    """P(grade <= k) = s(t_k - w x), with ordered thresholds t."""
+    """P(grade <= k) = s(t_k - w x), with ordered thresholds t.
+
+    A row's ``x`` is a dense part and a set of further features, each of which
+    counts ``WORD_SCALE``.
+    """
+
+    WORD_SCALE = np.float32(0.5)
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, word_weights: np.ndarray | None = None):
         self.weights, self.thresholds = weights, thresholds
+        self.word_weights = np.zeros(1, np.float32) if word_weights is None else word_weights
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> CumulativeLink:
+    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int, held: list[np.ndarray] | None = None, steps: int = 300, rate: float = 0.05, decay: float = 2e-4, word_decay: float = 1e-3) -> CumulativeLink:
         """Adam on the negative log-likelihood with weight decay; the start and steps are fixed."""
-        n = len(y)
+        n, d = x.shape
+        held = [np.zeros(0, np.int32)] * n if held is None else held
+        rows, cols = np.repeat(np.arange(n), [len(h) for h in held]), np.concatenate(held)
+        e = int(cols.max(initial=0)) + 1
+        shrink = np.concatenate([np.full(d, decay), np.full(e, word_decay)])
+        d += e
         # The first threshold and the logs of the gaps above it are free.
-        free = np.concatenate([np.zeros(x.shape[1]), [-1.0], np.zeros(max(0, grades - 2))])
+        free = np.concatenate([np.zeros(d), [-1.0], np.zeros(max(0, grades - 2))])
         m, v = np.zeros_like(free), np.zeros_like(free)
-        d = x.shape[1]
         for step in range(1, steps + 1):
             t = np.cumsum(np.concatenate([free[d : d + 1], np.exp(free[d + 1 :])]))
-            s = x @ free[:d].astype(np.float32)
+            s = x @ free[: d - e].astype(np.float32) + cls.WORD_SCALE * np.bincount(rows, free[d - e : d][cols], n)
             upper = np.where(y < grades - 1, t[np.minimum(y, grades - 2)], np.inf) - s
             lower = np.where(y > 0, t[np.maximum(y - 1, 0)], -np.inf) - s
             cu, cl = _sigmoid(upper), _sigmoid(lower)
@@ -84,15 +111,23 @@ class CumulativeLink:
             np.add.at(dt, y[y < grades - 1], -du[y < grades - 1])
             np.add.at(dt, y[y > 0] - 1, dl[y > 0])
             later = np.cumsum(dt[::-1])[::-1]
-            g = np.concatenate([x.T @ ((du - dl) / n).astype(np.float32) + decay * free[:d], later / n])
+            off = (du - dl) / n
+            g = np.concatenate([x.T @ off.astype(np.float32), cls.WORD_SCALE * np.bincount(cols, off[rows], e), later / n])
+            g[:d] += shrink * free[:d]
             g[d + 1 :] *= np.exp(free[d + 1 :])
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             free = free - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        return cls(free[:d].astype(np.float32), np.cumsum(np.concatenate([free[d : d + 1], np.exp(free[d + 1 :])])))
+        words = np.zeros(max(e, WORD_BUCKETS), np.float32)
+        words[:e] = free[d - e : d]
+        return cls(free[: d - e].astype(np.float32), np.cumsum(np.concatenate([free[d : d + 1], np.exp(free[d + 1 :])])), words)
 
-    def tails(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray, held: list[np.ndarray] | None = None) -> np.ndarray:
+        out = x @ self.weights
+        return out if held is None else out + self.WORD_SCALE * np.array([self.word_weights[h].sum() for h in held], np.float32)
+
+    def tails(self, x: np.ndarray, held: list[np.ndarray] | None = None) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... of each row."""
-        return 1 - _sigmoid(self.thresholds[None, :] - (x @ self.weights)[:, None])
+        return 1 - _sigmoid(self.thresholds[None, :] - self.scores(x, held)[:, None])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -107,22 +142,30 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, most: int = SAMPLE_ROWS) -> CumulativeLink | None:
-    """Fit on at most ``most`` rated documents with their whole texts; None without two grades."""
+    """Fit on at most ``most`` rated documents with their whole texts; None without two grades.
+
+    Of rows that share a rated id one counts, so what the driver gets is
+    bounded by ``most`` rows of fixed features and each text's distinct words.
+    """
     chosen = F.broadcast(stage.sampled(ratings, "rated_id", most))  # ``most`` rows bound it
 
     def run(batches):
         for b in stage.slices(batches, "text"):
-            x = [text_features(t).tobytes() for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            x = [text_features(t).astype(np.float16).tobytes() + np.sort(word_buckets(t)).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], names=["doc_id", "grade", "x"])
 
     docs = docs.select("doc_id", "text")
     rated = docs.join(chosen, docs["doc_id"] == chosen["rated_id"]).select(docs["doc_id"].cast("long").alias("doc_id"), "text", "grade")
-    got = stage.map_batches(rated, run, "doc_id long, grade int, x binary").toPandas()
-    got = got.sort_values(["doc_id", "grade", "x"], ignore_index=True).head(most)
+    rows = stage.map_batches(rated, run, "doc_id long, grade int, x binary")
+    got = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("x").alias("x")).toPandas()
+    got = got.sort_values("doc_id", ignore_index=True)
     if got.grade.nunique() < 2:
         return None
-    x = np.frombuffer(b"".join(got.x), np.float32).reshape(-1, BUCKETS)
-    return CumulativeLink.fit(x, got.grade.to_numpy(), int(got.grade.max()) + 1)
+    dense = 2 * BUCKETS
+    x = np.stack([np.frombuffer(r[:dense], np.float16) for r in got.x]).astype(np.float32)
+    held = [np.frombuffer(r[dense:], np.int32) for r in got.x]
+    return CumulativeLink.fit(x, got.grade.to_numpy(), int(got.grade.max()) + 1, held)
 
 
 def graded_texts(docs: DataFrame, model: CumulativeLink | None, keep_grade: int = KEEP_GRADE, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
@@ -148,7 +191,8 @@ def _grades(texts: pa.Array, model: CumulativeLink | None, keep_grade: int, keep
     n = len(texts)
     if model is None:
         return [pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array([True] * n)]
-    tails = model.tails(np.stack([text_features(t) for t in texts.to_pylist()]))
+    texts = texts.to_pylist()
+    tails = model.tails(np.stack([text_features(t) for t in texts]), [word_buckets(t) for t in texts])
     tail = tails[:, min(keep_grade, tails.shape[1]) - 1]
     return [pa.array(tails.sum(axis=1), pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= keep_probability)]
 
@@ -159,7 +203,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_bad(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model selects, in one pass over whole texts."""
+    """The rows of ``docs`` that the model selects, in one pass over whole texts.
+
+    Null and empty texts are graded like any other; null ids and repeated rows
+    are judged by their own text; columns pass through under any name; without
+    two grades, or from an empty table, all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, graded(labels)))
     at = docs.columns.index("text")
 
@@ -169,4 +218,4 @@ def drop_bad(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = _grades(b.column(at), m, KEEP_GRADE, KEEP_PROBABILITY)[2]
             yield b.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return stage.map_batches(docs, run, docs.schema)
