@@ -63,7 +63,10 @@ def exact_dates(c: Column) -> Column:
     def joined(y: Column, m: Column, d: Column) -> Column:
         return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
 
-    iso = F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
+    iso = F.transform(
+        F.regexp_extract_all(text, F.lit(r"\b\d{4}-\d{1,2}-\d{1,2}\b"), F.lit(0)),
+        lambda s: joined(*(F.element_at(F.split(s, "-"), k) for k in (1, 2, 3))),
+    )
     numeric = F.transform(
         F.regexp_extract_all(text, F.lit(r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b"), F.lit(0)),
         lambda s: joined(*(F.element_at(F.split(s, "[./-]"), k) for k in (3, 2, 1))),
@@ -78,7 +81,7 @@ def exact_dates(c: Column) -> Column:
 def bare_years(c: Column) -> Column:
     """Sorted distinct years 1900 to 2100 that stand outside full dates."""
     names = "|".join(sorted(MONTHS, key=len, reverse=True))
-    full = rf"(?U)\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}\b|\b\d{{1,2}}\s+(?:{names})\s+\d{{4}}\b"
+    full = rf"(?U)\b\d{{4}}-\d{{1,2}}-\d{{1,2}}\b|\b\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}\b|\b\d{{1,2}}\s+(?:{names})\s+\d{{4}}\b"
     rest = F.regexp_replace(lower_tr(c), full, " ")
     found = F.transform(F.regexp_extract_all(rest, F.lit(r"\b(?:19\d{2}|20\d{2}|2100)\b"), F.lit(0)), lambda y: y.cast("int"))
     return F.array_sort(F.array_distinct(found))

@@ -51,7 +51,7 @@ def proposer(text: Column) -> Column:
 
 def speaker(text: Column) -> Column:
     s = C.speaker(text)
-    return F.when(s.isNotNull(), _found(s["author"], "", F.lit("city"), s["city"]).withField("role", s["role"]))
+    return F.when(s.isNotNull(), _found(s["author"], "", F.lit("constituency"), s["constituency"]).withField("role", s["role"]))
 
 
 def detect(document_type: Column, text: Column) -> Column:

@@ -75,19 +75,37 @@ def spans(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return folded.select("doc_id", "c.chunk", "c.char_start", "c.char_end")
 
 
+# How the head of a turn of minutes names its speaker, and what in
+# a name says that a title has slipped into it.
+NAME_PART = "[A-ZÇĞİÖŞÜ][A-ZÇĞİÖŞÜa-zçğıöşü]+"
+FULL_NAME = rf"{NAME_PART}(?:\s+{NAME_PART})+"
+TITLE = r"(?:[A-ZÇĞİÖŞÜ]+\s+)*(?:BAKANI?|BAŞBAKAN(?:\s+YARDIMCISI)?|BAKANLIĞI|DEVLET\s+BAKANI)"
+MINISTER = rf"^\s*({TITLE}(?:\s+VE\s+{TITLE})*)\s+({FULL_NAME})\s*[—\-–]"
+DEPUTY = rf"^\s*({FULL_NAME})\s*\(([^)]+)\)\s*[—\-–]"
+CHAIR = r"^\s*(BAŞKAN|BAŞKANVEKİLİ)\s*[—\-–]"
+DOUBTFUL = r"BAKANI|YARDIMCISI|BAŞBAKAN| VE |(?<![\p{L}\p{N}_])[A-ZÇĞİÖŞÜ](?![\p{L}\p{N}_])"
+LONG_NAME = 35
+
+
 def speaker(text: Column) -> Column:
-    """The speaker that opens a turn of minutes: minister, deputy with city, or chair."""
+    """The speaker that opens a turn of minutes: minister, deputy with constituency, or chair.
+
+    A struct of author, role, constituency and confidence; a name that looks
+    like more than one has half the confidence.
+    """
     head = F.trim(F.regexp_replace(F.substring(text, 1, 200), r"(?U)\s+", " "))
-    name = r"([\p{Lu}][\p{Lu} .'’-]+[\p{Lu}.])"
-    minister = rf"^(?:[\p{{L}} ]*?)BAKANI {name} *(?:\([^)]*\))? *[—–-]"
-    deputy = rf"^{name} \(([^)]+)\) *[—–-]"
-    chair = r"^(BAŞKAN|OTURUM BAŞKANI) *[—–-]"
-    row = lambda a, r, c: F.struct(a.alias("author"), F.lit(r).alias("role"), c.alias("city"))
+    part = lambda p, k: F.trim(F.regexp_extract(head, p, k))
     none = F.lit(None).cast("string")
+
+    def row(author: Column, role: Column, place: Column) -> Column:
+        doubt = (F.length(author) > LONG_NAME) | author.rlike(DOUBTFUL)
+        return F.struct(author.alias("author"), role.alias("role"), place.alias("constituency"), F.when(doubt, 0.5).otherwise(1.0).alias("confidence"))
+
+    chair = part(CHAIR, 1)
     return (
-        F.when(head.rlike(minister), row(F.regexp_extract(head, minister, 1), "bakan", none))
-        .when(head.rlike(deputy), row(F.regexp_extract(head, deputy, 1), "milletvekili", F.regexp_extract(head, deputy, 2)))
-        .when(head.rlike(chair), row(F.regexp_extract(head, chair, 1), "başkan", none))
+        F.when(head.rlike(MINISTER), row(part(MINISTER, 2), F.lower(part(MINISTER, 1)), none))
+        .when(head.rlike(DEPUTY), row(part(DEPUTY, 1), F.lit("milletvekili"), part(DEPUTY, 2)))
+        .when(head.rlike(CHAIR), row(chair, F.lower(chair), none).withField("confidence", F.lit(1.0)))
     )
 
 

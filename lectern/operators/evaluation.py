@@ -149,34 +149,38 @@ def window_bench(queries: DataFrame, chunks: DataFrame, relevant: DataFrame, k:
 
     ``queries`` (query_id, qvec) are a stated set; ``chunks`` (max_tokens,
     chunk, vec) hold each window's vectors. ``relevant`` (query_id, chunk) may
-    lack a query, whose nearest chunk then counts as relevant. Queries are
-    broadcast in blocks of ``QUERY_BLOCK``, and each partition keeps a query's sums and its best rows only:
-    a relevant chunk's rank is a count of the chunks before it.
+    lack a query, whose nearest chunk then counts as relevant. Relevant chunks
+    are found by their key first, and the best of each goes along with its
+    query, which is broadcast in blocks of ``QUERY_BLOCK``. So no pair of query
+    and chunk is shuffled: a partition leaves a query's best rows and a count
+    of the chunks before its first relevant one.
     """
-    # The truth is a part of the stated set, so it goes along with its query.
+    keys = ["max_tokens", "query_id"]
+    cos = lambda: F.round(T.cosine(F.col("q"), T.doubles(F.col("vec"))), 12)
+    asked = queries.select("query_id", T.doubles(F.col("qvec")).alias("q"))
     truth = relevant.groupBy("query_id").agg(F.collect_set("chunk").alias("truth"))
-    side = queries.join(truth, "query_id", "left").select("query_id", "truth", T.doubles(F.col("qvec")).alias("q"))
+    met = relevant.distinct().join(asked, "query_id").join(chunks, "chunk").select(*keys, "chunk", cos().alias("cos"))
+    best = met.groupBy(*keys).agg(F.max(F.struct("cos", (-F.col("chunk")).alias("c"))).alias("best"))
+    best = best.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("max_tokens", "best"))).alias("bests"))
+    side = asked.join(truth, "query_id", "left").join(best, "query_id", "left")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     parts = [side if blocks == 1 else side.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    met = reduce(DataFrame.unionByName, [chunks.join(F.broadcast(p)) for p in parts])
-    pairs = met.withColumn("cos", F.round(T.cosine(F.col("q"), T.doubles(F.col("vec"))), 12)).drop("q", "vec")
-    keys = ["max_tokens", "query_id"]
+    pairs = reduce(DataFrame.unionByName, [chunks.join(F.broadcast(p)) for p in parts]).withColumn("cos", cos()).drop("q", "vec")
+    first = F.try_element_at("bests", F.col("max_tokens"))
+    before = (F.col("cos") > first["cos"]) | ((F.col("cos") == first["cos"]) & (-F.col("chunk") > first["c"]))
+    found = pairs.groupBy(*keys).agg(F.sum(before.cast("int")).alias("n_before"), F.max(F.col("truth").isNull()).alias("own"))
     w = Window.partitionBy(*keys).orderBy(F.desc("cos"), "chunk")
-    top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(k, near))
+    top = pairs.drop("bests").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(k, near))
     hit = F.when(F.col("truth").isNull(), F.col("rank") == 1).otherwise(F.array_contains("truth", F.col("chunk")))
-    # The first relevant chunk in the order can lie beyond the best rows.
-    best = pairs.filter("truth is not null and array_contains(truth, chunk)").groupBy(*keys).agg(F.max(F.struct("cos", (-F.col("chunk")).alias("c"))).alias("best"))
-    ahead = F.col("cos") > F.col("best.cos")
-    tied = (F.col("cos") == F.col("best.cos")) & (-F.col("chunk") > F.col("best.c"))
-    first = pairs.join(best, keys).filter(ahead | tied).groupBy(*keys).agg(F.count("*").alias("n_before"))
-    first = best.select(*keys).join(first, keys, "left").select(*keys, (1 / (F.coalesce("n_before", F.lit(0)) + 1)).alias("found"))
     gain = F.when(hit & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(1), F.size(F.coalesce("truth", F.array(F.lit(0).cast("long"))))))), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))
     per = top.groupBy(*keys).agg(
         F.sum(gain).alias("dcg"), F.first(ideal).alias("ideal"), F.sum((hit & (F.col("rank") <= near)).cast("int")).alias("hits"),
-        F.avg(F.when(F.col("rank") <= near, F.col("cos"))).alias("near_cos"), F.max(F.col("truth").isNull()).alias("own"),
+        F.avg(F.when(F.col("rank") <= near, F.col("cos"))).alias("near_cos"),
     )
-    scored = per.join(first, keys, "left").withColumn("mrr", F.when(F.col("own"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
+    # Without a relevant chunk among all there is no place before which to count.
+    mrr = F.when(F.col("own"), 1.0).otherwise(F.coalesce(1 / (F.col("n_before") + 1), F.lit(0.0)))
+    scored = per.join(found, keys).withColumn("mrr", mrr)
     return scored.groupBy("max_tokens").agg(
         F.avg("mrr").alias("mrr"), F.avg(F.col("dcg") / F.col("ideal")).alias("ndcg"), F.avg(F.col("hits") / near).alias("precision"), F.avg("near_cos").alias("avg_cos")
     )

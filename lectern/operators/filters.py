@@ -84,14 +84,17 @@ def relaxed(df: DataFrame, c: Criteria, columns: dict[str, str] | None = None) -
 def resolve_names(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(wanted, label): labels that hold all words of a wanted name.
 
-    Both sides are exploded to words and counted, so no pair is compared whose
-    names share no word.
+    Names meet labels under their rarest word alone, and the other words are
+    then looked for in the label, so a common word joins nothing.
     """
-    w = wanted.select("wanted", T.name_tokens(F.col("wanted")).alias("ws")).filter(F.size("ws") > 0)
-    words = w.select("wanted", F.size("ws").alias("need"), F.explode("ws").alias("word"))
-    labels = vocabulary.select("label").distinct().select("label", F.explode(T.name_tokens(F.col("label"))).alias("word"))
-    hits = words.join(labels, "word").groupBy("wanted", "label", "need").count()
-    return hits.filter(F.col("count") == F.col("need")).select("wanted", "label")
+    w = wanted.select("wanted", T.name_tokens(F.col("wanted")).alias("ws")).distinct().filter(F.size("ws") > 0)
+    labels = vocabulary.select("label").distinct().select("label", T.name_tokens(F.col("label")).alias("held"))
+    words = labels.select("label", "held", F.explode("held").alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("n"))
+    each = w.select("wanted", "ws", F.explode("ws").alias("word")).join(known, "word", "left")
+    rarest = each.groupBy("wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"), F.first("ws").alias("ws"))
+    met = rarest.filter("r.n > 0").select("wanted", "ws", F.col("r.word").alias("word")).join(words, "word")
+    return met.filter(F.size(F.array_except("ws", "held")) == 0).select("wanted", "label")
 
 
 def has_hints(c: Column, keywords: list[str]) -> Column:
@@ -113,8 +116,19 @@ def within(df: DataFrame, most: float, column: str = "distance") -> DataFrame:
     return df.filter(F.col(column).isNull() | (F.col(column) <= most))
 
 
-def banned_words(c: Column, words: list[str]) -> Column:
-    """Distinct banned words among the folded tokens of a text, in order of appearance."""
+def banned_words(c: Column, words: list[str], patterns: list[str] | None = None, on: bool = True) -> Column:
+    """Distinct banned words among the folded tokens of a text, in order of appearance.
+
+    What ``patterns`` match in the folded text comes after them, pattern by
+    pattern; switched off, nothing is found.
+    """
+    if not on:
+        return F.array().cast("array<string>")
+    if patterns:
+        matched = [F.regexp_extract_all(T.fold(c), F.lit(p), F.lit(0)) for p in patterns]
+        return F.array_distinct(F.concat(banned_words(c, words), *matched))
+    if not words:
+        return F.array().cast("array<string>")
     found = F.array_distinct(F.regexp_extract_all(T.fold(c), F.lit(r"(?U)\w+"), F.lit(0)))
     return F.array_intersect(found, F.array(*[T.fold(F.lit(w)) for w in words]))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+
 KEY = ["document_id", "collection"]
 #: Columns that keep the old value where the new one is null.
 SOFT = ("quality_json", "perf_json")
@@ -95,16 +97,34 @@ def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     return children.withColumn("_p", pid).join(parents.select(F.col("document_id").alias("_p")), "_p", "left_anti").drop("_p")
 
 
-def validate(rows: DataFrame, collections: list[str], types: list[str]) -> DataFrame:
-    """(document_id, error) for each rule an ingest request breaks; of equal ids the second on."""
-    w = Window.partitionBy("document_id").orderBy("position")
-    marked = rows.withColumn("_n", F.row_number().over(w))
+def validate(rows: DataFrame, collections: list[str], types: list[str], files: DataFrame | None = None) -> DataFrame:
+    """(position, document_id, error) for each rule a row breaks; of equal ids the second on.
+
+    With ``files`` (path), a source that is neither a URL nor one of them is
+    missing. The first place of each id is aggregated, so rows without an id
+    meet nowhere.
+    """
+    known = F.coalesce("document_id", F.lit("")) != ""
+    first = rows.filter(known).groupBy("document_id").agg(F.min("position").alias("_first"))
+    marked = rows.join(first, "document_id", "left")
     rules = [
-        (F.coalesce("document_id", F.lit("")) == "", "missing id"),
-        ((F.coalesce("document_id", F.lit("")) != "") & (F.col("_n") > 1), "duplicate id"),
+        (~known, "missing id"),
+        (known & (F.col("position") > F.col("_first")), "duplicate id"),
         (F.col("document_type").isNull(), "missing type"),
         (F.col("document_type").isNotNull() & ~F.col("document_type").isin(types), "unknown type"),
         (~F.coalesce("collection", F.lit("")).isin(collections), "unknown collection"),
     ]
+    if files is not None:
+        there = files.select(F.col("path").alias("_path")).distinct()
+        marked = marked.join(there, marked["document_source"] == there["_path"], "left")
+        local = (F.coalesce("document_source", F.lit("")) != "") & ~T.is_url(F.col("document_source"))
+        rules.append((local & F.col("_path").isNull(), "missing source"))
     errors = F.filter(F.array(*[F.when(c, F.lit(e)) for c, e in rules]), lambda e: e.isNotNull())
     return marked.select("position", "document_id", F.explode(errors).alias("error"))
+
+
+def request_errors(requests: DataFrame, collections: list[str]) -> DataFrame:
+    """(collection, error) of whole requests (collection, documents): an unknown collection, no documents."""
+    rules = [(~F.coalesce("collection", F.lit("")).isin(collections), "unknown collection"), (F.coalesce(F.size("documents"), F.lit(0)) < 1, "no documents")]
+    errors = F.filter(F.array(*[F.when(c, F.lit(e)) for c, e in rules]), lambda e: e.isNotNull())
+    return requests.select("collection", F.explode(errors).alias("error"))

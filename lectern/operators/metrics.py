@@ -134,15 +134,23 @@ def regressions(now: DataFrame, golden: DataFrame, columns: list[str], most: flo
     return j.select("query_id", worst.alias("drop"), (worst > most).alias("regressed"))
 
 
-def latency(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean and nearest-rank percentiles of each label.
+def latency(df: DataFrame, by: str, value: str, blocks: int = 64) -> DataFrame:
+    """Mean and exact nearest-rank percentiles of each label.
 
-    A row number against the group's size finds each percentile, so no group is
-    gathered into an array; the sort spills.
+    Approximate quantiles cut each label's values into blocks, whose counts say
+    in which block a percentile's place falls; only those blocks are ranked, so
+    a hot label is neither sorted nor gathered whole.
     """
-    size = df.filter(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    w = Window.partitionBy(by).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("i"))
-    at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    pick = lambda p: F.max(F.when(F.col("i") == at(p), F.col("v"))).alias(f"p{p}")
-    return ranked.join(size, by).groupBy(by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), pick(50), pick(95), pick(99))
+    known = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"))
+    ends = F.percentile_approx("v", [k / blocks for k in range(1, blocks)], 10_000).alias("ends")
+    size = known.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), ends)
+    dealt = known.join(size.select(by, "ends"), by).select(by, "v", F.size(F.filter("ends", lambda e: e < F.col("v"))).alias("block"))
+    counts = dealt.groupBy(by, "block").agg(F.count("*").alias("here"))
+    before = F.sum("here").over(Window.partitionBy(by).orderBy("block")) - F.col("here")
+    place = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
+    wanted = size.select(by, "n", "mean", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), place(p).alias("i")) for p in (50, 95, 99)])).alias("w"))
+    found = counts.withColumn("before", before).join(wanted, by).filter((F.col("w.i") >= F.col("before")) & (F.col("w.i") < F.col("before") + F.col("here")))
+    found = found.select(by, "block", "n", "mean", "w.p", (F.col("w.i") - F.col("before") + 1).alias("nth"))
+    ranked = dealt.join(found, [by, "block"])
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(by, "p").orderBy("v"))).filter("r = nth")
+    return ranked.groupBy(by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in (50, 95, 99)])

@@ -26,16 +26,28 @@ def outliers(docs: DataFrame, by: str, value: str, least: int = 3, most: float =
     g = docs.groupBy(by).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     others = (F.col("_s") - F.col(value)) / (F.col("_n") - 1)
     off = F.abs(F.col(value) - others) / others
-    j = docs.join(F.broadcast(g) if by in ("lang", "source") else g, by)
+    j = docs.join(g, by)
     return j.withColumn("others_mean", F.when(F.col("_n") > least, others)).withColumn("outlier", F.coalesce((F.col("_n") > least) & (others > 0) & (off > most), F.lit(False))).drop("_s", "_n")
 
 
-def outliers_so_far(docs: DataFrame, by: str, value: str, order: str, least: int = 3, most: float = 0.3) -> DataFrame:
-    """The same against the documents before it, as a first pass in order sees them."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    n, mean = F.count(value).over(w), F.avg(value).over(w)
+def outliers_so_far(docs: DataFrame, by: str, value: str, order: str, least: int = 3, most: float = 0.3, blocks: int = 64) -> DataFrame:
+    """The same against the documents before it, as a first pass in order sees them.
+
+    The order is cut into ``blocks`` at its quantiles. Sums of a group's blocks
+    are carried over first, then each block runs by itself, so a hot group is
+    spread over as many tasks.
+    """
+    ends = docs.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 1000).alias("_ends"))
+    dealt = docs.join(F.broadcast(ends)).withColumn("_block", F.coalesce(F.size(F.filter("_ends", lambda e: e < F.col(order))), F.lit(0))).drop("_ends")  # one row of ends
+    sums = dealt.groupBy(by, "_block").agg(F.count(value).alias("_n"), F.sum(value).alias("_s"))
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"))
+    joined = dealt.join(sums.select(F.col(by).alias("_by"), F.col("_block").alias("_b"), "_n", "_s"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b"))).drop("_by", "_b")
+    w = Window.partitionBy(by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("_n") + F.count(value).over(w)
+    mean = F.when(n > 0, (F.col("_s") + F.coalesce(F.sum(value).over(w), F.lit(0))) / n)
     off = F.abs(F.col(value) - mean) / mean
-    return docs.withColumn("seen", n).withColumn("outlier", F.coalesce((n >= least) & (off > most), F.lit(False)))
+    return joined.withColumn("seen", n).withColumn("outlier", F.coalesce((F.col("seen") >= least) & (off > most), F.lit(False))).drop("_block", "_n", "_s")
 
 
 # Vowels, other letters of Turkish words (a capital dotted i

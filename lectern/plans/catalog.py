@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import answers, ingest, records, registry, search, texts
+from lectern.plans import answers, ingest, records, registry, search, storage, texts
 
-__all__ = ["FLAGSHIP", "answers", "ingest", "oracle_sql", "queries", "records", "search", "texts"]
+__all__ = ["FLAGSHIP", "answers", "ingest", "oracle_sql", "queries", "records", "search", "storage", "texts"]
 
 FLAGSHIP = search.rank_metrics
 

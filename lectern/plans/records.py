@@ -21,6 +21,26 @@ def _entries(m: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
 
 
+# Heads of turns by kind: a minister, one with a compound title, a deputy, both chairs, and none.
+_HEADS = ["DEVLET BAKANI {n} —", "DIŞİŞLERİ BAKANI VE BAŞBAKAN YARDIMCISI {n} -", "{n}  (İzmir) –", "BAŞKAN —", "BAŞKANVEKİLİ —", "{n} dedi ki —", "{n} A. KAYA (Van) —"]
+
+
+@query(
+    "c5_speakers",
+    """WITH m AS (SELECT s_suppkey AS k, s_suppkey % 7 AS c, 'ALİ' || repeat(' KAYA', s_nationkey::INT % 8 + 1) AS name FROM supplier)
+    SELECT k, CASE WHEN c IN (0, 1, 2) THEN name WHEN c = 3 THEN 'BAŞKAN' WHEN c = 4 THEN 'BAŞKANVEKİLİ' END AS author,
+    CASE c WHEN 0 THEN 'devlet bakani' WHEN 1 THEN 'dişi̇şleri̇ bakani ve başbakan yardimcisi' WHEN 2 THEN 'milletvekili' WHEN 3 THEN 'başkan' WHEN 4 THEN 'başkanveki̇li̇' END AS role, CASE WHEN c = 2 THEN 'İzmir' END AS constituency,
+    CASE WHEN c < 3 THEN CASE WHEN length(name) > 35 THEN 0.5 ELSE 1 END WHEN c < 5 THEN 1 END::DOUBLE AS confidence FROM m""",
+)
+def speakers(spark, d):
+    """Heads of minutes with a name of growing length."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("ALİ"), F.repeat(F.lit(" KAYA"), (F.col("s_nationkey") % 8 + 1).cast("int")))
+    heads = F.element_at(F.array(*[F.replace(F.lit(h + " Sayın"), F.lit("{n}"), name) for h in _HEADS]), (k % 7 + 1).cast("int"))
+    found = table(spark, d, "supplier").select(k.alias("k"), C.speaker(heads).alias("s"))
+    return found.select("k", "s.author", "s.role", "s.constituency", "s.confidence")
+
+
 @query(
     "c5_c8_detected_authors",
     """WITH s AS (SELECT s_suppkey AS k, 'Ali Kay' || repeat('a', s_nationkey::INT % 5 + 1) AS name FROM supplier), m AS (SELECT *, k % 6 AS c FROM s)
@@ -148,13 +168,20 @@ def sanitized(spark, d):
     return e.select("vec_id", _entries(D.sanitized(e, ["label", "ok", "parts", "more", "gone"])).alias("meta"))
 
 
-@query("f15_f16_hashes", "SELECT doc_id, sha256(text)[1:32] AS content_hash, md5('ocr:' || doc_id || ':' || lang) AS cache_key, sha256(text) AS full_hash, sha256(text || strlen(text))[1:32] AS fast_hash FROM documents WHERE strlen(text) <= 1048576")
+@query(
+    "f15_f16_hashes",
+    """WITH f AS (SELECT doc_id, lang, encode(CASE WHEN doc_id % 100 = 0 THEN repeat('é' || doc_id, 700000) ELSE text END) AS content FROM documents)
+    SELECT doc_id, sha256(content)[1:32] AS content_hash, md5('ocr:' || doc_id || ':' || lang) AS cache_key, sha256(content) AS full_hash, sha256(array_slice(content, 1, 1048576) || encode(octet_length(content)::VARCHAR))[1:32] AS fast_hash FROM f""",
+)
 def hashes(spark, d):
-    raw = F.col("text").cast("binary")
-    docs = table(spark, d, "documents").filter("octet_length(text) <= 1048576")
+    """Whole texts, and for one in a hundred a file of more than a megabyte, whose fast hash reads its head."""
+    k = F.col("doc_id")
+    text = F.when(k % 100 == 0, F.repeat(F.concat(F.lit("é"), k.cast("string")), F.lit(700_000))).otherwise(F.col("text"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", text.alias("content"))
+    raw = F.col("content").cast("binary")
     return docs.select(
-        "doc_id", D.text_hash(F.col("text")).alias("content_hash"), D.cache_key(F.lit("ocr"), F.col("doc_id").cast("string"), F.col("lang")).alias("cache_key"),
-        D.file_hash(raw).alias("full_hash"), D.fast_file_hash(raw, F.octet_length("text")).alias("fast_hash"),
+        "doc_id", D.text_hash(F.col("content")).alias("content_hash"), D.cache_key(F.lit("ocr"), k.cast("string"), F.col("lang")).alias("cache_key"),
+        D.file_hash(raw).alias("full_hash"), D.fast_file_hash(raw, F.octet_length("content")).alias("fast_hash"),
     )
 
 
@@ -303,7 +330,7 @@ def plans(spark, d):
 @query(
     "u17_u18_contexts",
     """WITH c AS (SELECT conv_id AS query_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations), a AS (SELECT query_id, '[' || n || '] (' || role || '/d' || query_id || '/' || turn || ')' || chr(10) || text AS b, n FROM c),
-    l AS (SELECT query_id, turn, role, text, role <> 'user' AS second FROM c WHERE turn % 4 <> 3), m AS (SELECT query_id, md5(string_agg('[' || role || ']' || chr(10) || text[1:80], chr(10) || chr(10) ORDER BY second, turn)) AS merged FROM l GROUP BY 1)
+    l AS (SELECT query_id, turn, role, text, role <> 'user' AS second FROM c WHERE turn % 4 <> 3), m AS (SELECT query_id, md5(string_agg(('[' || role || ']' || chr(10) || text)[1:80], chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY second, turn)) AS merged FROM l GROUP BY 1)
     SELECT query_id, md5(string_agg(b, chr(10) || chr(10) ORDER BY n)) AS cited, any_value(merged) AS merged FROM a LEFT JOIN m USING (query_id) GROUP BY 1""",
 )
 def contexts(spark, d):

@@ -175,11 +175,16 @@ def assembly(spark, d):
     return R.assemble(_pool(spark, d), budget=3, per_document=1, total=8)
 
 
+_STEP = """SELECT s.query_id, s.oi, CASE WHEN ok THEN list_append(docs, s.document_id) ELSE docs END, CASE WHEN ok THEN list_append(ids, s.chunk_id) ELSE ids END, CASE WHEN ok THEN list_append(colls, s.collection) ELSE colls END
+  FROM (SELECT s.*, o.document_id, o.chunk_id, o.collection, o.i AS oi, NOT list_contains(docs, o.document_id) AND {room} AS ok FROM {st} s JOIN {o} o ON o.query_id = s.query_id AND o.i = s.i + 1) s"""
+
+
 @query(
     "u9_expansion",
-    f"""WITH {HITS}, {POOL}, used AS (SELECT DISTINCT query_id, document_id FROM pool WHERE rank <= 6), fresh AS (SELECT * FROM pool WHERE rank > 6 AND (query_id, document_id) NOT IN (SELECT query_id, document_id FROM used)),
-    once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY priority, rank) AS n FROM fresh) WHERE n = 1)
-    SELECT * FROM (SELECT query_id, chunk_id, collection, row_number() OVER (PARTITION BY query_id, collection ORDER BY rank, chunk_id) AS position FROM once) WHERE position <= 2""",
+    f"""WITH RECURSIVE {HITS}, {POOL}, used AS (SELECT query_id, list(DISTINCT document_id) AS docs FROM pool WHERE rank <= 6 GROUP BY 1), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority, rank) AS i FROM pool WHERE rank > 6),
+    st(query_id, i, docs, ids, colls) AS (SELECT query_id, 0::BIGINT, docs, []::BIGINT[], []::VARCHAR[] FROM used UNION ALL {_STEP.format(room="len(list_filter(colls, lambda x: x = o.collection)) < 2", st="st", o="o")}),
+    fin AS (SELECT query_id, arg_max(ids, i) AS ids, arg_max(colls, i) AS colls FROM st GROUP BY 1)
+    SELECT query_id, unnest(ids) AS chunk_id, unnest(colls) AS collection, unnest(range(1, len(ids) + 1)) AS position FROM fin""",
 )
 def expansion(spark, d):
     p = _pool(spark, d)
@@ -188,11 +193,81 @@ def expansion(spark, d):
 
 @query(
     "u10_evidence",
-    f"""WITH {HITS}, {POOL}, g AS (SELECT query_id, count(*) AS n, count(DISTINCT collection) AS n_collections FROM pool WHERE distance <= 0.9 GROUP BY 1)
-    SELECT query_id, n, n_collections, CASE WHEN n >= 4 AND n_collections >= 2 THEN 'answer' WHEN n >= 2 THEN 'judge' ELSE 'expand' END AS action, CASE WHEN n >= 4 AND n_collections >= 2 THEN 0.85 ELSE 0.4 END::DOUBLE AS confidence FROM g""",
+    f"""WITH {HITS}, {POOL}, g AS (SELECT query_id, count(chunk_id) AS n, count(DISTINCT collection) AS n_collections FROM q LEFT JOIN (SELECT * FROM pool WHERE distance <= 0.78 AND (query_id % 60 > 0 OR collection = '3')) USING (query_id) GROUP BY 1)
+    SELECT query_id, n, n_collections, CASE WHEN n = 0 THEN 'clarify' WHEN n >= 4 AND n_collections >= 2 THEN 'answer' WHEN n BETWEEN 2 AND 4 THEN 'judge' ELSE 'expand' END AS action,
+    CASE WHEN n = 0 THEN 0 WHEN n >= 4 AND n_collections >= 2 THEN 0.85 ELSE 0.4 END::DOUBLE AS confidence FROM g""",
 )
 def evidence(spark, d):
-    return R.evidence(_pool(spark, d).filter("distance <= 0.9"))
+    found = _pool(spark, d).filter("distance <= 0.78 and (query_id % 60 > 0 or collection = '3')")
+    return R.evidence(found, _queries(spark, d))
+
+
+_SAID = """CASE turn % 7 WHEN 0 THEN 'So: {"sufficient": true, "confidence": 0.' || conv_id % 10 || ', "action": "answer", "missing_aspects": []} end' WHEN 1 THEN '{"sufficient": false, "confidence": 0.5, "action": "clarify", "missing_aspects": ["' || role || '"]}'
+WHEN 2 THEN '{"sufficient": false, "confidence": 0.5}' WHEN 3 THEN '{"confidence": 0.5, "action": "wait"}' WHEN 4 THEN 'no object here' WHEN 5 THEN '{"action": "answer", broken}' ELSE '{"confidence": "high", "action": "answer"}' END"""
+
+
+@query(
+    "u11_judgement",
+    """SELECT conv_id, turn, k = 0 AS sufficient, CASE k WHEN 0 THEN conv_id % 10 / 10.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.5 ELSE 0.4 END::DOUBLE AS confidence, CASE k WHEN 0 THEN 'answer' WHEN 1 THEN 'clarify' ELSE 'expand' END AS action,
+    CASE WHEN k IN (0, 2) THEN '' WHEN k = 1 THEN role ELSE 'insufficient_chunks' END AS missing, CASE WHEN k < 3 THEN 'llm' ELSE 'heuristic' END AS judge_type FROM (SELECT *, turn % 7 AS k FROM conversations)""",
+)
+def judgement(spark, d):
+    """A judge's words in every shape, from usable to broken, which falls back to expanding."""
+    c = table(spark, d, "conversations")
+    j = c.select("conv_id", "turn", R.judgement(F.expr(_SAID)).alias("j"))
+    return j.select("conv_id", "turn", "j.sufficient", F.round("j.confidence", 6).alias("confidence"), "j.action", F.array_join("j.missing_aspects", ",").alias("missing"), "j.judge_type")
+
+
+_BY_LABEL = f"""b AS (SELECT query_id, chunk_id, label, distance, row_number() OVER (PARTITION BY query_id, label ORDER BY round(distance, 9), chunk_id) AS rank FROM
+  (SELECT query_id, vec_id AS chunk_id, label, {DIST.format(a="q.v", b="e.embedding::DOUBLE[]")} AS distance FROM (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) q JOIN embeddings e ON e.vec_id <> query_id))"""
+
+
+@query(
+    "u2_fan_out",
+    f"""WITH {_BY_LABEL}, s AS (SELECT *, list_position([3, 1, 4, 5], label) AS source_ord FROM b WHERE label IN (3, 1, 4, 5) AND rank <= 20), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min((source_ord, rank)) AS seen, arg_max(distance, source_ord) AS distance FROM s GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seen, chunk_id) AS rank FROM f) SELECT query_id, chunk_id, round(rrf, 6) AS rrf, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10""",
+)
+def fan_out(spark, d):
+    """Twenty from each of four collections, which the order of sources fuses."""
+    got = R.fan_out(_queries(spark, d), _chunks(spark, d), [3, 1, 4, 5], "label", condition=F.col("chunk_id") != F.col("query_id"))
+    return got.select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"), F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(
+    "u1_rrf_compat",
+    f"""WITH v AS ({_VIEW_SQL}), i AS (SELECT *, 'd' || chunk_id % 9 || '_c' || CASE WHEN chunk_id % 4 > 0 THEN chunk_id // 9 ELSE rank END AS uid FROM v), f AS (SELECT query_id, uid, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min((source_ord, rank)) AS seen, arg_max(distance, (source_ord, -rank)) AS distance FROM i GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, seen, uid) AS rank FROM f) SELECT query_id, uid AS chunk_id, round(rrf, 6) AS rrf, rank FROM r WHERE rank <= 10""",
+)
+def rrf_compat(spark, d):
+    """Chunks known by document and index; those without an index meet by their rank."""
+    c = F.col("chunk_id")
+    v = _ranked_views(spark, d).withColumn("document_id", F.concat(F.lit("d"), (c % 9).cast("string"))).withColumn("chunk_index", F.when(c % 4 > 0, F.floor(c / 9).cast("int")))
+    return R.rrf_sources(v, 10, compat=True).select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"), "rank")
+
+
+@query(
+    "o4_orchestrated",
+    f"""WITH RECURSIVE {HITS}, {POOL}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(distance, 9), chunk_id) AS r FROM pool WHERE distance <= 0.9),
+    mine AS (SELECT * FROM near WHERE (query_id // 20 + label) % 3 > 0 AND query_id % 140 > 0 AND r <= 3),
+    o1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY label, r) AS i FROM mine WHERE r <= 1),
+    a(query_id, i, docs, ids, colls) AS (SELECT query_id, 0::BIGINT, []::VARCHAR[], []::BIGINT[], []::VARCHAR[] FROM q UNION ALL {_STEP.format(room="len(ids) < 6", st="a", o="o1")}),
+    t AS (SELECT query_id, arg_max(docs, i) AS docs, arg_max(ids, i) AS ids, arg_max(colls, i) AS colls FROM a GROUP BY 1),
+    w AS (SELECT *, len(ids) > 0 AND NOT (len(ids) >= 4 AND len(list_distinct(colls)) >= 2) AS more FROM t),
+    o2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY label, r) AS i FROM mine WHERE r > 1 AND query_id IN (SELECT query_id FROM w WHERE more)),
+    z(query_id, i, docs, ids, colls) AS (SELECT query_id, 0::BIGINT, docs, ids, colls FROM w UNION ALL {_STEP.format(room="true", st="z", o="o2")}),
+    u AS (SELECT query_id, arg_max(ids, i) AS ids, arg_max(colls, i) AS colls FROM z GROUP BY 1)
+    SELECT query_id, CASE WHEN query_id % 140 = 0 THEN 'refuse' WHEN len(u.ids) = 0 THEN 'clarify' WHEN len(u.ids) >= 4 AND len(list_distinct(u.colls)) >= 2 THEN 'answer' ELSE 'expand' END AS action,
+    len(w.ids) AS n_primary, len(u.ids) AS n, len(u.ids) > len(w.ids) AS expanded, array_to_string(u.ids, ',') AS chunk_ids FROM u JOIN w USING (query_id)""",
+)
+def orchestrated(spark, d):
+    """Plans of one primary and two reserve rows in each allowed collection, through assembly, evidence and expansion."""
+    near = _pool(spark, d).drop("rank", "priority").filter("distance <= 0.9")
+    ranked = first_rows(near, ["query_id", "collection"], [F.round("distance", 9), F.col("chunk_id")], 20).select("query_id", "collection", "document_id", "chunk_id", "rank")
+    q = _queries(spark, d)
+    label = F.explode(F.sequence(F.lit(2), F.lit(7)))
+    plans = q.filter("query_id % 140 > 0").select("query_id", label.alias("priority")).filter("(query_id div 20 + priority) % 3 > 0")
+    plans = plans.select("query_id", F.col("priority").cast("string").alias("collection"), "priority", F.lit(1).alias("retrieval_budget"), F.lit(2).alias("reserve_budget"))
+    return R.orchestrate(q, ranked, plans, per_document=1, total=6).withColumn("chunk_ids", F.array_join(F.col("chunk_ids").cast("array<string>"), ","))
 
 
 @query("u13_merge_results", f"WITH {HITS} SELECT query_id, chunk_id FROM hits WHERE rank <= 5 UNION ALL SELECT DISTINCT query_id, chunk_id FROM hits WHERE rank > 5")
@@ -203,16 +278,42 @@ def merge_results(spark, d):
 
 @query(
     "u14_context",
-    f"""WITH {HITS}, b AS (SELECT query_id, rank, '[' || source || ' | ' || lang || ']' || chr(10) || substring(text, 1, 400) AS block FROM hits JOIN documents ON doc_id = chunk_id WHERE distance <= 1.0),
+    f"""WITH {HITS}, h AS (SELECT query_id, rank, text, concat_ws(' | ', CASE WHEN source <> 'src1' THEN source END, CASE WHEN doc_id % 4 > 0 THEN lang END, CASE WHEN doc_id % 5 > 0 THEN 'Dönem ' || doc_id % 5 END, CASE WHEN doc_id % 3 = 0 THEN 'Ali Kaya' ELSE NULL END) AS head
+      FROM hits JOIN documents ON doc_id = chunk_id WHERE distance <= 1.0),
+    b AS (SELECT query_id, rank, substring(CASE WHEN head <> '' THEN '[' || head || ']' || chr(10) ELSE '' END || text, 1, 400) AS block FROM h),
     r AS (SELECT *, row_number() OVER w AS n, sum(length(block)) OVER w AS size FROM b WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
     o AS (SELECT *, max((n > 1 AND size > 2000)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS over_ FROM r)
-    SELECT query_id, count(*) AS n_chunks, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM o WHERE over_ = 0 GROUP BY 1""",
+    SELECT query_id, count(*) AS n_chunks, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM o WHERE over_ = 0 GROUP BY 1""",
 )
 def context(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", F.col("lang").alias("date"))
+    """No more of a text than a block can show goes through the join."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents").select(
+        k.alias("chunk_id"), F.substring("text", 1, 400).alias("text"), F.when(F.col("source") != "src1", F.col("source")).alias("source"), F.when(k % 4 > 0, F.col("lang")).otherwise("").alias("date"),
+        (k % 5).cast("int").alias("period"), F.when(k % 3 == 0, "Ali Kaya").alias("author"),
+    )
     return R.context(_hits(spark, d).join(docs, "chunk_id"), 400, 1.0, 2000)
 
 
+@query(
+    "v9_retrieve",
+    """WITH d AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, 1990 + vec_id % 5 AS year, regexp_replace(text, '[0-9]', '#', 'g') AS text, source FROM embeddings JOIN documents ON doc_id = vec_id),
+    q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, CASE WHEN vec_id % 60 = 0 THEN [1990, 1992] WHEN vec_id % 60 = 20 THEN [1993] ELSE [1990, 1991, 1992, 1993, 1994] END AS y FROM embeddings WHERE vec_id % 20 = 0),
+    p AS (SELECT query_id, chunk_id, text, source, year, """ + DIST.format(a="a", b="v") + """ AS distance FROM q JOIN d ON list_contains(y, d.year) AND chunk_id <> query_id),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS r FROM p) WHERE r <= 20),
+    s AS (SELECT *, -(chunk_id % 3) - distance AS score FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+    SELECT query_id, chunk_id, rank, round(1 - 1 / (1 + exp(-score)), 6) AS distance, md5('Kaynak: ' || source || ' | Yıl: ' || year || chr(10) || text[1:3000]) AS shown FROM k WHERE rank <= 5""",
+)
+def retrieve(spark, d):
+    """Years from a date and from bare years, rank, rerank, crop and head; the words asked for occur in no text."""
+    k = F.col("query_id")
+    q = _queries(spark, d).withColumn("query", F.when(k % 60 == 0, "3.4.1992 & 1990 zqxv").when(k % 60 == 20, "zqxv 1993").otherwise("zqxv"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace("text", "[0-9]", "#").alias("text"), "source")
+    c = _chunks(spark, d).join(docs, "chunk_id").withColumn("year", (F.lit(1990) + F.col("chunk_id") % 5).cast("int"))
+    got = R.retrieve(q, c, 5, 20, [("Kaynak", "source"), ("Yıl", "year")], -(F.col("chunk_id") % 3) - F.col("distance"), F.col("chunk_id") != k)
+    return got.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"), F.md5("shown").alias("shown"))
+
+
 @query(
     "v9_retrieve_with_year_filter",
     """WITH d AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, 1990 + vec_id % 30 AS year FROM embeddings), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a, 1990 + vec_id % 7 AS y FROM embeddings WHERE vec_id % 20 = 0),

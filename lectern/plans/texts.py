@@ -45,7 +45,7 @@ def dates(spark, d):
     """Each order's date in three spellings and its bare year must come back as one date and one year."""
     o, c = table(spark, d, "orders"), F.col("o_orderdate")
     month = F.element_at(F.array(*[F.lit(m) for m in _TR]), F.month(c))
-    text = F.concat_ws(" ", F.dayofmonth(c), month, F.year(c), F.lit("ile"), F.date_format(c, "dd.MM.yyyy"), F.lit("ve"), F.date_format(c, "yyyy-MM-dd"), F.lit("ayrıca"), F.year(c), F.lit("yılı"))
+    text = F.concat_ws(" ", F.dayofmonth(c), month, F.year(c), F.lit("ile"), F.date_format(c, "dd.MM.yyyy"), F.lit("ve"), F.date_format(c, "yyyy-M-d"), F.lit("ayrıca"), F.year(c), F.lit("yılı"))
     return o.select("o_orderkey", F.array_join(T.exact_dates(text), ",").alias("dates"), F.array_join(T.bare_years(text).cast("array<string>"), ",").alias("years"), T.iso_year(F.date_format(c, "yyyy-MM-dd")).alias("iso_year"))
 
 
@@ -115,9 +115,18 @@ def masked(spark, d):
     return P.apply(_meta(spark, d), c).select("doc_id")
 
 
-@query("p7_relaxation", f"SELECT doc_id, 'no_author' AS level FROM ({META}) WHERE year = 2001")
+_TIERS = "SELECT {a} AS asked, doc_id, level FROM (SELECT *, min(tier) OVER () AS least FROM (SELECT doc_id, CASE WHEN year = {y} AND author = '{w}' THEN 0 WHEN year = {y} THEN 1 ELSE 2 END AS tier, ['full', 'no_author', 'semantic_only'] AS names FROM ({m}))), unnest([names[least + 1]]) AS u(level) WHERE tier <= least"
+ASKED = ((2001, "nobody"), (2003, "src1"), (1900, "nobody"))
+
+
+@query("p7_relaxation", " UNION ALL ".join(_TIERS.format(a=k, y=y, w=w, m=META) for k, (y, w) in enumerate(ASKED)))
 def relaxation(spark, d):
-    return P.relaxed(_meta(spark, d), P.Criteria(year=2001, author="nobody")).select("doc_id", "level")
+    """Criteria that hold in full, without their author, and not at all."""
+    out = None
+    for k, (year, author) in enumerate(ASKED):
+        got = P.relaxed(_meta(spark, d), P.Criteria(year=year, author=author)).select(F.lit(k).alias("asked"), "doc_id", "level")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query(
@@ -154,11 +163,11 @@ def routing(spark, d):
 
 @query(
     "p14_banned_words",
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all({FOLD.format(c="text")}, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), f AS (SELECT doc_id, list_filter(w, lambda x: x IN ('idiot', 'clown', 'moron')) AS f FROM t)
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all({FOLD.format(c="text")}, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all({FOLD.format(c="text")}, 'sch[a-z]+keit') AS m FROM documents), f AS (SELECT doc_id, list_concat(list_filter(w, lambda x: x IN ('idiot', 'clown', 'moron')), m) AS f FROM t)
     SELECT doc_id, len(list_distinct(f)) AS n, f[1] AS first FROM f WHERE len(f) > 0""",
 )
 def banned(spark, d):
-    found = P.banned_words(F.col("text"), ["idiot", "clown", "moron"])
+    found = P.banned_words(F.col("text"), ["idiot", "clown", "moron"], ["sch[a-z]+keit"])
     return _docs(spark, d).select("doc_id", found.alias("f")).filter("size(f) > 0").select("doc_id", F.size("f").alias("n"), F.col("f")[0].alias("first"))
 
 
@@ -185,9 +194,16 @@ def fixed_windows(spark, d):
     return C.fixed_windows(_docs(spark, d)).select("doc_id", "char_start", F.md5("text").alias("h"))
 
 
-@query("c15_spans")
+@query(
+    "c15_spans",
+    """WITH RECURSIVE p AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS p FROM documents), l AS (SELECT doc_id, text, unnest(p) AS piece, unnest(range(0, len(p))) AS chunk FROM p),
+    st(doc_id, chunk, last, found, n) AS (SELECT doc_id, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM p UNION ALL
+      SELECT doc_id, chunk, CASE WHEN f > 0 THEN f ELSE last END, f, n FROM (SELECT s.doc_id, l.chunk, s.last, length(piece) AS n, CASE WHEN strpos(substring(text, s.last::INT + 1), piece) > 0 THEN s.last + strpos(substring(text, s.last::INT + 1), piece) ELSE strpos(text, piece) END AS f
+      FROM st s JOIN l ON l.doc_id = s.doc_id AND l.chunk = s.chunk + 1))
+    SELECT doc_id, chunk, found - 1 AS char_start, found - 1 + n AS char_end FROM st WHERE chunk >= 0 AND found > 0""",
+)
 def spans(spark, d):
-    """Spans of greedy chunks' single lines, found in order in their own text; tests hold it to a plain search."""
+    """Spans of greedy chunks' single lines, found in order in their own text."""
     docs = _docs(spark, d)
     lines = C.atoms(docs).select("doc_id", F.col("pos").cast("int").alias("chunk"), F.col("text").alias("piece"))
     return C.spans(docs.select("doc_id", "text"), lines)
@@ -299,12 +315,14 @@ def span_metrics(spark, d):
 
 @query(
     "e12_evidence_coverage",
-    f"""WITH {GOLD}, k AS (SELECT doc_id, max(c1) AS reach FROM r WHERE rank <= 5 GROUP BY 1)
-    SELECT doc_id AS query_id, round(sum(greatest(0, least(g1, reach) - g0)) / sum(g1 - g0)::DOUBLE, 6) AS coverage FROM g JOIN k USING (doc_id) GROUP BY 1""",
+    f"""WITH {GOLD}, x AS (SELECT doc_id, i, greatest(c0, g0) AS lo, least(c0 + 150, g1) AS hi FROM pairs WHERE least(c0 + 150, g1) > greatest(c0, g0)),
+    y AS (SELECT *, greatest(lo, coalesce(max(hi) OVER (PARTITION BY doc_id, i ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)) AS since FROM x), z AS (SELECT doc_id, sum(greatest(0, hi - since)) AS n FROM y GROUP BY 1)
+    SELECT doc_id AS query_id, round(coalesce(any_value(n), 0) / sum(g1 - g0)::DOUBLE, 6) AS coverage FROM g LEFT JOIN z USING (doc_id) GROUP BY 1""",
 )
 def evidence_coverage(spark, d):
-    """The windows overlap and start at 0, so their union is a prefix, which the SQL uses."""
-    return M.evidence_coverage(*_spans(spark, d), 5).select("query_id", F.round("coverage", 6).alias("coverage"))
+    """Windows of 150 characters at every 200th leave gaps in what they cover."""
+    got, golden = _spans(spark, d)
+    return M.evidence_coverage(got.withColumn("char_end", F.col("char_start") + 150), golden, 5).select("query_id", F.round("coverage", 6).alias("coverage"))
 
 
 _COUNTED = "SELECT conv_id, w, count(*) AS {n} FROM (SELECT conv_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM conversations WHERE role {op} 'assistant') GROUP BY ALL"

@@ -51,8 +51,14 @@ def collection(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def upsert_chunks(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """New chunks in place of old ones of the same id."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+    """New chunks in place of old ones of the same id; of new ones with one id the greatest row counts.
+
+    A batch that comes again changes nothing, whatever ids repeat in it.
+    """
+    rest = [c for c, kind in new.dtypes if c != key and "map<" not in kind]
+    order = F.struct(*rest) if rest else F.lit(0)
+    once = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
+    return old.join(once.select(key), key, "left_anti").unionByName(once)
 
 
 def delete_document(chunks: DataFrame, document_id: str, by_prefix: bool = False) -> DataFrame:

@@ -52,6 +52,9 @@ def running_outliers(source: DataFrame, by: str, value: str, least: int = 3, mos
         for pdf in batches:
             out = []
             for x in pdf[value]:
+                if pd.isna(x):  # an unknown value is no outlier and leaves the mean alone
+                    out.append(False)
+                    continue
                 mean = total / n if n else 0.0
                 out.append(bool(n >= least and mean and abs(x - mean) / mean > most))
                 n, total = n + 1, total + float(x)

@@ -13,6 +13,7 @@ from lectern.operators import chunking as C
 from lectern.operators import filters as P
 from lectern.operators import manifest as S
 from lectern.operators import metrics as M
+from lectern.operators import quality as Q
 from lectern.operators import retrieval as R
 from lectern.plans import catalog
 from lectern.sources import ingest
@@ -48,7 +49,7 @@ def test_normalize_tr(spark, text, want):
 
 @pytest.mark.parametrize(
     ("text", "dates", "years"),
-    [("2026-04-07 günü", ["2026-04-07"], []), ("07.04.2026", ["2026-04-07"], []), ("7 NİSAN 2026", ["2026-04-07"], []), ("1997 yılındaki yazı", [], [1997]), ("5 Subat 1999 ve 2001", ["1999-02-05"], [2001])],
+    [("2026-04-07 günü", ["2026-04-07"], []), ("07.04.2026", ["2026-04-07"], []), ("7 NİSAN 2026", ["2026-04-07"], []), ("1997 yılındaki yazı", [], [1997]), ("5 Subat 1999 ve 2001", ["1999-02-05"], [2001]), ("2026-4-7 ve 7/4/2026", ["2026-04-07"], [])],
 )
 def test_dates(spark, text, dates, years):
     assert _one(spark, T.exact_dates(F.lit(text))) == dates and _one(spark, T.bare_years(F.lit(text))) == years
@@ -117,8 +118,13 @@ def test_spans_are_found_in_order(spark):
 
 def test_speakers(spark):
     who = lambda s: _one(spark, C.speaker(F.lit(s)))
-    assert tuple(who("AHMET YILMAZ (İstanbul) — Sayın Başkan")) == ("AHMET YILMAZ", "milletvekili", "İstanbul")
-    assert tuple(who("BAŞKAN — Teşekkür")) == ("BAŞKAN", "başkan", None) and who("düz metin") is None
+    assert tuple(who("AHMET YILMAZ (İstanbul) — Sayın Başkan")) == ("AHMET YILMAZ", "milletvekili", "İstanbul", 1.0)
+    assert tuple(who("BAŞKAN — Teşekkür")) == ("BAŞKAN", "başkan", None, 1.0) and who("düz metin") is None
+    assert who("BAŞKANVEKİLİ — Buyurun").author == "BAŞKANVEKİLİ"
+    m = who("DIŞİŞLERİ BAKANI VE BAŞBAKAN YARDIMCISI ALİ KAYA — Sayın")
+    assert (m.author, m.confidence) == ("ALİ KAYA", 1.0) and m.role.endswith("ve başbakan yardimcisi")
+    assert who("DEVLET BAKANI HASAN GEMİCİ — x").role == "devlet bakani"
+    assert who("BAKAN A KAYA (Van) — x") is None and who("ALİ VE KAYA (Van) — x").confidence == 0.5
 
 
 def test_tag_carries_the_whole_struct(spark):
@@ -134,6 +140,89 @@ def test_assembly_budget(spark):
     assert [r.chunk_id for r in R.assemble(df, 2, 1, 12).orderBy("position").collect()] == [1, 2]
 
 
+AGENT = "query_id string, priority int, rank int, chunk_id long, document_id string, collection string"
+
+
+def test_expansion_skips_used_documents_and_offers_lost_ones_again(spark):
+    first = spark.createDataFrame([("q", 1, 1, 1, "d1", "a"), ("q", 1, 2, 2, "d2", "a")], AGENT)
+    spare = [("q", 1, 3, 3, "d3", "a"), ("q", 1, 4, 4, "d2", "a"), ("q", 1, 5, 5, "d4", "a"), ("q", 2, 1, 6, "d4", "b"), ("q", 2, 2, 7, "d3", "b")]
+    got = R.expand(first, spark.createDataFrame(spare, AGENT), 1).orderBy("position").collect()
+    assert [(r.chunk_id, r.collection) for r in got] == [(3, "a"), (6, "b")]
+
+
+def test_evidence_bands(spark):
+    rows = [(q, 1, k, k, f"d{k}", c) for q, cs in (("few", "a"), ("band", "aa"), ("many", "aaaaaaa"), ("full", "aabb")) for k, c in enumerate(cs)]
+    asked = spark.createDataFrame([(q,) for q in ("none", "few", "band", "many", "full")], "query_id string")
+    df = spark.createDataFrame(rows, AGENT)
+    said = lambda **kw: {r.query_id: (r.action, r.confidence) for r in R.evidence(df, asked, **kw).collect()}
+    assert said() == {"none": ("clarify", 0.0), "few": ("expand", 0.4), "band": ("judge", 0.4), "many": ("expand", 0.4), "full": ("answer", 0.85)}
+    assert said(band=None)["band"] == ("expand", 0.4)
+
+
+@pytest.mark.parametrize(
+    ("text", "action", "kind"),
+    [('x {"sufficient": true, "confidence": 0.9, "action": "answer"} y', "answer", "llm"), ('{"action": "wait"}', "expand", "heuristic"), ("nothing", "expand", "heuristic"), (None, "expand", "heuristic"), ('{"action": "refuse", "missing_aspects": null}', "refuse", "llm")],
+)
+def test_judgement_falls_back_to_expanding(spark, text, action, kind):
+    j = _one(spark, R.judgement(F.lit(text).cast("string")))
+    assert (j.action, j.judge_type) == (action, kind) and (kind == "llm" or (j.confidence, j.missing_aspects) == (0.4, ["insufficient_chunks"]))
+
+
+def test_context_heads_only_what_is_known_and_cuts_both(spark):
+    kind = "query_id string, rank int, text string, distance double, source string, date string, period int, author string"
+    rows = [("q", 1, "abcdef", 0.1, None, "", None, ""), ("q", 2, "ghijkl", None, "S", None, 20, "A"), ("q", 3, "z", 1.9, None, None, None, None), ("q", 4, "mnop", 0.2, None, None, 0, None)]
+    got = R.context(spark.createDataFrame(rows, kind), 20, 1.8, 1000).first()
+    assert got.context == "abcdef\n\n---\n\n[S | Dönem 20 | A]\ng\n\n---\n\nmnop" and got.n_chunks == 3
+    assert R.context(spark.createDataFrame(rows, kind), 20, 1.8, 7).first().n_chunks == 1
+
+
+def test_adapters(spark):
+    from lectern.sources import adapters
+
+    assert adapters.types() == ["press_clip"]
+    with pytest.raises(ValueError):
+        adapters.adapter("memo")
+    rows = spark.createDataFrame([("a", "press_clip", "", {"dokuman_metni": "one\n\ntwo"}), ("b", "press_clip", "", {}), ("c", "memo", "", {})], "document_id string, document_type string, document_source string, metadata map<string,string>")
+    texts, chunks, errors = adapters.parse(rows)
+    assert [(t.document_id, t.text) for t in texts.collect()] == [("a", "one\n\ntwo")] and chunks.first().text == "one\n\ntwo"
+    assert {(e.document_id, e.error) for e in errors.collect()} == {("b", "no text"), ("c", "unknown type memo")}
+
+
+def test_validation_rules(spark):
+    rows = spark.createDataFrame([(0, "a", "t", "c", "f.pdf"), (1, "a", "t", "c", "http://x/y"), (2, None, "t", "c", ""), (3, "", "t", "c", None), (4, "b", None, "z", "gone.pdf")], "position int, document_id string, document_type string, collection string, document_source string")
+    files = spark.createDataFrame([("f.pdf",)], "path string")
+    got = {(r.position, r.error) for r in S.validate(rows, ["c"], ["t"], files).collect()}
+    assert got == {(1, "duplicate id"), (2, "missing id"), (3, "missing id"), (4, "missing type"), (4, "unknown collection"), (4, "missing source")}
+    requests = spark.createDataFrame([("c", []), ("z", ["d"]), (None, None)], "collection string, documents array<string>")
+    assert sorted((r.collection or "", r.error) for r in S.request_errors(requests, ["c"]).collect()) == [("", "no documents"), ("", "unknown collection"), ("c", "no documents"), ("z", "unknown collection")]
+
+
+def test_upsert_of_a_batch_with_repeated_ids(spark):
+    old = spark.createDataFrame([("a", "x")], "chunk_id string, text string")
+    new = spark.createDataFrame([("a", "y"), ("a", "z"), ("b", "w")], old.schema)
+    once = ingest.upsert_chunks(old, new)
+    assert sorted(map(tuple, ingest.upsert_chunks(once, new).collect())) == sorted(map(tuple, once.collect())) == [("a", "z"), ("b", "w")]
+
+
+def test_banned_patterns_and_switch(spark):
+    f = lambda **kw: _one(spark, P.banned_words(F.lit("Şu APTAL, aptallık!"), ["aptal"], **kw))
+    assert f() == ["aptal"] and f(patterns=["aptal[a-z]+"]) == ["aptal", "aptallik"] and f(on=False) == []
+
+
+def test_latency_and_prefixes_of_a_hot_key(spark):
+    import random
+
+    r = random.Random(3)
+    vals = [(k, "a" if k % 3 else "b", r.choice([1.0, 2.5, 7.0, r.random() * 50])) for k in range(900)] + [(900, "c", 5.0), (901, "d", None)]
+    df = spark.createDataFrame(vals, "i int, k string, v double")
+    got = {x.k: x for x in M.latency(df, "k", "v", blocks=8).collect()}
+    for key in "abc":
+        own = sorted(v for _, k, v in vals if k == key)
+        assert [got[key].n, got[key].p50, got[key].p95, got[key].p99] == [len(own), *(own[min(len(own) * p // 100, len(own) - 1)] for p in (50, 95, 99))]
+    seen = {x.i: x.seen for x in Q.outliers_so_far(df, "k", "v", "i", blocks=5).collect()}
+    assert seen == {i: sum(k2 == k and v2 is not None for i2, k2, v2 in vals if i2 < i) for i, k, _ in vals}
+
+
 def test_rrf_last_source_gives_the_distance(spark):
     df = spark.createDataFrame([("q", 0, 1, 7, 0.1), ("q", 1, 2, 7, 0.2)], "query_id string, source_ord int, rank int, chunk_id long, distance double")
     r = R.rrf_sources(df, 5).first()

@@ -34,7 +34,7 @@ def _tagged(spark, *atoms):
         ("gazete", "Ayşe Kaya geldi", None),
         ("onerge", "Konya Milletvekili Ahmet Yılmaz ve 14 arkadaşının teklifi", ("Ahmet Yılmaz", "milletvekili", {"constituency": "Konya", "co_signers_count": "14"})),
         ("kanun_teklifi", "(İmza: AHMET YILMAZ, MEHMET KAYA)", ("AHMET YILMAZ", "imzacı", {"signatories": "AHMET YILMAZ, MEHMET KAYA"})),
-        ("tutanak", "AHMET YILMAZ (İstanbul) — Sayın", ("AHMET YILMAZ", "milletvekili", {"city": "İstanbul"})),
+        ("tutanak", "AHMET YILMAZ (İstanbul) — Sayın", ("AHMET YILMAZ", "milletvekili", {"constituency": "İstanbul"})),
         ("pdf_report", "Yazan: Ali Veli", None),
         ("gazete", None, None),
         ("gazete", "x" * 200 + " Yazan: Ali Veli", None),
