@@ -22,7 +22,7 @@ BUCKETS = 2048
 #: Buckets of words, beside those of character classes, and lengths of stems.
 WORD_BUCKETS = 1 << 15
 STEMS = (5, 7)
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 KEEP_GRADE = 1
 KEEP_PROBABILITY = 0.5
 #: Buckets at the end that hold the text's overall shape.
@@ -66,11 +66,25 @@ def text_features(text: str | None) -> np.ndarray:
     return out
 
 
+#: Buckets of usual words as a worker has met them, dropped when there are too many.
+_KNOWN: dict[str, tuple[int, ...]] = {}
+CACHE_ENTRIES, CACHED_CHARS = 200_000, 64
+
+
+def _buckets(word: str) -> tuple[int, ...]:
+    found = (crc32(word.encode()) % WORD_BUCKETS, *(crc32(word[:n].encode(), n) % WORD_BUCKETS for n in STEMS if len(word) > n))
+    if len(word) <= CACHED_CHARS:
+        _KNOWN[word] = found
+    return found
+
+
 def word_buckets(text: str | None) -> np.ndarray:
     """The buckets of the words that the whole text holds, and of their stems."""
-    held = set(_WORD.findall(text.lower())) if text else set()
-    found = {crc32(w.encode()) % WORD_BUCKETS for w in held}
-    found |= {crc32(w[:n].encode(), n) % WORD_BUCKETS for w in held if len(w) > STEMS[0] for n in STEMS if len(w) > n}
+    if len(_KNOWN) > CACHE_ENTRIES:
+        _KNOWN.clear()
+    found: set[int] = set()
+    for w in set(_WORD.findall(text.lower())) if text else ():
+        found.update(_KNOWN.get(w) or _buckets(w))
     return np.fromiter(found, np.int32, len(found))
 
 
@@ -88,7 +102,7 @@ class CumulativeLink:
         self.word_weights = np.zeros(1, np.float32) if word_weights is None else word_weights
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int, held: list[np.ndarray] | None = None, steps: int = 300, rate: float = 0.05, decay: float = 2e-4, word_decay: float = 1e-3) -> CumulativeLink:
+    def fit(cls, x: np.ndarray, y: np.ndarray, grades: int, held: list[np.ndarray] | None = None, steps: int = 200, rate: float = 0.05, decay: float = 2e-4, word_decay: float = 1e-3) -> CumulativeLink:
         """Adam on the negative log-likelihood with weight decay; the start and steps are fixed."""
         n, d = x.shape
         held = [np.zeros(0, np.int32)] * n if held is None else held

@@ -118,7 +118,7 @@ def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     fingerprint to the least of its neighbourhood, then every smaller one. The
     number of edges never grows, a path shrinks by a constant factor a round,
     and the rounds end when only stars are left. Minima are taken by partial
-    aggregation, each half round is a table in the shared folder, and only
+    aggregation, each round is a table in the shared folder, and only
     counts reach the driver (``rounds`` gets the edges left after each).
     """
     spark = edges.sparkSession
@@ -128,11 +128,11 @@ def components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         joined = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage.written(joined.distinct(), "large-stars", n, 16)
+        large = joined.distinct()
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         joined = joined.select("u", F.col("m").alias("v")).union(joined.filter("v > m").select("v", "m"))
         after = stage.written(joined.distinct(), "small-stars", n, 16)
-        stage.drop_table(spark, now, large)
+        stage.drop_table(spark, now)
         now, n = after, after.count()
         if rounds is not None:
             rounds.append(n)

@@ -28,7 +28,7 @@ END_ID = 1
 #: completed with ids cut from the emptiest.
 MOST_OPEN = 8192
 #: Ids left open that a group of the second stage takes, as an aim.
-GROUP_IDS = 32_000_000
+GROUP_IDS = 8_000_000
 #: Sequence numbers of the second stage start here.
 SECOND = 1 << 62
 
