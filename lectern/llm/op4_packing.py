@@ -3,9 +3,9 @@
 Each task packs the documents it reads, in their order. A level array counts
 the partly filled windows at each fill; a document goes to the level, or to a
 new window, that leaves the least sum of squared counts. Full windows leave at
-once. What is open when a task ends goes to a second stage, which packs the
-open windows of many tasks by the same choice; only what is open at its end is
-laid end to end and cut, which leaves one padded window for each group of
+once. What lies in open windows when a task ends goes to a second stage, which
+packs the pieces of many tasks by the same choice; only what is open at its end
+is laid end to end and cut, which leaves one padded window for each group of
 tasks.
 """
 
@@ -65,13 +65,13 @@ class Packer:
         for at in range(0, whole, self.size):
             yield from self._close([(doc_id, at, ids[4 * at : 4 * (at + self.size)], n)])
         if n > whole:
-            yield from self.place([(doc_id, whole, ids[4 * whole :], n)])
+            yield from self.place((doc_id, whole, ids[4 * whole :], n))
 
-    def place(self, pieces: list[tuple]):
-        """Place pieces that stay together, fewer ids than a window in all."""
-        n = sum(len(p[2]) for p in pieces) // 4
+    def place(self, piece: tuple):
+        """Place one piece of fewer ids than a window."""
+        n = len(piece[2]) // 4
         h = self.choose(n)
-        held = (self._take(h) if h else []) + pieces
+        held = [*(self._take(h) if h else []), piece]
         if h + n == self.size:
             yield from self._close(held)
             return
@@ -132,11 +132,11 @@ class Packer:
             yield from self._close(held)
 
 
-_MADE = pa.schema([*((c, pa.int64()) for c in COLUMNS), ("part", pa.int32()), ("open_window", pa.int32()), ("ids", pa.binary())])
+_MADE = pa.schema([*((c, pa.int64()) for c in COLUMNS), ("part", pa.int32()), ("ids", pa.binary())])
 
 
 def _first_stage(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces of full windows, and with their ids those of windows left open by each task."""
+    """Pieces of full windows, and with their ids the pieces that each task leaves in open ones."""
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -152,46 +152,42 @@ def _first_stage(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_many(b.column(1).to_pylist()), strict=True):
                 rows += packer.add(doc_id, ids + last)
             if rows:
-                yield batch([(*r, part, None, None) for r in rows])
+                yield batch([(*r, part, None) for r in rows])
         left = packer.leave()
         for at in range(0, len(left), 500):
-            yield batch([(d, start, len(ids) // 4, None, n, None, None, part, at + k, ids) for k, held in enumerate(left[at : at + 500]) for d, start, ids, n in held])
+            yield batch([(d, start, len(ids) // 4, None, n, None, None, part, ids) for held in left[at : at + 500] for d, start, ids, n in held])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stage.map_batches(rows, run, ", ".join(f"{c} long" for c in COLUMNS) + ", part int, open_window int, ids binary")
+    return stage.map_batches(rows, run, ", ".join(f"{c} long" for c in COLUMNS) + ", part int, ids binary")
 
 
 def _second_stage(left: DataFrame, window: int, group_ids: int) -> DataFrame:
-    """Pieces of the windows that the open ones of the first stage make; groups are runs of tasks."""
+    """Windows of the pieces that the first stage left; groups are runs of tasks."""
     ids, parts = left.agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("part") + 1, F.lit(0))).first()
     groups = max(1, -(-ids // group_ids))
     each = max(1, -(-parts // groups))
 
     def run(batches):
-        packer, group, seen, held = None, None, None, []
+        packer, group = None, None
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=COLUMNS)
 
         for b in stage.slices(batches, "ids"):
             rows = []
-            for part, number, doc_id, start, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (part, number) != seen:
-                    if held:
-                        rows += packer.place(held)
-                    seen, held = (part, number), []
+            for part, doc_id, start, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part // each != group:
                     rows += packer.finish() if packer else []
                     group = part // each
                     packer = Packer(window, SECOND + (group << 32))
-                held.append((doc_id, start, ids, n))
+                rows += packer.place((doc_id, start, ids, n))
             if rows:
                 yield batch(rows)
-        if held:
-            yield batch([*packer.place(held), *packer.finish()])
+        if packer and (rows := list(packer.finish())):
+            yield batch(rows)
 
-    rows = left.select("part", "open_window", "doc_id", "start", "doc_tokens", "ids")
-    dealt = rows.repartition(groups, F.floor(F.col("part") / each)).sortWithinPartitions("part", "open_window", "doc_id", "start", "ids")
+    rows = left.select("part", "doc_id", "start", "doc_tokens", "ids")
+    dealt = rows.repartition(groups, F.floor(F.col("part") / each)).sortWithinPartitions("part", "doc_id", "start", "ids")
     return stage.map_batches(dealt, run, ", ".join(f"{c} long" for c in COLUMNS))
 
 
@@ -204,8 +200,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     task's number above 32 bits, so a task that runs again gives the same rows.
     """
     made = stage.written(_first_stage(docs, tokenizer_path, window, end_id, id_col, text_col), "packed")
-    full = made.filter("open_window is null").select(*COLUMNS)
-    return full.unionByName(_second_stage(made.filter("open_window is not null"), window, group_ids))
+    full = made.filter("ids is null").select(*COLUMNS)
+    return full.unionByName(_second_stage(made.filter("ids is not null"), window, group_ids))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
