@@ -49,8 +49,9 @@ def written(df: DataFrame, tag: str, rows: int | None = None, row_bytes: int = 3
 
     The result has no lineage, survives the loss of any executor and carries
     file statistics; a lost task recomputes only its own share of the write.
-    ``rows``, a bound on a shuffled table's rows, sizes its files at about
-    ``FILE_BYTES``, so that a small table is not dealt over all partitions.
+    ``rows``, a bound on the rows that a shuffled table is made from, sizes its
+    tasks at about ``FILE_BYTES``, so that a small table is not dealt over all
+    partitions.
     """
     spark = df.sparkSession
     path = scratch(spark, tag)
