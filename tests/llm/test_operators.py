@@ -152,6 +152,23 @@ def test_pipeline_drops_near_copies_at_five_words(spark, docs, rows):
     assert near_copies.keep_one(docs.limit(0)).count() == 0
 
 
+def test_texts_of_different_classes_in_a_bucket_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 2)
+    r = random.Random(5)
+    sets = [sorted(r.sample(range(24), r.randint(17, 22))) for _ in range(60)]
+    members = [(key, k, len(s), r.choice([1, 1, 1, 2, 3, 4])) for key in (1, 2) for k, s in enumerate(sets) if k % 2 or key == 1]
+    members += [(3, k, len(sets[k]), k) for k in (0, 1)]
+    want = set()
+    for x in members:
+        for y in members:
+            a, b = set(sets[x[1]]), set(sets[y[1]])
+            if x[0] == y[0] and x[3] != y[3] and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                want.add(frozenset((x[1], y[1])))
+    held = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "node long, found array<long>")
+    got = near_copies._across(spark.createDataFrame(members, "key long, node long, size int, label long"), held).collect()
+    assert {frozenset(x) for x in got} == want and len(want) > 100
+
+
 def _ids(text, name="word_bpe_49k.json"):
     return Tokenizer.from_file(default_tokenizer(name)).encode(text or "", add_special_tokens=False).ids
 
