@@ -14,6 +14,9 @@ from lectern.llm import (
     op8_toxicity,
     op9_token_counts,
     op10_quality,
+    op11_best_fit,
+    op12_manifest,
+    op13_runs,
 )
 
 QUERIES = {
@@ -27,11 +30,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity.query,
     "op9_token_counts": op9_token_counts.query,
     "op10_quality": op10_quality.query,
+    "op11_best_fit": op11_best_fit.query,
+    "op12_manifest": op12_manifest.query,
+    "op13_runs": op13_runs.query,
     "pipeline": corpus_pipeline.run,
 }
 
-#: Tokenizers, fitted models, hashes of whole texts and alignments have no SQL
-#: form here; tests/llm holds each query to a plain version of itself.
-ORACLE_SQL: dict[str, str] = {}
+#: Tokenizers, fitted models, alignments and searches have no SQL form here;
+#: tests/llm holds each query to a plain version of itself.
+ORACLE_SQL: dict[str, str] = {"op12_manifest": op12_manifest.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
