@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.intervals import overlapping
 
 
 def rank_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -58,13 +59,13 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def span_pairs(retrieved: DataFrame, golden: DataFrame) -> DataFrame:
-    """Retrieved spans with the golden spans of their query and document, and their overlap.
+    """Retrieved spans with the golden spans of their query and document that they overlap, and by how much.
 
-    An equi-join on document and query, so spans are compared within a
-    document only.
+    Spans meet under shared dyadic blocks, so a document with many spans costs
+    its spans and the pairs that overlap, not all pairs.
     """
     g = golden.select("query_id", "document_id", "golden_id", F.col("char_start").alias("g0"), F.col("char_end").alias("g1"))
-    joined = retrieved.join(g, ["query_id", "document_id"])
+    joined = overlapping(retrieved, g, ["query_id", "document_id"], ("char_start", "char_end"), ("g0", "g1"))
     s = (F.col("char_start"), F.col("char_end"), F.col("g0"), F.col("g1"))
     return joined.withColumn("shared", overlap(*s)).withColumn("iou", iou(*s))
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import index as X
 from lectern.operators import metrics as M
 from lectern.operators import retrieval as R
 from lectern.operators.filters import Criteria, first_rows, predicate
 from lectern.plans.registry import query, table
+from lectern.sources import scratch
 
 RANGE = Criteria(year_gte=2, year_lte=7)
 
@@ -355,3 +357,18 @@ def vectors(spark, d):
 @query("u3_per_collection", f"WITH {HITS}, {POOL} SELECT query_id, collection, chunk_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(distance, 9), chunk_id) AS r FROM pool) WHERE r <= 2")
 def per_collection(spark, d):
     return first_rows(_pool(spark, d).drop("rank"), ["query_id", "collection"], [F.round("distance", 9), F.col("chunk_id")], 2).select("query_id", "collection", "chunk_id", "rank")
+
+
+def _index(spark, d):
+    """Built on the rows of even ids, to which the others are added."""
+    chunks = _chunks(spark, d)
+    made = X.build(chunks.filter("chunk_id % 2 = 0"), scratch.place(spark, "index"))
+    return X.add(made, chunks.filter("chunk_id % 2 = 1"))
+
+
+@query("v6_index_topk", f"WITH {HITS} SELECT query_id, chunk_id, label, round(distance, 6) AS distance, rank FROM hits")
+def index_topk(spark, d):
+    """The exact nearest rows under a metadata filter, from an index that leaves cells out."""
+    queries = _queries(spark, d).withColumn("own", F.col("query_id"))
+    near = X.search(_index(spark, d), queries, 20, predicate(RANGE, columns={"year": "label"}), skip="own", also=("label",))
+    return near.select("query_id", "chunk_id", "label", F.round("distance", 6).alias("distance"), "rank")
