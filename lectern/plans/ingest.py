@@ -8,6 +8,8 @@ from lectern.operators import manifest as S
 from lectern.operators import metrics as M
 from lectern.operators import quality as Q
 from lectern.plans.registry import query, table
+from lectern.sources import buckets, html, scratch
+from lectern.streaming import incremental
 
 #: Orders stand for manifest rows: customer as collection, status as status.
 MAN = """m AS (SELECT o_orderkey::VARCHAR AS document_id, 'c' || (o_custkey % 12) AS collection, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, o_orderpriority AS document_type,
@@ -156,3 +158,76 @@ def collection_catalog(spark, d):
     c = table(spark, d, "customer").filter("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     n = table(spark, d, "nation")
     return n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").select(F.col("n_name").alias("name"), F.coalesce("n", F.lit(0)).alias("n")).orderBy("name")
+
+
+# Content that is left out goes first; what stands between two marks of blocks is
+# an atom, named after the mark before it. Spaces are brought to one, the few
+# character references of these pages to their signs, the ampersand's last.
+_PAGES = r"""
+cut AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<head>.*?</head>|<nav>.*?</nav>', '', 'gs') AS h FROM pages),
+lines AS (SELECT page_id, regexp_replace(regexp_replace(h, '[ \t\r\f\n]+', ' ', 'g'), '<br ?/?>', chr(10), 'g') AS h FROM cut),
+marks AS (SELECT page_id, regexp_replace(h, '<(/?)(html|body|article|footer|div|p|ul|li|h[1-6])\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g') AS h FROM lines),
+parts AS (SELECT page_id, unnest(string_split(h, chr(1))) AS part, generate_subscripts(string_split(h, chr(1)), 1) AS n FROM marks),
+bare AS (SELECT page_id, n, split_part(part, chr(2), 1) AS tag, regexp_replace(regexp_replace(CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 2) ELSE part END, '<[^>]*>', '', 'g'), ' ?\n ?', chr(10), 'g') AS raw FROM parts),
+texts AS (SELECT page_id, n, tag, trim(replace(replace(replace(replace(replace(replace(raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ' || chr(10)) AS text FROM bare),
+atoms AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS pos,
+  CASE WHEN tag ~ '^h[1-6]$' THEN 'heading_' || tag[2] WHEN tag = 'li' THEN 'list_item' WHEN tag = 'footer' THEN 'page_footer' ELSE 'text' END AS label,
+  CASE WHEN tag ~ '^h[1-6]$' THEN tag[2]::INT ELSE 0 END AS level, text FROM texts WHERE text <> '')
+"""
+
+
+@query("s6_html_atoms", f"WITH {_PAGES} SELECT * FROM atoms")
+def html_atoms(spark, d):
+    return html.atoms(table(spark, d, "pages"))
+
+
+@query(
+    "s18_page_texts",
+    f"WITH {_PAGES} SELECT page_id, count(*) AS n_atoms, sha256(string_agg(CASE WHEN level > 0 THEN repeat('#', level) || ' ' ELSE '' END || text, chr(10) || chr(10) ORDER BY pos)) AS markdown FROM atoms GROUP BY page_id",
+)
+def page_texts(spark, d):
+    """Each page as one text, headings marked by level."""
+    marked = html.atoms(table(spark, d, "pages")).select("page_id", "pos", html.marked(F.col("label"), F.col("text")).alias("line"))
+    held = marked.groupBy("page_id").agg(F.count("*").alias("n_atoms"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    return held.select("page_id", "n_atoms", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n"), 256).alias("markdown"))
+
+
+_RENEWED = "CASE WHEN k % 70 = 3 THEN 'third' WHEN k % 7 = 3 THEN 'second' ELSE 'first' END"
+_STORE_KEY = ["document_id", "collection"]
+
+
+def _batches(spark, d):
+    """All rows, then a seventh of them with another status, then few of these once more and a collection that was not there."""
+    rows = _manifest(spark, d).select("document_id", "collection", "status", F.lit("first").alias("perf_json"), "ingest_time", "k")
+    again = lambda df, name: df.withColumn("status", F.lit(name)).withColumn("perf_json", F.when(F.col("k") % 2 == 0, name)).withColumn("ingest_time", F.col("ingest_time") + F.expr("interval 1 day"))
+    second = again(rows.filter("k % 7 = 3"), "second")
+    third = again(rows.filter("k % 70 = 3"), "third")
+    fresh = rows.filter("k % 500 = 1").withColumn("collection", F.lit("late"))
+    return [b.drop("k") for b in (rows, second, third.unionByName(fresh))]
+
+
+_MERGED = f"""WITH {MAN}, base AS (SELECT document_id, collection, status, k, ingest_time FROM m UNION ALL SELECT document_id, 'late', status, k, ingest_time FROM m WHERE k % 500 = 1)
+SELECT document_id, collection, CASE WHEN collection = 'late' OR {_RENEWED} = 'first' THEN status ELSE {_RENEWED} END AS status,
+  CASE WHEN collection = 'late' OR k % 7 <> 3 OR k % 2 = 1 THEN 'first' ELSE {_RENEWED} END AS perf_json, strftime(ingest_time, '%Y-%m-%d') AS day FROM base"""
+
+
+@query("m1_bucket_merge", _MERGED)
+def bucket_merge(spark, d):
+    """Three batches into a store that rewrites only the buckets they meet."""
+    root = scratch.place(spark, "store")
+    parts = _batches(spark, d)
+    buckets.create(spark, root, parts[0].schema, _STORE_KEY, 16)
+    for k, batch in enumerate(parts):
+        buckets.merge(root, batch, k, S.upsert)
+    return buckets.read(spark, root).withColumn("day", F.date_format("ingest_time", "yyyy-MM-dd")).drop("ingest_time")
+
+
+@query("m1_stream_merge", _MERGED)
+def stream_merge(spark, d):
+    """The same batches as a stream of three files' folders, merged by the running query."""
+    source, root = scratch.place(spark, "stream"), scratch.place(spark, "store")
+    for k, batch in enumerate(_batches(spark, d)):
+        batch.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        incremental.manifest_stream(spark, stream, root, f"{root}-checkpoint", 8).awaitTermination()
+    return incremental.current(spark, root).withColumn("day", F.date_format("ingest_time", "yyyy-MM-dd")).drop("ingest_time")

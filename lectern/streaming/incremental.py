@@ -7,40 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators import manifest as S
+from lectern.sources import buckets
 
 
-def manifest_stream(spark: SparkSession, source: DataFrame, table_dir: str, checkpoint: str) -> StreamingQuery:
-    """Upsert each batch of a stream of manifest rows into versioned Parquet under ``table_dir``.
+def latest(batch: DataFrame) -> DataFrame:
+    """The last row of each key by ``ingest_time``, the greatest row among equals."""
+    order = F.struct("ingest_time", F.struct(*[c for c in batch.columns if c not in S.KEY]))
+    return batch.groupBy(*S.KEY).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
 
-    A batch reads version ``n - 1`` and writes version ``n``, named by the batch
-    id; a batch that runs again overwrites its own version, so the result is the
-    same. Within a batch the last row of a key by ``ingest_time`` counts.
+
+def manifest_stream(spark: SparkSession, source: DataFrame, table_dir: str, checkpoint: str, bucket_count: int = buckets.BUCKETS) -> StreamingQuery:
+    """Upsert each batch of a stream of manifest rows into the keyed store under ``table_dir``.
+
+    A batch rewrites the buckets that its keys fall in, under the batch's
+    number; one that runs again finds its version whole or writes it anew, so
+    the result is the same. Within a batch the last row of a key counts.
     """
+    if not buckets.exists(spark, table_dir):
+        buckets.create(spark, table_dir, source.schema, S.KEY, bucket_count)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        order = F.struct("ingest_time", F.struct(*[c for c in batch.columns if c not in S.KEY]))
-        last = batch.groupBy(*S.KEY).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        old = current(spark, table_dir, batch_id)
-        out = last if old is None else S.upsert(old, last)
-        out.write.mode("overwrite").parquet(f"{table_dir}/version={batch_id}")
+        buckets.merge(table_dir, latest(batch), batch_id, S.upsert)
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, table_dir: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/{n}/_SUCCESS"))]
-    return sorted(done)
-
-
-def current(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    """The newest finished version, or the newest before a batch id."""
-    done = [v for v in versions(spark, table_dir) if before is None or v < before]
-    return spark.read.parquet(f"{table_dir}/version={done[-1]}") if done else None
+def current(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The rows of the newest finished batch."""
+    return buckets.read(spark, table_dir)
 
 
 def running_outliers(source: DataFrame, by: str, value: str, least: int = 3, most: float = 0.3) -> DataFrame:
