@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def fold(c: Column) -> Column:
     return F.lower(F.translate(c, "ıİIşŞçÇğĞüÜöÖ", "iiissccgguuoo"))
 
 
+def folded(s: str) -> str:
+    """:func:`fold` of a plain string."""
+    return s.translate(str.maketrans("ıİIşŞçÇğĞüÜöÖ", "iiissccgguuoo")).lower()
+
+
 def name_tokens(c: Column) -> Column:
     """Distinct words of a name, in order of appearance."""
     return F.array_distinct(F.regexp_extract_all(lower_tr(c), F.lit(r"(?U)\w+"), F.lit(0)))
@@ -113,6 +119,28 @@ def slug(c: Column, most: int = 50) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(flat, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 
 
+def _plain_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """Signs of the basic plane beyond ASCII that decompose to one ASCII sign, and those that decompose to several."""
+    one, more = {}, {}
+    for k in range(128, 0xD800):
+        plain = unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode()
+        if plain:
+            (one if len(plain) == 1 else more)[chr(k)] = plain
+    return one, more
+
+
+def ascii_slug(c: Column, words: int = 3) -> Column:
+    """The first words of a text, decomposed to ASCII, what has none left out, with hyphens between."""
+    one, more = _plain_letters()
+    # Signs that become several are rare: only texts that hold one are walked through.
+    whole = F.map_from_arrays(F.array(*[F.lit(k) for k in more]), F.array(*[F.lit(v) for v in more.values()]))
+    spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(whole, x), x)), "")
+    text = F.when(c.rlike("[" + "".join(more) + "]"), spread).otherwise(c)
+    plain = F.regexp_replace(F.translate(text, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    flat = F.lower(F.regexp_replace(F.regexp_replace(plain, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+    return F.array_join(F.slice(F.split(flat, "-"), 1, words), "-")
+
+
 def is_url(c: Column) -> Column:
     return c.rlike("^(?i)https?://")
 

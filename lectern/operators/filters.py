@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+import re
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Criteria:
@@ -116,21 +121,39 @@ def within(df: DataFrame, most: float, column: str = "distance") -> DataFrame:
     return df.filter(F.col(column).isNull() | (F.col(column) <= most))
 
 
+def usable_patterns(patterns: list[str]) -> list[str]:
+    """Folded patterns, for folded text in any case; one that is no pattern is passed over with a warning."""
+    out = []
+    for raw in patterns:
+        if not raw:
+            continue
+        try:
+            re.compile(T.folded(raw))
+            SparkSession.active()._jvm.java.util.regex.Pattern.compile(T.folded(raw))
+            out.append("(?iU)" + T.folded(raw))
+        except (re.error, Py4JJavaError) as e:
+            log.warning("passing over the pattern %r: %s", raw, str(e).split("\n", 1)[0])
+    return out
+
+
 def banned_words(c: Column, words: list[str], patterns: list[str] | None = None, on: bool = True) -> Column:
     """Distinct banned words among the folded tokens of a text, in order of appearance.
 
-    What ``patterns`` match in the folded text comes after them, pattern by
-    pattern; switched off, nothing is found.
+    The first match of each of ``patterns`` in the folded text comes after
+    them, pattern by pattern; patterns are folded as texts are. Switched off, or
+    in a null or empty text, nothing is found.
     """
-    if not on:
-        return F.array().cast("array<string>")
-    if patterns:
-        matched = [F.regexp_extract_all(T.fold(c), F.lit(p), F.lit(0)) for p in patterns]
-        return F.array_distinct(F.concat(banned_words(c, words), *matched))
-    if not words:
-        return F.array().cast("array<string>")
-    found = F.array_distinct(F.regexp_extract_all(T.fold(c), F.lit(r"(?U)\w+"), F.lit(0)))
-    return F.array_intersect(found, F.array(*[T.fold(F.lit(w)) for w in words]))
+    none = F.array().cast("array<string>")
+    folded = T.fold(c)
+    parts = []
+    if any(words):
+        tokens = F.regexp_extract_all(folded, F.lit(r"(?U)\w+"), F.lit(0))
+        parts.append(F.array_intersect(tokens, F.array(*[F.lit(T.folded(w)) for w in words if w])))
+    for p in usable_patterns(patterns or []):
+        parts.append(F.when(folded.rlike(p), F.array(F.regexp_extract(folded, p, 0))).otherwise(none))
+    if not on or not parts:
+        return none
+    return F.when(F.coalesce(c, F.lit("")) == "", none).otherwise(F.array_distinct(F.concat(*parts)))
 
 
 def enforce(plan: DataFrame, allowed: DataFrame) -> DataFrame:

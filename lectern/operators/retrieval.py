@@ -162,7 +162,10 @@ def evidence(assembled: DataFrame, queries: DataFrame | None = None, enough: int
     full = (n >= enough) & (F.col("n_collections") >= coverage)
     judged = n.between(*band) if band else F.lit(False)
     action = F.when(n == 0, "clarify").when(full, "answer").when(judged, "judge").otherwise("expand")
-    return g.withColumn("action", action).withColumn("confidence", F.when(n == 0, 0.0).when(full, 0.85).otherwise(0.4))
+    said = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    # What a judge finds missing is in its own words, see ``judgement``.
+    missing = F.when(n == 0, said("no_results")).when(full, said()).when(~judged, said("insufficient_chunks"))
+    return g.withColumn("action", action).withColumn("confidence", F.when(n == 0, 0.0).when(full, 0.85).otherwise(0.4)).withColumn("missing_aspects", missing)
 
 
 ACTIONS = ("answer", "expand", "clarify", "refuse")

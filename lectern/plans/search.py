@@ -197,11 +197,12 @@ def expansion(spark, d):
     "u10_evidence",
     f"""WITH {HITS}, {POOL}, g AS (SELECT query_id, count(chunk_id) AS n, count(DISTINCT collection) AS n_collections FROM q LEFT JOIN (SELECT * FROM pool WHERE distance <= 0.78 AND (query_id % 60 > 0 OR collection = '3')) USING (query_id) GROUP BY 1)
     SELECT query_id, n, n_collections, CASE WHEN n = 0 THEN 'clarify' WHEN n >= 4 AND n_collections >= 2 THEN 'answer' WHEN n BETWEEN 2 AND 4 THEN 'judge' ELSE 'expand' END AS action,
-    CASE WHEN n = 0 THEN 0 WHEN n >= 4 AND n_collections >= 2 THEN 0.85 ELSE 0.4 END::DOUBLE AS confidence FROM g""",
+    CASE WHEN n = 0 THEN 0 WHEN n >= 4 AND n_collections >= 2 THEN 0.85 ELSE 0.4 END::DOUBLE AS confidence,
+    CASE WHEN n = 0 THEN 'no_results' WHEN n >= 4 AND n_collections >= 2 THEN '' WHEN n BETWEEN 2 AND 4 THEN NULL ELSE 'insufficient_chunks' END AS missing FROM g""",
 )
 def evidence(spark, d):
     found = _pool(spark, d).filter("distance <= 0.78 and (query_id % 60 > 0 or collection = '3')")
-    return R.evidence(found, _queries(spark, d))
+    return R.evidence(found, _queries(spark, d)).withColumn("missing", F.array_join("missing_aspects", ",")).drop("missing_aspects")
 
 
 _SAID = """CASE turn % 7 WHEN 0 THEN 'So: {"sufficient": true, "confidence": 0.' || conv_id % 10 || ', "action": "answer", "missing_aspects": []} end' WHEN 1 THEN '{"sufficient": false, "confidence": 0.5, "action": "clarify", "missing_aspects": ["' || role || '"]}'

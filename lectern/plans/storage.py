@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import sqlite3
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -53,20 +52,14 @@ def press_archive(spark, d):
     return ingest.press_csv(spark, path)
 
 
-@query("s4_sqlite_table", "SELECT n_nationkey AS id, n_name AS name, n_regionkey / 2.0::DOUBLE AS half FROM nation")
+@query("s4_sqlite_table", "SELECT o_orderkey AS id, o_orderpriority AS name, o_totalprice / 2.0::DOUBLE AS half, md5(o_orderkey::VARCHAR) AS raw FROM orders")
 def sqlite_rows(spark, d):
-    """A small table goes to a SQLite file in the shared folder and comes back by ranges of row ids."""
-    path = scratch.place(spark, "nation").removeprefix("file://").removeprefix("file:")
-    rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").limit(1000).collect()
-    from pathlib import Path
-
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    con = sqlite3.connect(path)
-    con.execute("CREATE TABLE nation (id INTEGER, name TEXT, half REAL)")
-    con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [(r[0], r[1], r[2] / 2) for r in rows])
-    con.commit()
-    con.close()
-    return sqlite.sqlite_table(spark, path, "nation", range_rows=7)
+    """A whole table goes to SQLite files in the shared folder, one for each task, and comes back by ranges of row ids."""
+    path = scratch.place(spark, "orders-db")
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("id"), F.col("o_orderpriority").alias("name"), (F.col("o_totalprice") / 2).alias("half"), k.cast("string").cast("binary").alias("raw"))
+    sqlite.write_tables(rows, path, "orders")
+    return sqlite.sqlite_table(spark, path, "orders", range_rows=7_000).withColumn("raw", F.md5("raw"))
 
 
 @query(
@@ -146,17 +139,24 @@ def named_report(spark, d):
     return got.select(F.lit(path.rsplit("/", 1)[1]).alias("name"), "n", "n_chars", F.lit(again).alias("again"))
 
 
+# Each query as it must stand between its quotes, written out, not derived.
+_QUOTED = r"""CASE item_id % 4 WHEN 0 THEN '''soru ' || item_id || '''' WHEN 1 THEN '"it''s ' || item_id || '"' WHEN 2 THEN '''a"b\''c ' || item_id || '''' ELSE '''d\\e\n' || item_id || '\x01''' END"""
+
+
 @query(
     "k11_research_reports",
-    r"""SELECT item_id, '19990102-0304_soru-' || item_id || '.md' AS name, md5('---' || chr(10) || 'query: ''soru ' || item_id || '''' || chr(10) || 'timestamp: t' || chr(10) || 'model: m' || chr(10) || 'k: 3' || chr(10) || 'elapsed_seconds: 1.5' || chr(10) ||
+    rf"""SELECT item_id, '19990102-0304_' || CASE item_id % 4 WHEN 0 THEN 'soru-' WHEN 1 THEN 'it-s-' WHEN 2 THEN 'a-b-c-' ELSE 'd-e-' END || item_id || '.md' AS name, md5('---' || chr(10) || 'query: ' || {_QUOTED} || chr(10) || 'timestamp: t' || chr(10) || 'model: m' || chr(10) || 'k: 3' || chr(10) || 'elapsed_seconds: 1.5' || chr(10) ||
     CASE WHEN item_id % 2 = 0 THEN 'expanded_query: ''x''' || chr(10) ELSE '' END || '---' || chr(10) || chr(10) || CASE WHEN item_id % 3 = 0 THEN '_(boş yanıt)_' ELSE trim(text) END || chr(10) || chr(10) || '## Kaynaklar' || chr(10) || chr(10) ||
     '1. **[tutanak#d1]** ? | 1999 | ? — Başlık  _(d=0.250)_' || chr(10)) AS report FROM benchmark""",
 )
 def research_reports(spark, d):
+    """Reports of queries with either quote, both, backslashes, a line end and a control sign."""
     k = F.col("item_id")
     none = F.lit(None).cast("string")
     source = F.struct(F.lit("tutanak").alias("document_type"), F.lit("d1").alias("document_id"), none.alias("source_name"), F.lit("1999").alias("date"), F.lit("").alias("author"), F.lit("Başlık").alias("title"), F.lit(0.25).alias("distance"))
-    q = F.concat(F.lit("soru "), k.cast("string"))
+    n = k.cast("string")
+    said = lambda before, after="": F.concat(F.lit(before), n, F.lit(after))
+    q = F.when(k % 4 == 0, said("soru ")).when(k % 4 == 1, said("it's ")).when(k % 4 == 2, said("a\"b'c ")).otherwise(said("d\\e\n", "\x01"))
     text = F.when(k % 3 == 0, " ").otherwise(F.trim("text"))
     report = reports.research_report(text, q, F.lit("t"), F.lit("m"), F.lit(3), F.lit(1.5), F.when(k % 2 == 0, "x").otherwise(""), F.array(source))
     at = F.lit("1999-01-02 03:04:05").cast("timestamp")

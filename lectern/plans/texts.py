@@ -163,12 +163,15 @@ def routing(spark, d):
 
 @query(
     "p14_banned_words",
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all({FOLD.format(c="text")}, '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_extract_all({FOLD.format(c="text")}, 'sch[a-z]+keit') AS m FROM documents), f AS (SELECT doc_id, list_concat(list_filter(w, lambda x: x IN ('idiot', 'clown', 'moron')), m) AS f FROM t)
-    SELECT doc_id, len(list_distinct(f)) AS n, f[1] AS first FROM f WHERE len(f) > 0""",
+    f"""WITH t AS (SELECT doc_id, {FOLD.format(c="text")} AS t FROM documents WHERE text <> ''),
+    m AS (SELECT doc_id, list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ('sur', 'und', 'cion')) AS w, regexp_extract(t, 'th[a-z]+ng') AS p, regexp_extract(t, 'os[a-z]+ti') AS q FROM t),
+    f AS (SELECT doc_id, list_concat(w, CASE WHEN p <> '' THEN [p] ELSE [] END, CASE WHEN q <> '' THEN [q] ELSE [] END) AS f FROM m)
+    SELECT doc_id, len(list_distinct(f)) AS n, f[1] AS first, f[-1] AS last FROM f WHERE len(f) > 0""",
 )
 def banned(spark, d):
-    found = P.banned_words(F.col("text"), ["idiot", "clown", "moron"], ["sch[a-z]+keit"])
-    return _docs(spark, d).select("doc_id", found.alias("f")).filter("size(f) > 0").select("doc_id", F.size("f").alias("n"), F.col("f")[0].alias("first"))
+    """Words and patterns with accents and capitals, of which a text may match one more than once; one pattern is none."""
+    found = P.banned_words(F.col("text"), ["SUR", "und", "çiön"], ["TH[a-z]+ng", "(never closed", "öş[a-z]+tİ"])
+    return _docs(spark, d).select("doc_id", found.alias("f")).filter("size(f) > 0").select("doc_id", F.size("f").alias("n"), F.col("f")[0].alias("first"), F.element_at("f", -1).alias("last"))
 
 
 @query("p17_policy", "SELECT s_suppkey, n_name AS collection, s_acctbal > 0 AS ok_side, n_regionkey IN (1, 2) AS granted FROM supplier JOIN nation ON s_nationkey = n_nationkey")
