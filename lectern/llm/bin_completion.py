@@ -10,14 +10,18 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
-#: Bins' fillings that a search may try, and steps of one enumeration. The
-#: problem is NP-hard; beyond them the best packing so far stays. All pieces
-#: are packed in any case.
-NODES = 12_000
-STEPS = 3_000
+#: Steps of all enumerations of a search together, some seconds, and of one of
+#: them; to apply a filling and bound what is left costs as much as some steps. The problem is NP-hard; beyond them the best packing so far
+#: stays. All pieces are packed in any case.
+STEPS = 400_000
+STEPS_EACH = 3_000
+APPLIED = 25
+#: Enumerations that are held; each has a few lists of up to ``size`` numbers.
+LIVE = 64
 
 #: Lengths in descending order, and how many bins are filled so.
 Filling = tuple[tuple[int, ...], int]
@@ -97,57 +101,71 @@ def dominated(filling: list[int], waste: int, unused: int) -> bool:
     return bool(unused & larger)
 
 
-def fillings(counts: np.ndarray, largest: int, waste: int, steps: int = STEPS) -> Iterator[tuple[int, ...]]:
+class _Room:
+    """One bin's enumeration: what may still be put in, what is in, and the steps left to it."""
+
+    def __init__(self, counts: np.ndarray, largest: int, waste: int, steps: int):
+        have = counts.copy()
+        have[largest] -= 1
+        self.lengths = np.flatnonzero(have).tolist()
+        # All pieces up to a length together: a gap beyond that cannot be closed.
+        self.sums = np.cumsum(have * np.arange(len(have))).tolist()
+        self.available = int.from_bytes(np.packbits(have > 0, bitorder="little").tobytes(), "little")
+        self.have = have.tolist()
+        self.waste, self.steps = waste, steps
+        self.held: list[int] = []
+
+
+def _leaf(r: _Room, room: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    used_up = sum(1 << n for n, c in Counter(r.held).items() if r.have[n] == c)
+    if room <= r.waste and not dominated(r.held, room, r.available & ~used_up):
+        yield room, tuple(r.held)
+
+
+def _walk(r: _Room, at: int, room: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Fillings of ``room`` with lengths up to the one at ``at``, with what they leave."""
+    r.steps -= 1
+    at = min(at, bisect_right(r.lengths, room) - 1)
+    if at >= 0 and r.lengths[at] == room:
+        # One piece that fills the room dominates all else behind these pieces.
+        r.held.append(room)
+        yield from _leaf(r, 0)
+        r.held.pop()
+        return
+    while at >= 0 and r.steps > 0 and r.sums[r.lengths[at]] >= room - r.waste:
+        n = r.lengths[at]
+        for m in range(min(r.have[n], room // n), 0, -1):
+            r.held.extend([n] * m)
+            yield from _walk(r, at - 1, room - m * n)
+            del r.held[-m:]
+            if r.steps <= 0:
+                return
+        at -= 1
+    yield from _leaf(r, room)
+
+
+def fillings(counts: np.ndarray, largest: int, waste: int, budget: list[int] | None = None) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of the bin of ``largest`` that leave at most ``waste``.
 
     Longer pieces are tried first; what fills a bin comes as it is found, the
-    others follow by what they leave.
+    others follow by what they leave. ``budget`` holds the steps that all
+    enumerations have left.
     """
-    size = len(counts) - 1
-    have = counts.copy()
-    have[largest] -= 1
-    lengths = np.flatnonzero(have).tolist()
-    # All pieces up to a length together: a gap beyond that cannot be closed.
-    sums = np.cumsum(have * np.arange(size + 1)).tolist()
-    available = int.from_bytes(np.packbits(have > 0, bitorder="little").tobytes(), "little")
-    have = have.tolist()
-    held: list[int] = []
-    left, rest = [steps], []
-
-    def leaf(room: int):
-        used_up = sum(1 << n for n, c in Counter(held).items() if have[n] == c)
-        if room <= waste and not dominated(held, room, available & ~used_up):
-            yield room, (largest, *held)
-
-    def walk(at: int, room: int):
-        left[0] -= 1
-        at = min(at, bisect_right(lengths, room) - 1)
-        if at >= 0 and lengths[at] == room:
-            # One piece that fills the room dominates all else behind these pieces.
-            held.append(room)
-            yield from leaf(0)
-            held.pop()
-            return
-        while at >= 0 and left[0] > 0 and sums[lengths[at]] >= room - waste:
-            n = lengths[at]
-            for m in range(min(have[n], room // n), 0, -1):
-                held.extend([n] * m)
-                yield from walk(at - 1, room - m * n)
-                del held[-m:]
-                if left[0] <= 0:
-                    return
-            at -= 1
-        yield from leaf(room)
-
-    for room, found in walk(len(lengths) - 1, size - largest):
+    budget = budget if budget is not None else [STEPS]
+    r = _Room(counts, largest, waste, given := min(STEPS_EACH, budget[0]))
+    rest = []
+    for room, found in _walk(r, len(r.lengths) - 1, len(counts) - 1 - largest):
+        budget[0] -= given - r.steps
+        given = r.steps
         if room:
             rest.append((room, found))
         else:
-            yield found
-    yield from (found for _, found in sorted(rest, key=lambda x: x[0]))
+            yield (largest, *found)
+    budget[0] -= given - r.steps
+    yield from ((largest, *found) for _, found in sorted(rest, key=lambda x: x[0]))
 
 
-def complete(counts: np.ndarray, nodes: int = NODES) -> tuple[list[Filling], int]:
+def complete(counts: np.ndarray, steps: int = STEPS) -> tuple[list[Filling], int]:
     """Fillings that use up ``counts`` (pieces by length, up to the bin's size), and the lower bound on bins.
 
     Best fit is the first incumbent. A branch ends where the bins that it has
@@ -164,13 +182,13 @@ def complete(counts: np.ndarray, nodes: int = NODES) -> tuple[list[Filling], int
     total = int((counts * np.arange(size + 1)).sum())
     chosen: list[Filling] = []
     wasted = [0]  # by the fillings chosen so far
-    used = 0
+    used, budget = 0, [steps]
 
     def branch():
         largest = int(np.flatnonzero(counts)[-1])
         # What may be left in all with one bin fewer than the incumbent has.
         waste = (fewest - 1) * size - total - wasted[-1]
-        for filling in fillings(counts, largest, min(size, waste)):
+        for filling in fillings(counts, largest, min(size, waste), budget):
             most = min(int(counts[n]) // m for n, m in Counter(filling).items())
             yield filling, most
             if most > 1:
@@ -180,9 +198,17 @@ def complete(counts: np.ndarray, nodes: int = NODES) -> tuple[list[Filling], int
         for n, m in Counter(filling).items():
             counts[n] -= m * times
 
-    open_ = [branch()] if total else []
-    while open_ and fewest > low and nodes > 0:
-        step = next(open_[-1], None)
+    # A branch is an enumeration and how many of its steps were taken; one far
+    # down is made anew if the search comes back to it.
+    open_: list[list] = [[branch(), 0]] if total else []
+    while open_ and fewest > low and budget[0] > 0:
+        if len(open_) > LIVE:
+            open_[-LIVE - 1][0] = None
+        top = open_[-1]
+        if top[0] is None:
+            top[0] = islice(branch(), top[1], None)
+        step = next(top[0], None)
+        top[1] += 1
         if step is None:
             open_.pop()
             if chosen:
@@ -191,7 +217,7 @@ def complete(counts: np.ndarray, nodes: int = NODES) -> tuple[list[Filling], int
                 used -= times
                 apply(filling, -times)
             continue
-        nodes -= 1
+        budget[0] -= APPLIED
         filling, times = step
         spare = wasted[-1] + (size - sum(filling)) * times
         if spare > (fewest - 1) * size - total:
@@ -204,8 +230,8 @@ def complete(counts: np.ndarray, nodes: int = NODES) -> tuple[list[Filling], int
         wasted.append(spare)
         used += times
         if counts.any():
-            open_.append(branch())
+            open_.append([branch(), 0])
         else:
             best, fewest = list(chosen), used
-            open_.append(iter(()))
+            open_.append([iter(()), 0])
     return best, low

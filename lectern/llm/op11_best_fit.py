@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import stage
-from lectern.llm.bin_completion import NODES, Filling, complete
+from lectern.llm.bin_completion import STEPS, Filling, complete
 from lectern.llm.tokens import default_tokenizer, encoder
 
 WINDOW = 4096
@@ -82,7 +82,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_ids: bool = False,
-    nodes: int = NODES,
+    steps: int = STEPS,
 ) -> DataFrame:
     """One row for each piece of each document; with ``keep_ids`` also its ``ids`` (little-endian unsigned 32 bits).
 
@@ -98,7 +98,7 @@ def pack(
     counts = np.zeros(window + 1, np.int64)
     for length, n in of_part.groupBy("length").agg(F.sum("n")).collect():  # at most ``window`` rows
         counts[length] = n
-    filled, _ = complete(counts, nodes)
+    filled, _ = complete(counts, steps)
     length, first, copies, sequence, at = places(filled)
     # Pieces of one length number under 2^48, so a length and a number make one key.
     keys = (length << 48) + first
