@@ -122,7 +122,7 @@ def slug(c: Column, most: int = 50) -> Column:
 def _plain_letters() -> tuple[dict[str, str], dict[str, str]]:
     """Signs of the basic plane beyond ASCII that decompose to one ASCII sign, and those that decompose to several."""
     one, more = {}, {}
-    for k in range(128, 0xD800):
+    for k in (*range(128, 0xD800), *range(0xE000, 0x10000)):
         plain = unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode()
         if plain:
             (one if len(plain) == 1 else more)[chr(k)] = plain

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import metadata as D
 from lectern.functions import text as T
 from lectern.plans.registry import query, table
-from lectern.sources import adapters, ingest, reports, scratch, sqlite
+from lectern.sources import adapters, artifacts, cache, ingest, reports, scratch, sqlite
 
 
 def _docs(spark, d):
@@ -111,19 +112,62 @@ def artifact_names(spark, d):
     return table(spark, d, "pages").select("page_id", reports.artifact_name(source, D.file_hash(F.col("url").cast("binary"))).alias("name"))
 
 
+@query(
+    "k7_artifacts",
+    "SELECT DISTINCT CASE WHEN page_id % 2 = 0 THEN 'rapor' || page_id % 9 ELSE '.gizli' END || '__' || sha256(html)[1:8] || '.md' AS name, md5(html) AS content FROM pages",
+)
+def artifacts_once(spark, d):
+    """Pages written as files in two overlapping writes and read back as one set; a name that is there is not written again."""
+    path = scratch.place(spark, "artifacts")
+    source = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("a/b/rapor"), (F.col("page_id") % 9).cast("string"), F.lit(".html"))).otherwise("x/.gizli")
+    rows = table(spark, d, "pages").select("page_id", source.alias("document_source"), F.col("html").alias("text"))
+    artifacts.write(rows.filter("page_id % 3 = 0"), path)
+    artifacts.write(rows, path)
+    return artifacts.read(spark, path).select("name", F.md5("content").alias("content"))
+
+
 @query("k8_cached", "SELECT n_chars AS key, n_chars * 2 AS value, count(*) AS n, 1::BIGINT AS computed FROM documents GROUP BY n_chars")
 def cached(spark, d):
     """Two calls over overlapping rows compute each key once."""
     path = scratch.place(spark, "cache")
     rows = _docs(spark, d).select("doc_id", F.col("n_chars").alias("key"))
     double = lambda x: x.select("key", (F.col("key") * 2).alias("value"))
-    reports.cached(rows.filter("doc_id % 3 = 0"), "key", path, double)
-    got = reports.cached(rows, "key", path, double).groupBy("key", "value").agg(F.count("*").alias("n"))
-    stored = spark.read.parquet(path).groupBy("key").agg(F.count("*").alias("computed"))
+    cache.cached(rows.filter("doc_id % 3 = 0"), "key", path, double)
+    got = cache.cached(rows, "key", path, double).groupBy("key", "value").agg(F.count("*").alias("n"))
+    stored = cache.results(spark, path).groupBy("key").agg(F.count("*").alias("computed"))
     # A key that stands in the cache twice would double its rows.
     return got.join(stored, "key").select("key", "value", (F.col("n") / F.col("computed")).cast("long").alias("n"), "computed")
 
 
+_CUT = "ceil(length(coalesce(text, '')) / {n}.0)::BIGINT"
+
+
+@query(
+    "k8_two_levels",
+    f"SELECT doc_id, 700 AS most, {_CUT.format(n=700)} AS pieces, 1::BIGINT AS parsed FROM documents UNION ALL SELECT doc_id, 300, {_CUT.format(n=300)}, 1 FROM documents",
+)
+def two_levels(spark, d):
+    """Two callers at the same time ask for other cuts of the same texts: each text is parsed once, each cut made once."""
+    path = scratch.place(spark, "cache")
+    rows = _docs(spark, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    parse = lambda df: df.select("key", "text", F.length("text").alias("n"))
+    cut = lambda df, s: df.select("key", "cut_key", F.ceil(F.col("n") / s["most"]).alias("pieces"))
+
+    def call(most: int):
+        return cache.two_levels(rows, "key", path, parse, cut, {"most": most, "join": "\n"})
+
+    with ThreadPoolExecutor(3) as pool:
+        made = list(pool.map(call, (700, 300, 700)))
+    parsed = cache.results(spark, f"{path}/parsed").groupBy("key").agg(F.count("*").alias("parsed"))
+    cuts = cache.results(spark, f"{path}/cut").groupBy("cut_key").agg(F.count("*").alias("made"))
+    out = None
+    for most, got in zip((700, 300), made[:2], strict=True):
+        once = got.dropDuplicates(["key"]).join(cuts, "cut_key").filter("made = 1").join(parsed, "key")
+        part = rows.select("doc_id", "key").join(once, "key").select("doc_id", F.lit(most).alias("most"), "pieces", "parsed")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("k9_k10_named_report", "SELECT 'eval_report_20200102_030405' AS name, count(*) AS n, sum(n_chars) AS n_chars, 'refused' AS again FROM documents")
 def named_report(spark, d):
     """A report under a name with its time; the same name again is refused."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,19 +86,6 @@ def report_name(query: Column, at: Column) -> Column:
     return F.concat(F.date_format(at, "yyyyMMdd-HHmm"), F.lit("_"), T.slug(query), F.lit(".md"))
 
 
-def cached(rows: DataFrame, key: str, root: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``compute`` of rows, by a content key, each key computed once over all calls.
-
-    ``compute`` keeps the key. What the cache lacks is computed and added; a row
-    then gets its result by a join on the key.
-    """
-    spark = rows.sparkSession
-    old = _read(spark, root, "parquet")
-    wanted = rows.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    compute(wanted if old is None else wanted.join(old.select(key), key, "left_anti")).write.mode("append").parquet(root)
-    return rows.select(key).join(spark.read.parquet(root), key)
-
-
 def with_ids(entries: DataFrame, golden: DataFrame | None, prefix: str, order: str) -> DataFrame:
     """``entries`` with an id of their ``prefix`` column and a number that goes on from the golden set's ids of that prefix."""
     number = F.row_number().over(Window.partitionBy(prefix).orderBy(order))

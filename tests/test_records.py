@@ -12,7 +12,7 @@ from lectern.operators import authors as U
 from lectern.operators import evaluation as E
 from lectern.operators import health as H
 from lectern.operators import quality as Q
-from lectern.sources import configs, reports
+from lectern.sources import cache, configs, reports
 from lectern.sources.sqlite import sqlite_table
 
 ATOM = "text string, author string, role string, segment int, is_continuation boolean, pages array<int>"
@@ -202,8 +202,8 @@ def test_sinks(spark, tmp_path):
         return df.select("h", F.upper("h").alias("up"))
 
     rows = lambda *hs: spark.createDataFrame([(h,) for h in hs], "h string")
-    reports.cached(rows("x", "x", "y"), "h", f"{root}/cache", compute)
-    out = reports.cached(rows("y", "z", None), "h", f"{root}/cache", compute)
+    cache.cached(rows("x", "x", "y"), "h", f"{root}/cache", compute)
+    out = cache.cached(rows("y", "z", None), "h", f"{root}/cache", compute)
     assert calls == [["x", "y"], ["z"]] and sorted(r.up for r in out.collect()) == ["Y", "Z"]
     doc = spark.createDataFrame([("a/b", "c1", "done", 5, 2, ["w"])], "document_id string, collection string, status string, timings int, chunk int, warnings array<string>")
     reports.write_document_reports(doc, f"{root}/reports")
