@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +32,27 @@ def outliers(docs: DataFrame, by: str, value: str, least: int = 3, most: float =
     return j.withColumn("others_mean", F.when(F.col("_n") > least, others)).withColumn("outlier", F.coalesce((F.col("_n") > least) & (others > 0) & (off > most), F.lit(False))).drop("_s", "_n")
 
 
-def outliers_so_far(docs: DataFrame, by: str, value: str, order: str, least: int = 3, most: float = 0.3, blocks: int = 64) -> DataFrame:
+#: Rows of a block, as an aim; a smaller table has this many blocks all the same.
+BLOCK_ROWS = 2_000_000
+LEAST_BLOCKS = 64
+
+
+def outliers_so_far(docs: DataFrame, by: str, value: str, order: str, least: int = 3, most: float = 0.3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same against the documents before it, as a first pass in order sees them.
 
-    The order is cut into ``blocks`` at its quantiles. Sums of a group's blocks
-    are carried over first, then each block runs by itself, so a hot group is
-    spread over as many tasks.
+    The order is cut at its quantiles into blocks of about ``block_rows``. Sums
+    of a group's blocks are carried over first, then each block runs by itself,
+    so a hot group is spread over as many tasks as its rows need. A row finds
+    its block by its coarse block first.
     """
-    ends = docs.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 1000).alias("_ends"))
-    dealt = docs.join(F.broadcast(ends)).withColumn("_block", F.coalesce(F.size(F.filter("_ends", lambda e: e < F.col(order))), F.lit(0))).drop("_ends")  # one row of ends
+    side = max(math.isqrt(LEAST_BLOCKS), math.isqrt(max(0, -(-docs.count() // block_rows) - 1)) + 1)
+    blocks = side * side
+    ends = docs.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], max(1000, 10 * blocks)).alias("_ends"))
+    ends = ends.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda k: F.get("_ends", k * side - 1)))
+    below = lambda array: F.size(F.filter(array, lambda e: e < F.col(order)))
+    dealt = docs.join(F.broadcast(ends)).withColumn("_c", F.coalesce(below("_coarse"), F.lit(0)))  # one row of ends
+    fine = F.slice("_ends", F.col("_c") * side + 1, F.lit(side - 1))
+    dealt = dealt.withColumn("_block", F.col("_c") * side + F.coalesce(below(fine), F.lit(0))).drop("_ends", "_coarse", "_c")
     sums = dealt.groupBy(by, "_block").agg(F.count(value).alias("_n"), F.sum(value).alias("_s"))
     before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"))

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern import session
 from lectern.functions import text as T
 from lectern.operators import index as X
 from lectern.operators import metrics as M
 from lectern.operators import retrieval as R
+from lectern.operators import timing
 from lectern.operators.filters import Criteria, first_rows, predicate
 from lectern.plans.registry import query, table
 from lectern.sources import scratch
@@ -373,3 +375,88 @@ def index_topk(spark, d):
     queries = _queries(spark, d).withColumn("own", F.col("query_id"))
     near = X.search(_index(spark, d), queries, 20, predicate(RANGE, columns={"year": "label"}), skip="own", also=("label",))
     return near.select("query_id", "chunk_id", "label", F.round("distance", 6).alias("distance"), "rank")
+
+
+def _reported(spark, d, seconds):
+    """The reranked five of each query, or the nearest five if time is up."""
+    hits = _hits(spark, d)
+
+    def full():
+        return rerank(spark, d).select("query_id", "chunk_id", "rank")
+
+    got, cut = timing.within(spark, seconds, full, lambda: hits.filter("rank <= 5").select("query_id", "chunk_id", "rank"))
+    return got.select(F.lit(cut).alias("truncated"), "query_id", "chunk_id", "rank")
+
+
+@query(
+    "o7_within_budget",
+    f"""WITH {HITS}, s AS (SELECT query_id, chunk_id, -abs(label - query_label) - distance AS score FROM hits),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+    SELECT false AS truncated, query_id, chunk_id, rank FROM r WHERE rank <= 5 UNION ALL SELECT true, query_id, chunk_id, rank FROM hits WHERE rank <= 5""",
+)
+def within_budget(spark, d):
+    """A report with a budget that suffices and one with none, told apart."""
+    return _reported(spark, d, 3_600).unionByName(_reported(spark, d, 0))
+
+
+@query(
+    "e27_timed_stages",
+    f"""WITH {HITS}, t AS (SELECT 'embed' AS label, count(*) AS n FROM embeddings UNION ALL SELECT 'retrieve', count(*) FROM hits UNION ALL SELECT 'head', count(*) FROM hits WHERE rank <= 3)
+    SELECT label, n, 1::BIGINT AS calls, true AS timed FROM t""",
+)
+def timed_stages(spark, d):
+    """Rows counted by observation while the stages run, and their times as latencies."""
+    seen = timing.Timings(spark)
+    seen.stage("embed", _chunks(spark, d))
+    hits = seen.stage("retrieve", _hits(spark, d))
+    seen.stage("head", hits.filter("rank <= 3"))
+    taken = M.latency(seen.rows(), "label", "ms").select("label", F.col("n").alias("calls"), (F.col("p99") > 0).alias("timed"))
+    return seen.rows().select("label", "n").join(taken, "label")
+
+
+def _session(spark, d):
+    """Vectors as two collections with their documents' texts, and a third that the session may not see."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = table(spark, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left")
+    rows = rows.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"), "embedding", "label")
+    at = session.Session(spark, ["minutes", "press", "absent"])
+    at.register("minutes", rows.filter("label < 3"), "tutanak")
+    at.register("hidden", rows.filter("label = 3"))
+    at.register("press", rows.filter("label > 3"), "press_clip", 0.5)
+    return at
+
+
+_SESSION_SQL = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+c AS (SELECT vec_id, CASE WHEN label < 3 THEN 'minutes' ELSE 'press' END AS collection, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 3),
+p AS (SELECT query_id, collection, vec_id, {DIST.format(a="q.v", b="c.v")} AS distance FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), collection, vec_id::VARCHAR) AS rank FROM p)"""
+
+
+@query(
+    "o1_session_sql",
+    f"WITH {_SESSION_SQL} SELECT query_id, CASE collection WHEN 'press' THEN 'press_clip' ELSE 'tutanak' END AS document_type, vec_id::VARCHAR AS chunk_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 4",
+)
+def session_sql(spark, d):
+    """Collections, their list and the table function, by SQL alone."""
+    _session(spark, d)
+    _queries(spark, d).select("query_id", F.col("qvec").cast("array<double>").alias("v")).createOrReplaceTempView("session_questions")
+    return spark.sql(
+        """SELECT query_id, c.document_type, r.chunk_id, round(r.distance, 6) AS distance, r.rank
+        FROM session_questions AS s, LATERAL retrieve(s.v, 4) AS r JOIN session_collections AS c ON c.name = r.collection"""
+    )
+
+
+@query(
+    "o1_session_orchestrate",
+    f"""WITH {_SESSION_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(distance, 9), vec_id) AS place FROM p)
+    SELECT query_id, CASE WHEN query_id % 40 = 0 THEN 'refuse' ELSE 'answer' END AS action, CASE WHEN query_id % 40 = 0 THEN 0 ELSE 6 END::BIGINT AS n,
+    CASE WHEN query_id % 40 = 0 THEN '' ELSE string_agg(vec_id, ',' ORDER BY collection, place) FILTER (place <= 3) END AS chunk_ids FROM h GROUP BY query_id""",
+)
+def session_orchestrate(spark, d):
+    """Plans of a session: half the queries ask for what it may not see and are refused."""
+    at, queries = _session(spark, d), _queries(spark, d)
+    row = lambda name, priority: F.struct(F.lit(name).alias("collection"), F.lit(priority).alias("priority"), F.lit(3).alias("retrieval_budget"), F.lit(2).alias("reserve_budget"))
+    asked = F.when(F.col("query_id") % 40 == 0, F.array(row("hidden", 1))).otherwise(F.array(row("minutes", 1), row("press", 2), row("hidden", 3)))
+    plans = queries.select("query_id", F.explode(asked).alias("p")).select("query_id", "p.*")
+    got = at.orchestrate(queries, plans, per_document=99)
+    return got.select("query_id", "action", "n", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ",").alias("chunk_ids"))

@@ -215,11 +215,11 @@ def test_latency_and_prefixes_of_a_hot_key(spark):
     r = random.Random(3)
     vals = [(k, "a" if k % 3 else "b", r.choice([1.0, 2.5, 7.0, r.random() * 50])) for k in range(900)] + [(900, "c", 5.0), (901, "d", None)]
     df = spark.createDataFrame(vals, "i int, k string, v double")
-    got = {x.k: x for x in M.latency(df, "k", "v", blocks=8).collect()}
+    got = {x.k: x for x in M.latency(df, "k", "v").collect()}
     for key in "abc":
         own = sorted(v for _, k, v in vals if k == key)
         assert [got[key].n, got[key].p50, got[key].p95, got[key].p99] == [len(own), *(own[min(len(own) * p // 100, len(own) - 1)] for p in (50, 95, 99))]
-    seen = {x.i: x.seen for x in Q.outliers_so_far(df, "k", "v", "i", blocks=5).collect()}
+    seen = {x.i: x.seen for x in Q.outliers_so_far(df, "k", "v", "i", block_rows=7).collect()}
     assert seen == {i: sum(k2 == k and v2 is not None for i2, k2, v2 in vals if i2 < i) for i, k, _ in vals}
 
 
