@@ -8,6 +8,7 @@ from lectern.functions import text as T
 from lectern.operators import chunking as C
 from lectern.operators import filters as P
 from lectern.operators import metrics as M
+from lectern.operators import names as N
 from lectern.operators import quality as Q
 from lectern.plans.registry import query, table
 
@@ -341,3 +342,24 @@ def token_overlap(spark, d):
     t = table(spark, d, "conversations").withColumnRenamed("conv_id", "query_id")
     o = M.token_overlap(t.filter("role <> 'assistant'"), t.filter("role = 'assistant'"))
     return o.select("query_id", *[F.round(c, 6).alias(c) for c in ("token_recall", "token_precision", "token_iou")])
+
+
+_FOLDED = "regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query(
+    "p9_names",
+    f"""WITH v AS (SELECT array_to_string({_FOLDED.format(t=FOLD.format(c="text"))}[1:3], ' ') AS name, 'author' AS kind FROM documents WHERE doc_id % 5 = 0 AND text <> '' UNION
+    SELECT array_to_string({_FOLDED.format(t=FOLD.format(c="text"))}[1:2], ' '), 'source' FROM documents WHERE doc_id % 5 > 0 AND text <> ''),
+    c AS (SELECT conv_id, turn, ' ' || array_to_string({_FOLDED.format(t=FOLD.format(c="text"))}, ' ') || ' ' AS t FROM conversations WHERE text <> ''),
+    m AS (SELECT conv_id, turn, name, kind, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(name) DESC, instr(t, ' ' || name || ' '), kind) AS n FROM c JOIN v ON name <> '' AND contains(t, ' ' || name || ' '))
+    SELECT conv_id, turn, kind, name FROM m WHERE n = 1""",
+)
+def names_in_questions(spark, d):
+    """The longest name in each turn, of a vocabulary of two and three words with which documents begin."""
+    words = F.regexp_extract_all(T.fold(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0))
+    begins = lambda n: F.array_join(F.slice(words, 1, n), " ").alias("name")
+    docs = _docs(spark, d)
+    vocabulary = docs.filter("doc_id % 5 = 0").select(begins(3), F.lit("author").alias("kind")).unionByName(docs.filter("doc_id % 5 > 0").select(begins(2), F.lit("source").alias("kind")))
+    found = N.find_names(table(spark, d, "conversations"), vocabulary)
+    return found.filter("size(names) > 0").select("conv_id", "turn", F.col("names")[0]["kind"].alias("kind"), F.col("names")[0]["name"].alias("name"))
