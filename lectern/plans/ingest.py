@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import manifest as S
 from lectern.operators import metrics as M
 from lectern.operators import quality as Q
+from lectern.operators import structure
 from lectern.plans.registry import query, table
 from lectern.sources import buckets, html, scratch
 from lectern.streaming import incremental
@@ -231,3 +232,28 @@ def stream_merge(spark, d):
         stream = spark.readStream.schema(batch.schema).parquet(source)
         incremental.manifest_stream(spark, stream, root, f"{root}-checkpoint", 8).awaitTermination()
     return incremental.current(spark, root).withColumn("day", F.date_format("ingest_time", "yyyy-MM-dd")).drop("ingest_time")
+
+
+# Short paragraphs stand for headings below the page's own.
+_LEVELS = "CASE WHEN level > 0 THEN level WHEN label = 'text' AND length(text) < 90 THEN 2 WHEN label = 'text' AND length(text) < 180 THEN 3 ELSE 0 END"
+
+
+@query(
+    "c14_structural_chunks",
+    f"""WITH RECURSIVE {_PAGES}, a AS (SELECT page_id, pos, {_LEVELS} AS level, text, length(text) AS n FROM atoms),
+    h AS (SELECT *, {", ".join(f"coalesce(max(CASE WHEN level = {k} THEN pos END) OVER w, -1) AS h{k}" for k in (1, 2, 3))} FROM a WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+    s AS (SELECT *, list_filter([h1, CASE WHEN h2 > h1 THEN h2 ELSE -1 END, CASE WHEN h3 > greatest(h1, h2) THEN h3 ELSE -1 END], lambda p: p >= 0) AS places FROM h),
+    t AS (SELECT *, {", ".join(f"sum(n) OVER (PARTITION BY page_id, places[1:{d}]) AS t{d}" for d in (1, 2, 3))}, sum(n) OVER (PARTITION BY page_id) AS t0 FROM s),
+    f AS (SELECT *, CASE WHEN t0 <= 1500 THEN 0 {" ".join(f"WHEN len(places) >= {d} AND t{d} <= 1500 THEN {d}" for d in (1, 2, 3))} END AS d FROM t),
+    u AS (SELECT *, CASE WHEN d = 0 THEN [] ELSE places[1:coalesce(d, len(places))] END AS unit FROM f),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page_id, unit, d IS NULL ORDER BY pos) AS i FROM u),
+    g(page_id, unit, whole, i, chunk, size) AS (SELECT page_id, unit, d IS NOT NULL, i, 1, n FROM o WHERE i = 1 UNION ALL
+      SELECT g.page_id, g.unit, whole, o.i, CASE WHEN NOT whole AND size + o.n > 1500 THEN chunk + 1 ELSE chunk END, CASE WHEN NOT whole AND size + o.n > 1500 THEN o.n ELSE size + o.n END
+      FROM g JOIN o ON o.page_id = g.page_id AND o.unit = g.unit AND (o.d IS NOT NULL) = whole AND o.i = g.i + 1)
+    SELECT page_id, min(o.pos) AS pos, len(any_value(unit)) AS depth, sum(o.n)::BIGINT AS size, count(*) AS n_atoms FROM g JOIN o USING (page_id, unit, i) WHERE (o.d IS NOT NULL) = whole GROUP BY page_id, unit, whole, chunk""",
+)
+def structural_chunks(spark, d):
+    level = F.when(F.col("level") > 0, F.col("level")).when((F.col("label") == "text") & (F.length("text") < 90), 2).when((F.col("label") == "text") & (F.length("text") < 180), 3).otherwise(0)
+    atoms = html.atoms(table(spark, d, "pages")).withColumn("level", level)
+    got = structure.structural_chunks(atoms, 1500, size=F.length("text"), deepest=3)
+    return got.select("page_id", "pos", F.size("path").alias("depth"), F.col("size").cast("long").alias("size"), "n_atoms")

@@ -131,7 +131,7 @@ def marked(label: Column, text: Column) -> Column:
 
 
 def under_headings(rows: DataFrame, id_col: str = "page_id", deepest: int = 6) -> DataFrame:
-    """``rows`` with ``path``: the headings that each atom stands under, itself included, outermost first.
+    """``rows`` with ``path``: the headings that each atom stands under, itself included, outermost first, and ``places``, where they stand.
 
     A heading ends those of its level and deeper. Of each level the last heading
     so far is kept with its place, and counts if no outer one came after it.
@@ -144,6 +144,7 @@ def under_headings(rows: DataFrame, id_col: str = "page_id", deepest: int = 6) -
     kept = []
     for k in range(1, deepest + 1):
         outer = F.greatest(*[F.coalesce(F.col(f"_h{j}.pos"), F.lit(-1)) for j in range(1, k)], F.lit(-1), F.lit(-1))
-        kept.append(F.when(F.col(f"_h{k}.pos") > outer, F.col(f"_h{k}.text")))
-    path = F.filter(F.array(*kept), lambda t: t.isNotNull())
-    return out.withColumn("path", path).drop(*[f"_h{k}" for k in range(1, deepest + 1)])
+        kept.append(F.when(F.col(f"_h{k}.pos") > outer, F.col(f"_h{k}")))
+    held = F.filter(F.array(*kept), lambda h: h.isNotNull())
+    out = out.withColumn("_held", held).drop(*[f"_h{k}" for k in range(1, deepest + 1)])
+    return out.withColumn("path", F.transform("_held", lambda h: h["text"])).withColumn("places", F.transform("_held", lambda h: h["pos"])).drop("_held")

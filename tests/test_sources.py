@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import manifest as S
+from lectern.operators import structure
 from lectern.sources import buckets, html, ingest
 
 OPTIONAL = {"p", "li", "td", "th", "tr"}
@@ -153,3 +154,22 @@ def test_null_keys_and_empty_batches(spark, tmp_path):
     assert buckets.merge(root, spark.createDataFrame([], schema), 0, S.upsert) == set()
     buckets.merge(root, spark.createDataFrame([(None, "a", "x"), ("b", None, "y")], schema), 1, lambda old, new: old.unionByName(new))
     assert buckets.read(spark, root).count() == 2
+
+
+def test_sections_that_fit_are_one_chunk(spark):
+    page = (
+        "<p>intro</p><h1>A</h1><p>a1</p><h2>B</h2><p>b1</p><h3>C</h3><p>c1</p><h2>D</h2><p>" + "d1 " * 9 + "</p><p>d2 d2</p><p>d3 d3 d3 d3 d3 d3</p><h1>E</h1><h3>F</h3><p>f1</p>"
+    )
+    pages = spark.createDataFrame([(1, page), (2, "<p>x</p><h1>Y</h1>z"), (3, ""), (4, "<p>" + "w " * 30)], "page_id int, html string")
+    got = {(r.page_id, r.pos): (r.path, r.text, r.size, r.n_atoms) for r in structure.structural_chunks(html.atoms(pages), 8).collect()}
+    assert got == {
+        (1, 0): ([], "intro", 1, 1),
+        (1, 1): (["A"], "# A\n\na1", 2, 2),
+        (1, 3): (["A", "B"], "## B\n\nb1\n\n### C\n\nc1", 4, 4),
+        (1, 7): (["A", "D"], "## D", 1, 1),
+        (1, 8): (["A", "D"], ("d1 " * 9).strip(), 9, 1),
+        (1, 9): (["A", "D"], "d2 d2\n\nd3 d3 d3 d3 d3 d3", 8, 2),
+        (1, 11): (["E"], "# E\n\n### F\n\nf1", 3, 3),
+        (2, 0): ([], "x\n\n# Y\n\nz", 3, 3),
+        (4, 0): ([], ("w " * 30).strip(), 30, 1),
+    }
