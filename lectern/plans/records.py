@@ -221,9 +221,27 @@ def matchers(spark, d):
     return _golden(spark, d).select("query_id", E.matcher(*cols).alias("matcher"))
 
 
-@query("e14_by_matcher")
+_TURNED = """CASE WHEN item_id % 7 = 0 THEN 'page_overlap' WHEN item_id % 5 = 0 THEN 'span_overlap' WHEN item_id % 3 <> 0 AND item_id % 2 <> 0 THEN 'none'
+    ELSE concat_ws('+', CASE WHEN item_id % 3 = 0 THEN 'token_overlap' END, CASE WHEN item_id % 4 = 0 THEN 'kayit_no' WHEN item_id % 2 = 0 THEN 'chunk_id' END) END"""
+_RANKED = {"precision": "h / 10.0::DOUBLE", "recall": "least(h, 1)::DOUBLE", "hit_rate": "(h > 0)::INT::DOUBLE", "mrr": "coalesce(1.0::DOUBLE / f, 0)", "ndcg": "CASE WHEN matcher LIKE 'span%' THEN 0 ELSE dcg END"}
+_WORDED = {"token_recall": "i / g::DOUBLE", "token_precision": "i / r::DOUBLE", "token_iou": "i / (g + r - i)::DOUBLE"}
+
+
+@query(
+    "e14_by_matcher",
+    rf"""WITH q AS (SELECT item_id AS query_id, text, {_TURNED} AS matcher FROM benchmark),
+    got AS (SELECT item_id - o AS query_id, o + 1 AS rank, item_id AS chunk, text FROM benchmark, (VALUES (0), (1)) t(o)),
+    hits AS (SELECT query_id, matcher, rank, CASE WHEN matcher SIMILAR TO '(page|span).*' THEN 1 ELSE (chunk = query_id)::INT END AS hit FROM q JOIN got USING (query_id) WHERE matcher SIMILAR TO '.*(page|span|kayit|chunk).*'),
+    m AS (SELECT query_id, matcher, sum(hit) AS h, min(CASE WHEN hit = 1 THEN rank END) AS f, sum(hit / log2(rank + 1)) AS dcg FROM hits GROUP BY ALL),
+    gw AS (SELECT query_id, matcher, w, count(*) AS g FROM (SELECT query_id, matcher, unnest(string_split_regex(lower(text), '\s+')) AS w FROM q WHERE matcher LIKE 'token%') WHERE w <> '' GROUP BY ALL),
+    rw AS (SELECT query_id, matcher, w, count(*) AS r FROM (SELECT query_id, matcher, unnest(string_split_regex(lower(got.text), '\s+')) AS w FROM q JOIN got USING (query_id) WHERE matcher LIKE 'token%') WHERE w <> '' GROUP BY ALL),
+    t AS (SELECT query_id, matcher, sum(least(coalesce(g, 0), coalesce(r, 0))) AS i, sum(coalesce(g, 0)) AS g, sum(coalesce(r, 0)) AS r FROM gw FULL JOIN rw USING (query_id, matcher, w) GROUP BY ALL),
+    v AS ({" UNION ALL ".join([f"SELECT query_id, matcher, '{n}' AS metric, {e} AS value FROM m" for n, e in _RANKED.items()] + [f"SELECT query_id, matcher, '{n}', {e} FROM t" for n, e in _WORDED.items()])}
+      UNION ALL SELECT query_id, matcher, 'evidence_coverage', 6 / 9.0::DOUBLE FROM m WHERE matcher LIKE 'span%' UNION ALL SELECT query_id, matcher, NULL, NULL FROM q WHERE matcher = 'none')
+    SELECT query_id, matcher, metric, round(value, 6) AS value FROM v""",
+)
 def by_matcher(spark, d):
-    """Every benchmark item against itself and the one after it as retrieved chunks; tests hold it to worked examples."""
+    """Every benchmark item against itself and the one after it as retrieved chunks."""
     k = F.col("item_id")
     b = table(spark, d, "benchmark")
     got = b.select(k, "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("o")).select(
