@@ -14,7 +14,7 @@ from lectern.operators import chunking as C
 
 # Patterns of names, bylines, proposers and signature lists, and
 # the newspapers that a byline can name.
-NAME = r"[A-ZÇĞİÖŞÜ][A-ZÇĞİÖŞÜa-zçğıöşü]+(?:\s+[A-ZÇĞİÖŞÜ][A-ZÇĞİÖŞÜa-zçğıöşü]+)+"
+NAME = C.FULL_NAME
 NEWSPAPERS = "Hürriyet|Milliyet|Sabah|Cumhuriyet|Tercüman|Türkiye"
 COLUMNIST = rf"(?iU)^\s*Yazan\s*[:\-—]\s*({NAME})"
 REPORTER = rf"(?U)^\s*({NAME})\s*[—\-]\s*(?:{NEWSPAPERS})"

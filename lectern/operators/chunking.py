@@ -57,22 +57,33 @@ def fixed_windows(docs: DataFrame, size: int = 1500, keep: tuple[str, ...] = ())
     return rows.select("doc_id", *keep, "w.char_start", "w.text")
 
 
+#: Found places that the fold of :func:`spans` appends to at a time; it copies no more of them at a chunk.
+SPAN_BLOCK = 256
+
+
 def spans(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """0-based half-open spans of chunks found in order, each from the last start on; unfound ones go."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda c: c)
-    held = chunks.groupBy("doc_id").agg(ordered.alias("cs"))
-    none = F.array().cast("array<struct<chunk:int,char_start:int,char_end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """0-based half-open spans of chunks found in order, each behind the last one's start, else from the beginning; unfound ones go."""
+    held = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "piece"))).alias("cs"))
+    ints = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), ints.alias("block"), F.array().cast("array<array<int>>").alias("blocks"))
     joined = docs.join(held, "doc_id")
 
     def step(s: Column, c: Column) -> Column:
         later = F.call_function("locate", c["piece"], F.col("text"), s["at"] + 1)
-        found = F.when(later > 0, later).otherwise(F.call_function("locate", c["piece"], F.col("text"), F.lit(1)))
-        row = F.struct(c["chunk"].alias("chunk"), (found - 1).alias("char_start"), (found - 1 + F.length(c["piece"])).alias("char_end"))
-        return F.when(found > 0, F.struct(found.alias("at"), F.concat(s["out"], F.array(row)).alias("out"))).otherwise(s)
+        # Each search stands in an array of one, so that it is made once however often its result is read.
+        found = F.transform(F.array(later), lambda n: F.when(n > 0, n).otherwise(F.call_function("locate", c["piece"], F.col("text"), F.lit(1))))
+        full = F.size(s["block"]) >= SPAN_BLOCK
+
+        def put(n: Column) -> Column:
+            block = F.when(full, F.array(n)).otherwise(F.concat(s["block"], F.array(n)))
+            return F.struct(F.when(n > 0, n).otherwise(s["at"]).alias("at"), block.alias("block"), F.when(full, F.concat(s["blocks"], F.array(s["block"]))).otherwise(s["blocks"]).alias("blocks"))
+
+        return F.transform(found, put)[0]
 
-    folded = joined.select("doc_id", F.explode(F.aggregate("cs", start, step, lambda s: s["out"])).alias("c"))
-    return folded.select("doc_id", "c.chunk", "c.char_start", "c.char_end")
+    places = F.aggregate("cs", start, step, lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
+    placed = joined.select("doc_id", "cs", places.alias("places")).select("doc_id", F.explode(F.arrays_zip("cs", "places")).alias("c"))
+    begin = F.col("c.places") - 1
+    return placed.filter("c.places > 0").select("doc_id", "c.cs.chunk", begin.alias("char_start"), (begin + F.length("c.cs.piece")).alias("char_end"))
 
 
 # How the head of a turn of minutes names its speaker, and what in

@@ -45,21 +45,24 @@ def min_token_merge(spark, d):
     return m.select("doc_id", "chunk", "char_start", "char_end", "n_merged", F.md5("text").alias("h"))
 
 
-_NORMAL = r"regexp_replace(lower(translate({c}, 'İI', 'iı')), '[!-/:-@\[-`{{-~]', '', 'g')"
+NORMAL = r"regexp_replace(lower(translate({c}, 'İI', 'iı')), '[!-/:-@\[-`{{-~]', '', 'g')"
 
-
-@query(
-    "f7_relevant_windows",
-    rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_NORMAL.format(c="coalesce(text, '')")} AS flat,
-      list_filter(string_split_regex({_NORMAL.format(c="coalesce(array_to_string(string_split(text, ' ')[3:5], ' '), '')")}, '\s+'), lambda w: length(w) > 2) AS ws FROM documents),
-    f(doc_id, word, rest, place) AS (SELECT doc_id, word, flat[instr(flat, word) + 1:], instr(flat, word) - 1 FROM (SELECT doc_id, flat, unnest(list_distinct(ws)) AS word FROM d) WHERE contains(flat, word)
+# Windows around the words ``ws`` of each text of ``d`` (doc_id, text, flat, ws), by places found one after the other.
+WINDOWS = r"""f(doc_id, word, rest, place) AS (SELECT doc_id, word, flat[instr(flat, word) + 1:], instr(flat, word) - 1 FROM (SELECT doc_id, flat, unnest(list_distinct(ws)) AS word FROM d) WHERE contains(flat, word)
       UNION ALL SELECT doc_id, word, rest[instr(rest, word) + 1:], place + instr(rest, word) FROM f WHERE contains(rest, word)),
     hits AS (SELECT DISTINCT d.doc_id, length(text) AS n, place FROM f JOIN d USING (doc_id)),
     w AS (SELECT doc_id, n, place, greatest(0, place - 800) AS a, place + 800 AS b, lag(place + 800) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM hits),
     i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM w),
     s AS (SELECT doc_id, island, min(a) AS a, least(max(b), any_value(n)) AS b FROM i GROUP BY doc_id, island),
     c AS (SELECT *, 3000 - coalesce(sum(b - a) OVER (PARTITION BY doc_id ORDER BY island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM s),
-    shown AS (SELECT c.doc_id, string_agg(text[(a + 1)::BIGINT:(a + least(b - a, room))::BIGINT], chr(10) || '[...]' || chr(10) ORDER BY island) AS shown FROM c JOIN d ON d.doc_id = c.doc_id WHERE b - a <= room OR room > 200 GROUP BY c.doc_id)
+    shown AS (SELECT c.doc_id, string_agg(text[(a + 1)::BIGINT:(a + least(b - a, room))::BIGINT], chr(10) || '[...]' || chr(10) ORDER BY island) AS shown FROM c JOIN d ON d.doc_id = c.doc_id WHERE b - a <= room OR room > 200 GROUP BY c.doc_id)"""
+
+
+@query(
+    "f7_relevant_windows",
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {NORMAL.format(c="coalesce(text, '')")} AS flat,
+      list_filter(string_split_regex({NORMAL.format(c="coalesce(array_to_string(string_split(text, ' ')[3:5], ' '), '')")}, '\s+'), lambda w: length(w) > 2) AS ws FROM documents),
+    {WINDOWS}
     SELECT d.doc_id, coalesce(shown.shown, d.text[1:3000]) AS shown FROM d LEFT JOIN shown USING (doc_id)""",
 )
 def relevant_windows(spark, d):

@@ -18,6 +18,11 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
+def _files(parts, path, folders=64):
+    """A file for each part, in a stated number of folders however many parts there are."""
+    parts.select(F.pmod("part", F.lit(folders)).alias("folder"), "value").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+
+
 @query(
     "s1_ingest_request",
     """SELECT 'c' || doc_id // 100 AS collection, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS position, 'd' || doc_id AS document_id, lang AS document_type, CASE WHEN doc_id % 3 = 0 THEN 1990 + doc_id % 9 END::INT AS year,
@@ -36,8 +41,8 @@ def ingest_request(spark, d):
     listed = F.array_join(F.transform("ds", lambda x: x["d"]), ", ")
     request = F.concat(F.lit('{"version": "'), version, F.lit('", "collection": "c'), F.col("part").cast("string"), F.lit('", "documents": ['), listed, F.lit("]}"))
     path = scratch.place(spark, "requests")
-    held.select("part", request.alias("value")).write.partitionBy("part").text(path)
-    got = ingest.ingest_request(spark, f"{path}/part=*")
+    _files(held.select("part", request.alias("value")), path)
+    got = ingest.ingest_request(spark, f"{path}/folder=*")
     return got.select("collection", F.col("position").cast("long").alias("position"), "document_id", "document_type", "year", "ocr", F.col("metadata")["source"].alias("meta"))
 
 
@@ -78,8 +83,8 @@ def golden_set(spark, d):
     held = table(spark, d, "benchmark").groupBy(F.floor(k / 50).alias("part")).agg(F.collect_list(q).alias("queries"))
     body = F.when(F.col("part") % 2 == 0, F.to_json("queries")).otherwise(F.to_json(F.struct("queries")))
     path = scratch.place(spark, "golden")
-    held.select("part", body.alias("value")).write.partitionBy("part").text(path)
-    got = ingest.golden_set(spark, f"{path}/part=*")
+    _files(held.select("part", body.alias("value")), path)
+    got = ingest.golden_set(spark, f"{path}/folder=*")
     return got.select("id", "query", "expected_year", F.col("relevant_chunk_ids")[0].alias("first_chunk"), F.get("gold_evidence_spans", F.lit(0))["char_end"].alias("span_end"))
 
 

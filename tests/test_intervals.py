@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lectern.operators import chunking as C
 from lectern.operators import intervals as I
 from lectern.operators import metrics as M
 
@@ -52,3 +53,24 @@ def test_a_document_with_many_spans_stays_linear(spark):
     pairs = M.span_pairs(left, right.unionByName(far))
     assert pairs.count() == n // 2 + n // 2
     assert M.evidence_coverage(left, right, n).first().coverage == (n // 2) / (n // 2 * 6 + n // 2 * 5)
+
+
+def test_spans_of_many_chunks_are_those_found_in_order(spark):
+    r = random.Random(9)
+    text = " ".join(r.choice(["ab", "abc", "b", "c c", "ß"]) for _ in range(3000))
+    pieces, at = [], 0
+    while at < len(text):
+        n = r.randint(1, 9)
+        pieces.append(r.choice([text[at : at + n], text[at : at + n], "zz", text[at : at + 1]]))
+        at += n
+    want, last = [], 0
+    for k, piece in enumerate(pieces):
+        found = text.find(piece, last)
+        found = found if found >= 0 else text.find(piece)
+        if found >= 0:
+            want.append((k, found, found + len(piece)))
+            last = found + 1
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    chunks = spark.createDataFrame([(1, k, p) for k, p in enumerate(pieces)] + [(2, 0, "x")], "doc_id int, chunk int, piece string")
+    assert len(want) > 2 * C.SPAN_BLOCK
+    assert [tuple(x)[1:] for x in C.spans(docs, chunks).orderBy("chunk").collect()] == want
