@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import answers as A
 from lectern.functions import metadata as D
 from lectern.functions import text as T
+from lectern.operators import retrieval as R
 from lectern.operators import splitting as S
 
 # Rows to fetch, and to hold as primary and reserve, by kind of question.
@@ -161,6 +164,24 @@ def expanded_query(query: Column, expansion: Column) -> Column:
     return F.when((expansion != "") & (expansion != query), F.trim(F.concat(query, F.lit(" "), expansion))).otherwise(query)
 
 
+#: Chunks shown and fetched by a deep report.
+DEEP = (40, 150)
+
+
+def deep_retrieve(queries: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None) -> DataFrame:
+    """What a deep report reads: a query with its expansion, embedded anew, and many chunks for it.
+
+    ``queries`` has query_id, query and expansion; ``embed`` adds qvec to what
+    has the combined query. The result is that of ``retrieval.retrieve`` with
+    ``expanded``, the expansion if it says something new.
+    """
+    k, fetch = DEEP
+    new = (F.coalesce("expansion", F.lit("")) != "") & (F.col("expansion") != F.col("query"))
+    asked = queries.withColumn("expanded", F.when(new, F.col("expansion"))).withColumn("query", expanded_query(F.col("query"), F.coalesce("expansion", F.lit(""))))
+    found = R.retrieve(embed(asked.drop("expansion")), chunks, k, fetch, prefix, score, condition)
+    return found.join(asked.select("query_id", F.col("query").alias("combined"), "expanded"), "query_id")
+
+
 def agent_rows(hits: DataFrame, collection: str, labels: list[tuple[str, str]]) -> DataFrame:
     """Hits as an agent reads them: the parts near the query's words under a line of labelled metadata.
 

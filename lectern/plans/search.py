@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern import session
+from lectern import providers, session
 from lectern.functions import text as T
+from lectern.operators import agents as G
 from lectern.operators import index as X
 from lectern.operators import metrics as M
 from lectern.operators import retrieval as R
@@ -467,3 +468,46 @@ def session_orchestrate(spark, d):
     plans = queries.select("query_id", F.explode(asked).alias("p")).select("query_id", "p.*")
     got = at.orchestrate(queries, plans, per_document=99)
     return got.select("query_id", "action", "n", F.array_join(F.transform("chunk_ids", lambda c: c.cast("string")), ",").alias("chunk_ids"))
+
+
+@query(
+    "v11_deep_report",
+    f"""WITH e AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, regexp_replace(text, '[0-9]', '#', 'g') AS text FROM embeddings JOIN documents ON doc_id = vec_id),
+    q AS (SELECT q.vec_id AS query_id, coalesce(n.embedding, q.embedding)::DOUBLE[] AS a, q.vec_id % 40 > 0 AS more FROM embeddings q LEFT JOIN embeddings n ON n.vec_id = q.vec_id + 1 AND q.vec_id % 40 > 0 WHERE q.vec_id % 20 = 0),
+    p AS (SELECT query_id, chunk_id, text, more, {DIST.format(a="a", b="v")} AS distance FROM q, e),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS r FROM p) WHERE r <= 150),
+    scored AS (SELECT *, -(chunk_id % 7) - distance AS score FROM near), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)
+    SELECT query_id, CASE WHEN more THEN 'zqxv zqxw' ELSE 'zqxv' END AS combined, CASE WHEN more THEN 'zqxw' END AS expanded, chunk_id, rank, md5('No: ' || chunk_id || chr(10) || text[1:3000]) AS shown FROM k WHERE rank <= 40""",
+)
+def deep_report(spark, d):
+    """Forty chunks of a hundred and fifty for queries of which half are expanded, and embedded with their expansion."""
+    k = F.col("query_id")
+    asked = _queries(spark, d).select("query_id", F.lit("zqxv").alias("query"), F.when(k % 40 > 0, "zqxw").otherwise("zqxv").alias("expansion"))
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("qvec"))
+
+    def embed(df):
+        # An expanded query has the vector of the next row, where there is one.
+        own = df.withColumn("_v", F.when(F.col("expanded").isNotNull(), k + 1).otherwise(k))
+        two = own.join(vectors.withColumnsRenamed({"vec_id": "_v", "qvec": "_next"}), "_v", "left").join(vectors, F.col("query_id") == F.col("vec_id"))
+        return two.withColumn("qvec", F.coalesce("_next", "qvec")).drop("_v", "_next", "vec_id")
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace("text", "[0-9]", "#").alias("text"))
+    c = _chunks(spark, d).join(docs, "chunk_id").withColumn("year", F.lit(1990)).withColumn("no", F.col("chunk_id").cast("string"))
+    got = G.deep_retrieve(asked, c, embed, [("No", "no")], -(F.col("chunk_id") % 7) - F.col("distance"))
+    return got.select("query_id", "combined", "expanded", "chunk_id", "rank", F.md5("shown").alias("shown"))
+
+
+@query(
+    "v2_pooled_batches",
+    """WITH t AS (SELECT vec_id // 5 AS text_id, vec_id // 40 AS batch, vec_id % 5 AS pos, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <= (vec_id // 5) % 5 AND vec_id % 5 < 4),
+    l AS (SELECT batch, max(pos) + 1 AS n FROM t GROUP BY batch), x AS (SELECT text_id, batch, unnest(v[1:6]) AS x, unnest(range(6)) AS i FROM t),
+    m AS (SELECT text_id, i, sum(x) / any_value(n) AS m FROM x JOIN l USING (batch) GROUP BY text_id, i)
+    SELECT text_id, i, round(m / sqrt(sum(m * m) OVER (PARTITION BY text_id)), 6) AS x FROM m""",
+)
+def pooled_batches(spark, d):
+    """Texts of up to five tokens in batches of eight: four tokens are read, six components kept, means go over the padded length."""
+    k = F.col("vec_id")
+    rows = table(spark, d, "embeddings").select(F.expr("vec_id div 5").alias("text_id"), F.expr("vec_id div 40").alias("batch"), (k % 5).alias("pos"), F.col("embedding").cast("array<double>").alias("vec"))
+    rows = rows.filter(F.col("pos") <= F.col("text_id") % 5)
+    got = providers.pooled(rows, "batch", 6, 4)
+    return got.select("text_id", F.posexplode("embedding").alias("i", "x")).select("text_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))

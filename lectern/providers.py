@@ -51,3 +51,38 @@ class PatternFilters:
         year = re.search(r"\b(?:19|20)\d{2}\b", query)
         period = re.search(r"\b(\d{1,2})\. *dönem", query.lower())
         return query, Criteria(year=int(year[0]) if year else None, period=int(period[1]) if period else None)
+
+
+#: What a model family wants before a text, by task.
+PREFIXES = {
+    ("nomic", "query"): "search_query: ",
+    ("nomic", "passage"): "search_document: ",
+    ("qwen", "query"): "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery: ",
+}
+
+
+def prefixed(text: Column, model: str, task: str = "retrieval.passage") -> Column:
+    """A text as a model wants it: families without a prefix for the task take it as it is."""
+    kind = "query" if "query" in task else "passage"
+    lead = next((p for (family, k), p in PREFIXES.items() if family in model.lower() and k == kind), "")
+    return F.concat(F.lit(lead), text) if lead else text
+
+
+def pooled(tokens: DataFrame, batch: str, dim: int | None = None, most: int | None = None) -> DataFrame:
+    """(text_id, embedding): the mean of each text's token vectors over its batch's padded length, cut and brought to length one.
+
+    ``tokens`` has text_id, the column ``batch``, pos and vec, with a row for
+    each token that the model read. A model's batch is as long as its longest
+    text, and its plain mean counts what fills the others up: vectors that it
+    gave for filling are in ``tokens``, places without a row count as zeros.
+    ``most`` is the number of tokens that it reads of a text, ``dim`` keeps the
+    first components. Sums are taken by component in partial aggregation; a
+    vector of zeros stays one.
+    """
+    tokens = tokens if most is None else tokens.filter(F.col("pos") < most)
+    longest = tokens.groupBy(batch).agg((F.max("pos") + 1).alias("_long"))
+    parts = tokens.select("text_id", batch, F.posexplode("vec").alias("i", "x")).groupBy("text_id", batch, "i").agg(F.sum("x").alias("s"))
+    parts = parts if dim is None else parts.filter(F.col("i") < dim)
+    held = parts.join(longest, batch).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("_long")).alias("m")))).alias("ms"))
+    mean = F.transform("ms", lambda m: m["m"])
+    return held.select("text_id", T.l2_normalize(mean).alias("embedding"))
