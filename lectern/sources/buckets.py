@@ -20,13 +20,14 @@ BUCKETS = 64
 BUCKET = "key_bucket"
 
 
-def _path(spark: SparkSession, where: str):
+def place(spark: SparkSession, where: str):
+    """The file system of a path, and the path as it takes it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def exists(spark: SparkSession, where: str) -> bool:
-    fs, path = _path(spark, where)
+    fs, path = place(spark, where)
     return fs.exists(path)
 
 
@@ -48,7 +49,7 @@ def bucket_of(key: list[str], buckets: int) -> Column:
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Batches whose version is whole, ascending."""
-    fs, path = _path(spark, f"{root}/versions")
+    fs, path = place(spark, f"{root}/versions")
     if not fs.exists(path):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
@@ -108,7 +109,7 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
     kept = done[-keep:]
     named = {(b, k) for v in kept for k, (b, _) in _live(spark, root, v + 1).items()}
     gone = [f"{root}/versions/version={v}" for v in done if v not in kept]
-    fs, path = _path(spark, f"{root}/data")
+    fs, path = place(spark, f"{root}/data")
     for batch in fs.listStatus(path) if kept and fs.exists(path) else []:
         b = int(batch.getPath().getName().split("=")[1])
         # A batch beyond the newest version may be at work.
@@ -116,6 +117,6 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
         old = [f for f in folders if b <= kept[-1] and (b, int(f.getName().split("=")[1])) not in named]
         gone += [f"{root}/data/batch={b}"] if old and len(old) == len(folders) else [str(f) for f in old]
     for where in gone:
-        fs, path = _path(spark, where)
+        fs, path = place(spark, where)
         fs.delete(path, True)
     return len(gone)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources import buckets
+
 DOCUMENT = (
     "document_id string, document_type string, document_source string, document_date string, year int, period int, legislative_year int, session int, "
     "author string, author_role string, source_name string, title string, topics string, ocr boolean, metadata map<string,string>"
@@ -50,6 +52,26 @@ def collection(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(root).filter(F.col("collection") == name)
 
 
+def _folder(spark: SparkSession, root: str, name: str) -> str:
+    return f"{root}/collection={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)}"
+
+
+def open_collection(spark: SparkSession, root: str, name: str, create: bool = False, schema: str | None = None) -> DataFrame:
+    """The chunks of one collection; one that is not there is an error, or with ``create`` made without rows.
+
+    ``schema`` is that of a store without any rows yet.
+    """
+    if not buckets.exists(spark, root) and not create:
+        raise FileNotFoundError(f"there is no store at {root}")
+    if not buckets.exists(spark, _folder(spark, root, name)):
+        if not create:
+            raise ValueError(f"there is no collection {name} at {root}")
+        fs, path = buckets.place(spark, _folder(spark, root, name))
+        fs.mkdirs(path)
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, collection string")
+    return reader.parquet(root).filter(F.col("collection") == name)
+
+
 def upsert_chunks(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """New chunks in place of old ones of the same id; of new ones with one id the greatest row counts.
 

@@ -173,3 +173,17 @@ def test_sections_that_fit_are_one_chunk(spark):
         (2, 0): ([], "x\n\n# Y\n\nz", 3, 3),
         (4, 0): ([], ("w " * 30).strip(), 30, 1),
     }
+
+
+def test_collections_are_opened_or_created(spark, tmp_path):
+    root = f"{tmp_path}/chunks"
+    with pytest.raises(FileNotFoundError, match="no store"):
+        ingest.open_collection(spark, root, "a")
+    made = ingest.open_collection(spark, root, "a: b/c", create=True, schema="chunk_id string")
+    assert made.count() == 0
+    ingest.write_chunks(spark.createDataFrame([("1", "a: b/c"), ("2", "d")], "chunk_id string, collection string"), root)
+    assert [r.chunk_id for r in ingest.open_collection(spark, root, "a: b/c").collect()] == ["1"]
+    with pytest.raises(ValueError, match="no collection e"):
+        ingest.open_collection(spark, root, "e")
+    assert ingest.open_collection(spark, root, "e", create=True).count() == 0
+    assert [r.chunk_id for r in ingest.open_collection(spark, root, "d", create=True).collect()] == ["2"]
