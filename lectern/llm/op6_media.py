@@ -176,7 +176,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_tiles(media: DataFrame) -> DataFrame:
-    """``media`` (doc_id, n_bytes, media) with the NPY tile and the difference hash of each stored image.
+    """``media`` (doc_id, n_bytes, media) with the NPY tile of each image.
 
     Null ids and repeated rows keep their rows; further columns are not read;
     a null or undecodable image is an error; an empty table stays empty.
@@ -186,34 +186,35 @@ def with_tiles(media: DataFrame) -> DataFrame:
         for b in stage.slices(batches, "media"):
             images = [decode(m) for m in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(map(tile, images), pa.binary()), pa.array([f"{difference_hash(i):016x}" for i in images], pa.string())],
-                names=[*b.schema.names, "tile", "dhash"],
+                [*b.columns, pa.array(map(tile, images), pa.binary())],
+                names=[*b.schema.names, "tile"],
             )
 
-    return stage.map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, tile binary, dhash string")
+    return stage.map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, tile binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Digests of each stored image and of its NPY tile, both as read back.
+    """Digests of each stored image, its difference hash, and digests of its NPY tile, all of what is read back.
 
-    Takes (doc_id, n_bytes, media, tile, dhash); null ids, repeated rows,
+    Takes (doc_id, n_bytes, media, tile); null ids, repeated rows,
     further columns and an empty table are as for :func:`with_tiles`.
     """
 
     def run(batches):
         for b in stage.slices(batches, "media"):
             rows = []
-            for doc_id, n, m, t, dhash in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = decode(m).tobytes()
+            for doc_id, n, m, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                image = decode(m)
+                data = image.tobytes()
                 small = np.load(io.BytesIO(t))
-                feature = f"dhash={dhash};tile={zlib.crc32(small.tobytes()):08x};mean={small.mean():.3f}"
+                feature = f"dhash={difference_hash(image):016x};tile={zlib.crc32(small.tobytes()):08x};mean={small.mean():.3f}"
                 rows.append((doc_id, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stage.map_batches(stored.select("doc_id", "n_bytes", "media", "tile", "dhash"), run, schema)
+    return stage.map_batches(stored.select("doc_id", "n_bytes", "media", "tile"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,3 +381,17 @@ def test_collapsed_text_has_each_run_once(spark):
     assert got[1].collapsed == "x spam ham y" and [tuple(x) for x in got[1].runs] == [(1, 18, 2)]
     assert got[2].collapsed == "\x1c a b c d" and got[3].collapsed == "" and got[3].runs == []
     assert got[4].collapsed == "a　a　a a"
+
+
+def test_the_media_hash_is_of_what_was_stored(spark):
+    """An image put in another's place between writing and reading is what the hash is of."""
+    from lectern.llm import op6_media as media
+
+    docs = spark.createDataFrame([(1, "ab" * 900), (2, "the quick brown fox " * 90)], "doc_id long, text string")
+    stored = media.with_tiles(media.store_media(docs)).collect()
+    one, two = sorted(stored)
+    swapped = spark.createDataFrame([(1, one.n_bytes, two.media, one.tile)], "doc_id long, n_bytes long, media binary, tile binary")
+    honest = spark.createDataFrame([tuple(two)], swapped.schema)
+    got, want = media.features(swapped).first(), media.features(honest).first()
+    assert got.feature.split(";")[0] == want.feature.split(";")[0] == f"dhash={media.difference_hash(media.decode(bytes(two.media))):016x}"
+    assert got.media_sha256 == want.media_sha256 and got.feature != want.feature
