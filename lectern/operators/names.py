@@ -9,6 +9,7 @@ one after the other, so nothing is shuffled.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,8 +46,8 @@ def _automaton(block: str, held: list[tuple[str, list[tuple[str, str]]]]):
 
 def _matches(automaton, text: str) -> list[dict]:
     """All names that stand as whole words in a text, with their places in it."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(folded(text))]
     plain = folded(text)
+    words = [(m.start(), m.end()) for m in _WORD.finditer(plain)]
     joined, starts, at = [], {}, 1
     for k, (s, e) in enumerate(words):
         starts[at] = k
@@ -60,11 +61,15 @@ def _matches(automaton, text: str) -> list[dict]:
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _size(name: str) -> int:
+    return len(" ".join(_WORD.findall(folded(name))))
+
+
 def longest_first(found: list[dict]) -> list[dict]:
     """Names that do not overlap, the longest first, then the earliest; of one place one of each kind."""
     taken: list[dict] = []
-    size = lambda m: len(" ".join(_WORD.findall(folded(m["name"]))))
-    for m in sorted(found, key=lambda m: (-size(m), m["start"], m["kind"], m["name"])):
+    for m in sorted(found, key=lambda m: (-_size(m["name"]), m["start"], m["kind"], m["name"])):
         clash = any(m["start"] < t["end"] and t["start"] < m["end"] and ((m["start"], m["end"]) != (t["start"], t["end"]) or m["kind"] == t["kind"]) for t in taken)
         if not clash:
             taken.append(m)
