@@ -165,7 +165,7 @@ def expanded_query(query: Column, expansion: Column) -> Column:
 
 
 #: Chunks shown and fetched by a deep report.
-DEEP = (40, 150)
+REPORT_DEPTH = (40, 150)
 
 
 def deep_retrieve(queries: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def deep_retrieve(queries: DataFrame, chunks: DataFrame, embed: Callable[[DataFr
     has the combined query. The result is that of ``retrieval.retrieve`` with
     ``expanded``, the expansion if it says something new.
     """
-    k, fetch = DEEP
+    k, fetch = REPORT_DEPTH
     new = (F.coalesce("expansion", F.lit("")) != "") & (F.col("expansion") != F.col("query"))
     asked = queries.withColumn("expanded", F.when(new, F.col("expansion"))).withColumn("query", expanded_query(F.col("query"), F.coalesce("expansion", F.lit(""))))
     found = R.retrieve(embed(asked.drop("expansion")), chunks, k, fetch, prefix, score, condition)

@@ -44,4 +44,4 @@ def test_deep_queries_are_embedded_with_what_is_new(spark):
     got = G.deep_retrieve(asked, chunks, embed, []).collect()
     assert seen == ["neden sebep", "neden", "neden"]
     assert {(r.query_id, r.combined, r.expanded) for r in got} == {(1, "neden sebep", "sebep"), (2, "neden", None), (3, "neden", None)}
-    assert len(got) == 3 * G.DEEP[0] and {r.rank for r in got} == set(range(1, 41))
+    assert len(got) == 3 * G.REPORT_DEPTH[0] and {r.rank for r in got} == set(range(1, 41))
