@@ -6,37 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import nearest
 from lectern.operators import splitting as S
 from lectern.operators.filters import first_rows
 
 #: Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
-#: Vectors of queries that one broadcast may hold; more go in blocks.
-QUERY_BLOCK = 2000
+#: Queries that meet a block of chunks in one task.
+QUERY_BLOCK = 8_192
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def top_k(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None, by: tuple[str, ...] = (), skip: str | None = None, among: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, rank): the ``k`` nearest chunks of each query by cosine distance.
 
     With ``by``, the ``k`` nearest of each query and each value of those columns.
-
-    ``queries`` (query_id, qvec) are a stated set, broadcast in blocks of
-    ``QUERY_BLOCK``; chunks are never shuffled whole, since the rank limit is
-    applied in each partition before the exchange.
+    The other columns of ``queries`` (query_id, qvec) and ``chunks`` (chunk_id,
+    embedding) pass through, and are dealt with them: texts join afterwards.
+
+    Blocks of both meet in cells (:func:`nearest.pairs`), which leave no more
+    than the ``k`` nearest of a query, so no pair beyond these is shuffled or
+    sorted. ``skip`` is the queries' column of a chunk that they do not see,
+    ``among`` a column of arrays with the values of a column of the chunks that
+    they see (all, if empty). Any other ``condition`` on a pair is a join in
+    which all pairs that meet it are ranked. Rows without a distance come last.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    q = queries.select(*[c for c in queries.columns if c != "qvec"], T.doubles(F.col("qvec")).alias("_q")).withColumn("_qn", T.norm(F.col("_q")))
-    # Lengths are taken once for each vector, not once for each pair.
-    side = chunks.withColumn("_v", T.doubles(F.col("embedding"))).withColumn("_vn", T.norm(F.col("_v"))).drop("embedding")
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = side.join(F.broadcast(part), condition if condition is not None else F.lit(True))
-        near = pairs.withColumn("distance", 1 - T.dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn") + F.lit(1e-9))).drop("_q", "_v", "_qn", "_vn")
-        got = first_rows(near, ["query_id", *by], [F.round("distance", 9), F.col("chunk_id")], k)
-        out = got if out is None else out.unionByName(got)
-    return out
+    if condition is None:
+        near = nearest.pairs(queries, chunks, k, QUERY_BLOCK, by, skip, among)
+        near = near.withColumn("distance", 1 - F.col("similarity")).drop("similarity")
+    else:
+        if skip is not None:
+            condition = condition & (F.col("chunk_id") != F.col(skip))
+        if among is not None:
+            condition = condition & ((F.size(among[0]) == 0) | F.array_contains(among[0], F.col(among[1])))
+        # Lengths are taken once for each vector, not once for each pair.
+        q = queries.withColumn("_q", T.doubles(F.col("qvec"))).withColumn("_qn", T.norm(F.col("_q"))).drop("qvec")
+        side = chunks.withColumn("_v", T.doubles(F.col("embedding"))).withColumn("_vn", T.norm(F.col("_v"))).drop("embedding")
+        met = side.join(q, condition)
+        near = met.withColumn("distance", 1 - T.dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn") + F.lit(1e-9))).drop("_q", "_v", "_qn", "_vn")
+    return first_rows(near, ["query_id", *by], [F.round("distance", 9).asc_nulls_last(), F.col("chunk_id")], k)
 
 
 def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
@@ -72,14 +79,14 @@ def rrf_sources(ranked: DataFrame, k: int, constant: int = RRF_K, compat: bool =
 FAN_OUT, DEEP_FAN_OUT = (10, 20), (40, 150)
 
 
-def fan_out(queries: DataFrame, chunks: DataFrame, sources: list, by: str = "collection", deep: bool = False, condition: Column | None = None) -> DataFrame:
+def fan_out(queries: DataFrame, chunks: DataFrame, sources: list, by: str = "collection", deep: bool = False, condition: Column | None = None, skip: str | None = None) -> DataFrame:
     """The fused best of each query from its nearest chunks in each of ``sources``.
 
     One pass over the chunks ranks each source by itself; the order of
     ``sources`` is that in which fusion sees them.
     """
     k, each = DEEP_FAN_OUT if deep else FAN_OUT
-    hits = top_k(queries, chunks.filter(F.col(by).isin(sources)), each, condition, (by,))
+    hits = top_k(queries, chunks.filter(F.col(by).isin(sources)), each, condition, (by,), skip)
     place = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col(by)).cast("int")
     return rrf_sources(hits.withColumn("source_ord", place), k)
 
@@ -245,7 +252,7 @@ def context(ranked: DataFrame, max_chars: int, most_distance: float, total: int)
     return over.filter("over = 0").groupBy("query_id").agg(F.count("*").alias("n_chunks"), joined.alias("context"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int, fetch: int, prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int, fetch: int, prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None, skip: str | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, distance, shown): filter by said years, rank, rerank, crop and head.
 
     ``queries`` has query_id, query and qvec; ``chunks`` chunk_id, year, text,
@@ -257,9 +264,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int, fetch: int, prefix:
     said = F.col("query")
     dated = F.transform(T.exact_dates(said), lambda s: T.iso_year(s))
     asked = queries.withColumn("years", F.array_distinct(F.concat(T.bare_years(said), dated)))
-    in_year = (F.size("years") == 0) | F.array_contains("years", F.col("year"))
     slim = chunks.select("chunk_id", "year", "embedding")
-    hits = top_k(asked, slim, fetch if score is not None else k, in_year if condition is None else in_year & condition)
+    hits = top_k(asked, slim, fetch if score is not None else k, condition, skip=skip, among=("years", "year"))
     if score is not None:
         hits = rerank(hits, score, k).withColumn("distance", 1 - F.col("rerank_score"))
     rows = hits.select("query_id", "query", "chunk_id", "rank", "distance").join(chunks.drop("embedding"), "chunk_id")

@@ -33,7 +33,7 @@ def _chunks(spark, d):
 def _hits(spark, d, k=20):
     # The range filter stands before the distance, so the scan takes it.
     chunks = _chunks(spark, d).filter(predicate(RANGE, columns={"year": "label"}))
-    return R.top_k(_queries(spark, d), chunks, k, F.col("chunk_id") != F.col("query_id"))
+    return R.top_k(_queries(spark, d), chunks, k, skip="query_id")
 
 
 DIST = "1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) + 1e-9)"
@@ -107,7 +107,7 @@ def _ranked_views(spark, d):
         part = lambda c, at=at, n=n: F.slice(c, at, n)
         q = _queries(spark, d).withColumn("qvec", part("qvec"))
         c = _chunks(spark, d).withColumn("embedding", part("embedding"))
-        got = R.top_k(q, c, 10, F.col("chunk_id") != F.col("query_id")).select("query_id", F.lit(k).alias("source_ord"), "rank", "chunk_id", "distance")
+        got = R.top_k(q, c, 10, skip="query_id").select("query_id", F.lit(k).alias("source_ord"), "rank", "chunk_id", "distance")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -236,7 +236,7 @@ _BY_LABEL = f"""b AS (SELECT query_id, chunk_id, label, distance, row_number() O
 )
 def fan_out(spark, d):
     """Twenty from each of four collections, which the order of sources fuses."""
-    got = R.fan_out(_queries(spark, d), _chunks(spark, d), [3, 1, 4, 5], "label", condition=F.col("chunk_id") != F.col("query_id"))
+    got = R.fan_out(_queries(spark, d), _chunks(spark, d), [3, 1, 4, 5], "label", skip="query_id")
     return got.select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"), F.round("distance", 6).alias("distance"), "rank")
 
 
@@ -323,7 +323,7 @@ def retrieve(spark, d):
     q = _queries(spark, d).withColumn("query", F.when(k % 60 == 0, "3.4.1992 & 1990 The, SUR").when(k % 60 == 20, "und 1993").otherwise("que ing"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace("text", "[0-9]", "#").alias("text"), "source")
     c = _chunks(spark, d).join(docs, "chunk_id").withColumn("year", (F.lit(1990) + F.col("chunk_id") % 5).cast("int"))
-    got = R.retrieve(q, c, 5, 20, [("Kaynak", "source"), ("Yıl", "year")], -(F.col("chunk_id") % 3) - F.col("distance"), F.col("chunk_id") != k)
+    got = R.retrieve(q, c, 5, 20, [("Kaynak", "source"), ("Yıl", "year")], -(F.col("chunk_id") % 3) - F.col("distance"), skip="query_id")
     return got.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"), F.md5("shown").alias("shown"))
 
 
@@ -338,7 +338,7 @@ def retrieve_with_year(spark, d):
     said = _queries(spark, d).withColumn("said", F.format_string("%d yılında ne oldu", F.lit(1990) + F.col("query_id") % 7))
     q = said.withColumn("years", T.bare_years(F.col("said"))).drop("said")
     c = _chunks(spark, d).withColumn("year", (F.lit(1990) + F.col("chunk_id") % 30).cast("int"))
-    got = R.top_k(q, c, 5, F.array_contains("years", F.col("year")) & (F.col("chunk_id") != F.col("query_id")))
+    got = R.top_k(q, c, 5, skip="query_id", among=("years", "year"))
     return got.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"))
 
 

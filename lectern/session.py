@@ -107,5 +107,6 @@ class Session:
     def orchestrate(self, queries: DataFrame, plans: DataFrame, fetch: int = 20, **limits) -> DataFrame:
         """Assembly, evidence and expansion over what a session's plans allow; a query without an allowed plan is refused."""
         mine = self.plans(plans).filter("granted").drop("granted", "reason")
-        hits = R.top_k(queries, self.chunks().filter("embedding is not null"), fetch, by=("collection",)).select("query_id", "collection", "rank", "chunk_id", "document_id")
+        slim = self.chunks().filter("embedding is not null").select("chunk_id", "document_id", "embedding", "collection")
+        hits = R.top_k(queries, slim, fetch, by=("collection",)).select("query_id", "collection", "rank", "chunk_id", "document_id")
         return R.orchestrate(queries, hits, mine, **limits)
