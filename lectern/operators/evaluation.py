@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from lectern.functions import answers as A
 from lectern.functions import text as T
 from lectern.operators import agents as G
 from lectern.operators import metrics as M
+from lectern.operators import nearest
+from lectern.operators.filters import first_rows
 from lectern.operators.retrieval import QUERY_BLOCK
 
 # What a judge scores.
@@ -147,40 +147,37 @@ def regression_mark(regressed: Column) -> Column:
 def window_bench(queries: DataFrame, chunks: DataFrame, relevant: DataFrame, k: int = 10, near: int = 5) -> DataFrame:
     """(max_tokens, mrr, ndcg, precision, avg_cos): the mean scores of each context window.
 
-    ``queries`` (query_id, qvec) are a stated set; ``chunks`` (max_tokens,
-    chunk, vec) hold each window's vectors. ``relevant`` (query_id, chunk) may
-    lack a query, whose nearest chunk then counts as relevant. Relevant chunks
-    are found by their key first, and the best of each goes along with its
-    query, which is broadcast in blocks of ``QUERY_BLOCK``. So no pair of query
-    and chunk is shuffled: a partition leaves a query's best rows and a count
-    of the chunks before its first relevant one.
+    ``queries`` (query_id, qvec) and ``chunks`` (max_tokens, chunk, vec), each
+    window's vectors, meet in cells (:func:`nearest.pairs`). ``relevant``
+    (query_id, chunk) may lack a query, whose nearest chunk then counts as
+    relevant. Relevant chunks are found by their key first, and the best of each
+    goes along with its query, so a cell leaves a query's best rows and a count
+    of the chunks before its first relevant one, and no other pair.
     """
     keys = ["max_tokens", "query_id"]
-    cos = lambda: F.round(T.cosine(F.col("q"), T.doubles(F.col("vec"))), 12)
-    asked = queries.select("query_id", T.doubles(F.col("qvec")).alias("q"))
+    asked = queries.select("query_id", T.doubles(F.col("qvec")).alias("qvec"))
     truth = relevant.groupBy("query_id").agg(F.collect_set("chunk").alias("truth"))
-    met = relevant.distinct().join(asked, "query_id").join(chunks, "chunk").select(*keys, "chunk", cos().alias("cos"))
+    cos = F.round(T.cosine(F.col("qvec"), T.doubles(F.col("vec"))), 12)
+    met = relevant.distinct().join(asked, "query_id").join(chunks, "chunk").select(*keys, "chunk", cos.alias("cos"))
     best = met.groupBy(*keys).agg(F.max(F.struct("cos", (-F.col("chunk")).alias("c"))).alias("best"))
     best = best.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("max_tokens", "best"))).alias("bests"))
-    side = asked.join(truth, "query_id", "left").join(best, "query_id", "left")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = [side if blocks == 1 else side.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    pairs = reduce(DataFrame.unionByName, [chunks.join(F.broadcast(p)) for p in parts]).withColumn("cos", cos()).drop("q", "vec")
-    first = F.try_element_at("bests", F.col("max_tokens"))
-    before = (F.col("cos") > first["cos"]) | ((F.col("cos") == first["cos"]) & (-F.col("chunk") > first["c"]))
-    found = pairs.groupBy(*keys).agg(F.sum(before.cast("int")).alias("n_before"), F.max(F.col("truth").isNull()).alias("own"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("cos"), "chunk")
-    top = pairs.drop("bests").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(k, near))
+    side = asked.join(best, "query_id", "left")
+    vectors = chunks.select("max_tokens", F.col("chunk").alias("chunk_id"), F.col("vec").alias("embedding"))
+    pairs = nearest.pairs(side, vectors, max(k, near), QUERY_BLOCK, ("max_tokens",), counted="bests")
+    pairs = pairs.withColumn("cos", F.round("similarity", 12)).withColumnRenamed("chunk_id", "chunk")
+    every = Window.partitionBy(*keys)
+    ranked = pairs.withColumn("rank", F.row_number().over(every.orderBy(F.desc("cos"), "chunk"))).withColumn("n_before", F.sum("n_before").over(every))
+    top = ranked.filter(F.col("rank") <= max(k, near)).join(truth, "query_id", "left")
     hit = F.when(F.col("truth").isNull(), F.col("rank") == 1).otherwise(F.array_contains("truth", F.col("chunk")))
     gain = F.when(hit & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.lit(1), F.size(F.coalesce("truth", F.array(F.lit(0).cast("long"))))))), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))
     per = top.groupBy(*keys).agg(
         F.sum(gain).alias("dcg"), F.first(ideal).alias("ideal"), F.sum((hit & (F.col("rank") <= near)).cast("int")).alias("hits"),
-        F.avg(F.when(F.col("rank") <= near, F.col("cos"))).alias("near_cos"),
+        F.avg(F.when(F.col("rank") <= near, F.col("cos"))).alias("near_cos"), F.first("n_before").alias("n_before"), F.max(F.col("truth").isNull()).alias("own"),
     )
     # Without a relevant chunk among all there is no place before which to count.
     mrr = F.when(F.col("own"), 1.0).otherwise(F.coalesce(1 / (F.col("n_before") + 1), F.lit(0.0)))
-    scored = per.join(found, keys).withColumn("mrr", mrr)
+    scored = per.withColumn("mrr", mrr)
     return scored.groupBy("max_tokens").agg(
         F.avg("mrr").alias("mrr"), F.avg(F.col("dcg") / F.col("ideal")).alias("ndcg"), F.avg(F.col("hits") / near).alias("precision"), F.avg("near_cos").alias("avg_cos")
     )
