@@ -445,12 +445,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance
     f"WITH {_SESSION_SQL} SELECT query_id, CASE collection WHEN 'press' THEN 'press_clip' ELSE 'tutanak' END AS document_type, vec_id::VARCHAR AS chunk_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 4",
 )
 def session_sql(spark, d):
-    """Collections, their list and the table function, by SQL alone."""
-    _session(spark, d)
-    _queries(spark, d).select("query_id", F.col("qvec").cast("array<double>").alias("v")).createOrReplaceTempView("session_questions")
+    """Collections, their list and the answers to a table of questions, joined by SQL."""
+    _session(spark, d).answer(_queries(spark, d), 4)
     return spark.sql(
-        """SELECT query_id, c.document_type, r.chunk_id, round(r.distance, 6) AS distance, r.rank
-        FROM session_questions AS s, LATERAL retrieve(s.v, 4) AS r JOIN session_collections AS c ON c.name = r.collection"""
+        """SELECT r.query_id, c.document_type, r.chunk_id, round(r.distance, 6) AS distance, r.rank
+        FROM session_answers AS r JOIN session_collections AS c ON c.name = r.collection"""
     )
 
 

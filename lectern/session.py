@@ -2,7 +2,9 @@
 
 Registered collections are temporary views, a further view lists them, and
 ``retrieve(vector, k)`` is a table function over those that the session may
-see, so SQL alone finds, joins and filters what the operators find.
+see, so SQL alone finds, joins and filters what the operators find. The function
+ranks all chunks for each vector; a table of questions is answered at once by
+:meth:`Session.answer`, whose view SQL reads like the function's rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from lectern.sources import ingest
 
 #: What every collection has; further columns may follow and need not be the same.
 COLUMNS = ("chunk_id", "document_id", "text", "embedding")
-ALL, LISTED, FUNCTION = "session_chunks", "session_collections", "retrieve"
+ALL, LISTED, FUNCTION, ANSWERS = "session_chunks", "session_collections", "retrieve", "session_answers"
 
 _DISTANCE = (
     "1 - aggregate(zip_with(v, {f}.q, (a, b) -> a * b), 0D, (s, x) -> s + x) / "
@@ -38,7 +40,7 @@ class Session:
 
     def register(self, name: str, chunks: DataFrame, document_type: str = "custom", weight: float = 1.0) -> None:
         """Add a collection or put another in its place; its view has its name."""
-        if not re.fullmatch(r"[A-Za-z_]\w*", name) or name in (ALL, LISTED):
+        if not re.fullmatch(r"[A-Za-z_]\w*", name) or name in (ALL, LISTED, ANSWERS):
             raise ValueError(f"no name for a collection: {name}")
         lacking = [c for c in COLUMNS if c not in chunks.columns]
         if lacking:
@@ -91,6 +93,20 @@ class Session:
             chunks = P.relaxed(chunks, criteria)
         return R.top_k(queries, chunks.filter("embedding is not null"), k)
 
+    def answer(self, questions: DataFrame, k: int, view: str = ANSWERS) -> DataFrame:
+        """(query_id, collection, chunk_id, document_id, distance, rank): the rows of the table function for each question (query_id, qvec), also as a view.
+
+        Texts stand in the view of all chunks, to be joined by collection and id.
+        """
+        chunks = self.spark.table(ALL).filter("v is not null")
+        # Of equal distances the first collection comes first, then the first id in it.
+        place = F.concat("collection", F.lit("\0"), "chunk_id")
+        slim = chunks.select(place.alias("chunk_id"), F.col("chunk_id").alias("_own"), "document_id", "collection", F.col("v").alias("embedding"))
+        near = R.top_k(questions.select("query_id", "qvec"), slim, k)
+        got = near.select("query_id", "collection", F.col("_own").alias("chunk_id"), "document_id", "distance", "rank")
+        got.createOrReplaceTempView(view)
+        return got
+
     def context(self, queries: DataFrame, k: int, names: list[str] | None = None, max_chars: int = 2_000, most_distance: float = 1.0, total: int = 12_000, criteria: P.Criteria | None = None) -> DataFrame:
         """One context text for each query, from what :meth:`retrieve` finds."""
         ranked = self.retrieve(queries, k, names, criteria).withColumn("source", F.col("collection"))

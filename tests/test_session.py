@@ -71,3 +71,22 @@ def test_plans_of_other_collections_are_refused(spark, at):
     numbered.granted = ["first"]
     got = {r.query_id: r.action for r in numbered.orchestrate(q, plans).collect()}
     assert got["q"] == "refuse" and got["p"] != "refuse"
+
+
+def test_answers_are_the_functions_rows(spark):
+    """A table of questions gets the rows that the function gives each; equal vectors go by collection, then by id."""
+    at = Session(spark, ["alpha", "beta"])
+    rows = [(k, str(k), f"t{k}", [1.0, float(k // 3)]) for k in range(12)]
+    df = spark.createDataFrame(rows, "chunk_id long, document_id string, text string, embedding array<double>")
+    at.register("beta", df)
+    at.register("alpha", df.filter("chunk_id > 4"))
+    at.register("gamma", df)
+    questions = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(4)], "query_id long, qvec array<double>")
+    questions.createOrReplaceTempView("asked")
+    at.answer(questions, 5)
+    columns = "query_id, r.collection, r.chunk_id, r.document_id, round(r.distance, 9), r.rank"
+    want = spark.sql(f"SELECT {columns} FROM asked, LATERAL retrieve(asked.qvec, 5) AS r").collect()
+    got = spark.sql(f"SELECT {columns} FROM session_answers AS r").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 20
+    plan = spark.table("session_answers")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
