@@ -187,3 +187,9 @@ def test_collections_are_opened_or_created(spark, tmp_path):
         ingest.open_collection(spark, root, "e")
     assert ingest.open_collection(spark, root, "e", create=True).count() == 0
     assert [r.chunk_id for r in ingest.open_collection(spark, root, "d", create=True).collect()] == ["2"]
+
+
+@pytest.mark.parametrize(("page", "want"), [("<p>a &amp; b &#60; &#x3e; &eacute;</p>", "a & b < > é"), ("<p>cut &amp", "cut &amp"), ("&ampx &lt &unknown; &", "&ampx &lt &unknown; &"), ("&amp;lt;", "&lt;")])
+def test_references_end_with_a_semicolon(page, want):
+    """What is cut off, or no known name, stays as it stands in the page."""
+    assert [t for _, _, t in html.page_atoms(page)] == [want]
