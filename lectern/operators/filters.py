@@ -136,8 +136,8 @@ def usable_patterns(patterns: list[str]) -> list[str]:
     return out
 
 
-def banned_words(c: Column, words: list[str], patterns: list[str] | None = None, on: bool = True) -> Column:
-    """Distinct banned words among the folded tokens of a text, in order of appearance.
+def banned_words(c: Column, words: list[str], patterns: list[str] | None = None, on: bool = True, repeats: bool = False) -> Column:
+    """Distinct banned words among the folded tokens of a text, in order of appearance; with ``repeats`` every one of them.
 
     The first match of each of ``patterns`` in the folded text comes after
     them, pattern by pattern; patterns are folded as texts are. Switched off, or
@@ -148,12 +148,12 @@ def banned_words(c: Column, words: list[str], patterns: list[str] | None = None,
     parts = []
     if any(words):
         tokens = F.regexp_extract_all(folded, F.lit(r"(?U)\w+"), F.lit(0))
-        parts.append(F.array_intersect(tokens, F.array(*[F.lit(T.folded(w)) for w in words if w])))
+        parts.append(F.filter(tokens, lambda t: t.isin([T.folded(w) for w in words if w])))
     for p in usable_patterns(patterns or []):
         parts.append(F.when(folded.rlike(p), F.array(F.regexp_extract(folded, p, 0))).otherwise(none))
     if not on or not parts:
         return none
-    return F.when(F.coalesce(c, F.lit("")) == "", none).otherwise(F.array_distinct(F.concat(*parts)))
+    return F.when(F.coalesce(c, F.lit("")) == "", none).otherwise(F.concat(*parts) if repeats else F.array_distinct(F.concat(*parts)))
 
 
 def enforce(plan: DataFrame, allowed: DataFrame) -> DataFrame:
