@@ -69,12 +69,13 @@ class ArtifactWriter(DataSourceWriter):
         for row in rows:
             if row["name"] is None or "/" in row["name"]:
                 raise ValueError(f"no name for a file: {row['name']}")
+            content = (row["content"] or "").encode()
             folder = folder_of(row["name"])
-            if folder not in made:
-                store.create_dir(f"{root}/{folder}")
-                made.add(folder)
-            with store.open_output_stream(f"{root}/{folder}/{row['name']}") as out:
-                out.write((row["content"] or "").encode())
+            made.add(folder)
+            place = f"{root}/{folder}/{inner_of(content)}"
+            store.create_dir(place)
+            with store.open_output_stream(f"{place}/{row['name']}") as out:
+                out.write(content)
         return Written(attempt, sorted(made))
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -84,12 +85,14 @@ class ArtifactWriter(DataSourceWriter):
         for m in messages:
             for folder in m.folders if m else []:
                 store, root = _store(m.attempt)
-                final = f"{_store(self.path)[1]}/{folder}"
+                made, final = f"{root}/{folder}", f"{_store(self.path)[1]}/{folder}"
                 store.create_dir(final)
-                there = {f.base_name for f in store.get_file_info(fs.FileSelector(final))}
-                for f in store.get_file_info(fs.FileSelector(f"{root}/{folder}")):
-                    if f.base_name not in there:
-                        store.move(f.path, f"{final}/{f.base_name}")
+                there = {f.path[len(final) :] for f in _files(store, final)}
+                for f in _files(store, made):
+                    at = f.path[len(made) :]
+                    if at not in there:
+                        store.create_dir(f"{final}{at}".rsplit("/", 1)[0])
+                        store.move(f.path, f"{final}{at}")
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -103,6 +106,22 @@ class ArtifactWriter(DataSourceWriter):
             store.delete_dir(root)
 
 
+def _files(store, folder: str) -> list:
+    from pyarrow import fs
+
+    return [f for f in store.get_file_info(fs.FileSelector(folder, recursive=True)) if f.type == fs.FileType.File]
+
+
+def inner_of(content: bytes) -> str:
+    """The folder of a content within its name's: what a name does not say of the content's hash.
+
+    Names hold 32 bits of it, so other contents can have one name.
+    """
+    import hashlib
+
+    return hashlib.sha256(content).hexdigest()[8:]
+
+
 def folder_of(name: str) -> str:
     """The folder of a name, by its hash, so that no folder holds all files."""
     import zlib
@@ -113,16 +132,18 @@ def folder_of(name: str) -> str:
 def write(documents: DataFrame, path: str, ending: str = ".md", source: str = "document_source", content: str = "text") -> DataFrame:
     """Write a file for each document and give (name, path) of each: ``{stem}__{hash[:8]}`` and ``ending``.
 
-    Documents of one name have the start of one hash, so the first of equal
-    names is written; a file that is there stays as it is. Null contents are
-    written as empty ones.
+    Of documents of one name and content one is written, and a file that is
+    there stays as it is. Other contents whose hashes begin alike have folders
+    of their own. Null contents are written as empty ones.
     """
     spark = documents.sparkSession
     spark.dataSource.register(ArtifactSink)
     named = named_artifacts(documents, ending, source, content)
-    named.dropDuplicates(["name"]).write.format("artifacts").mode("append").option("path", path).save()
+    digest = D.file_hash(F.col("content").cast("binary"))
+    once = named.withColumn("digest", digest).dropDuplicates(["name", "digest"]).drop("digest")
+    once.write.format("artifacts").mode("append").option("path", path).save()
     folder = F.lower(F.lpad(F.hex(F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(FOLDERS))), 2, "0"))
-    return named.select("name", F.concat(F.lit(path.rstrip("/") + "/"), folder, F.lit("/"), "name").alias("path"))
+    return named.select("name", F.concat(F.lit(path.rstrip("/") + "/"), folder, F.lit("/"), F.substring(digest, 9, 56), F.lit("/"), "name").alias("path"))
 
 
 def named_artifacts(documents: DataFrame, ending: str, source: str, content: str) -> DataFrame:
@@ -144,7 +165,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 folder = f"{root}/{k:02x}"
                 if store.get_file_info(folder).type == fs.FileType.NotFound:
                     continue
-                for f in store.get_file_info(fs.FileSelector(folder)):
+                for f in _files(store, folder):
                     with store.open_input_stream(f.path) as got:
                         yield pa.RecordBatch.from_arrays([pa.array([f.base_name]), pa.array([got.read().decode()])], names=["name", "content"])
 

@@ -1,5 +1,6 @@
 """Artifacts written once, results computed once, SQLite tables by tasks, and what reports and filters say."""
 
+import hashlib
 import re
 import threading
 import time
@@ -39,6 +40,21 @@ def test_artifacts_are_written_once(spark, tmp_path):
     assert not [p for p in Path(root).iterdir() if p.name.startswith(artifacts.ASIDE)]
 
 
+def test_contents_whose_hashes_begin_alike_are_all_written(spark, tmp_path):
+    root, seen, two = f"{tmp_path}/a", {}, None
+    for k in range(1_000_000):
+        start = hashlib.sha256(str(k).encode()).hexdigest()[:8]
+        if start in seen:
+            two = (str(seen[start]), str(k))
+            break
+        seen[start] = k
+    named = artifacts.write(_docs(spark, ("x/a.pdf", two[0]), ("x/a.pdf", two[1]), ("y/a.pdf", two[1])), root)
+    artifacts.write(_docs(spark, ("x/a.pdf", two[1]), ("x/b.pdf", "else")), root)
+    got = artifacts.read(spark, root).collect()
+    assert sorted(r.content for r in got) == sorted([*two, "else"]) and len({r.name for r in got}) == 2
+    assert {Path(r.path).read_text() for r in named.collect()} == set(two)
+
+
 def test_a_failed_write_leaves_no_artifact(spark, tmp_path):
     root = f"{tmp_path}/a"
     artifacts.write(_docs(spark, ("old", "1")), root)
@@ -191,3 +207,9 @@ def test_ids_go_on_from_the_golden_set(spark):
     old = spark.createDataFrame([("a-001",), ("a-007",), ("ax-1",), ("c-1",)], "id string")
     ids = lambda golden: sorted(r.id for r in reports.with_ids(new, golden, "prefix", "k").collect())
     assert ids(old) == ["a-004", "a-005", "b-001"] and ids(None) == ["a-001", "a-002", "b-001"]
+
+
+def test_banned_words_with_repeats(spark):
+    """Every banned token in order, where the last need not be new."""
+    found = lambda **kw: spark.createDataFrame([("Und sur, und. Thing und",)], "t string").select(P.banned_words(F.col("t"), ["und", "SUR"], ["th[a-z]+g"], **kw).alias("f")).first().f
+    assert found() == ["und", "sur", "thing"] and found(repeats=True) == ["und", "sur", "und", "und", "thing"]
