@@ -172,7 +172,7 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                 if not len(here):
                     continue
                 qi = q.at[tile.start + here]
-                margin = (n + 16) * 1.2e-7
+                margin = (n + 24) * 1.2e-7
                 for b in range(0, len(m), TILE[1]):
                     rows = m[b : b + TILE[1]]
                     ci = c.at[rows]
@@ -188,11 +188,15 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                     odd_q, odd_c = q.odd[n][qi], c.odd[n][ci]
                     strange = odd_q.any() or odd_c.any()
                     if counted:
-                        sure = s - margin > f_cos[here, None]
-                        near = np.abs(s - f_cos[here, None]) <= margin
+                        sure = s > (f_cos[here, None] + margin).astype(np.float32)
+                        near = s >= (f_cos[here, None] - margin).astype(np.float32)
+                        n_before[here] += np.count_nonzero(sure, axis=1)
+                        near ^= sure
                         if strange:
-                            near |= odd_q[:, None] | odd_c[None, :]
-                        n_before[here] += (sure & ~near).sum(axis=1)
+                            # Of these nothing is sure: all are compared.
+                            unsafe = odd_q[:, None] | odd_c[None, :]
+                            n_before[here] -= np.count_nonzero(sure & unsafe, axis=1)
+                            near |= unsafe
                         i, j = np.nonzero(near)
                         exact = _similarities(q, c, n, qi[i], ci[j])
                         np.add.at(n_before, here[i], _ahead(exact, chunk_ids[rows[j]], f_cos[here[i]], f_own[here[i]]))
@@ -202,7 +206,7 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                     if (limit[here] < -2).any() and len(rows) > want:
                         t = np.partition(s, len(rows) - want, axis=1)[:, len(rows) - want]
                         limit[here] = np.maximum(limit[here], t - 2 * margin - CLOSE)
-                    found = s >= limit[here, None]
+                    found = s >= (limit[here, None] - 2e-7).astype(np.float32)
                     if strange:
                         found |= odd_q[:, None] | odd_c[None, :]
                         if hidden is not None:
