@@ -3,7 +3,7 @@
 An Aho-Corasick automaton over the folded vocabulary finds all names of a text
 in one pass, however many names there are. It is built once in each worker from
 a broadcast of checked size; a greater vocabulary goes in blocks that texts pass
-one after the other, so nothing is shuffled.
+one after the other, written in between, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from lectern.functions.text import fold, folded
+from lectern.sources import scratch
 
 #: Bytes of names in one automaton, which takes about a hundred times that in a worker.
 BLOCK_BYTES = 4_000_000
@@ -94,15 +96,24 @@ def find_names(texts: DataFrame, names: DataFrame, text_col: str = "text", block
     kept = [c for c in texts.columns if c not in ("names", "rest", "_found")]
     out = texts.select(*kept).withColumn("_found", F.array().cast(f"array<{_NAME}>"))
     grouped = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "name"))).alias("named"))
+    path = None
     for block in range(blocks):
         part = grouped.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
         # About ``block_bytes`` of names, whatever the vocabulary.
         rows = [(r.key, [(x.kind, x.name) for x in r.named]) for r in part.collect()]
-        out = _passed(out, rows, text_col, last=block == blocks - 1)
+        out, shared = _passed(out, rows, text_col, last=block == blocks - 1)
+        if block < blocks - 1:
+            # Blocks run one after the other, so that a worker holds one automaton however many there are.
+            path, before = scratch.place(texts.sparkSession, "names"), path
+            out.write.parquet(path)
+            out = texts.sparkSession.read.schema(out.schema).parquet(path)
+            shared.destroy()
+            if before:
+                scratch.drop(texts.sparkSession, before)
     return out
 
 
-def _passed(texts: DataFrame, rows: list, text_col: str, last: bool) -> DataFrame:
+def _passed(texts: DataFrame, rows: list, text_col: str, last: bool) -> tuple[DataFrame, Broadcast]:
     shared = texts.sparkSession.sparkContext.broadcast(rows)
     block = str(shared._jbroadcast.id())
     at, found_at = texts.columns.index(text_col), texts.columns.index("_found")
@@ -124,7 +135,7 @@ def _passed(texts: DataFrame, rows: list, text_col: str, last: bool) -> DataFram
             else:
                 yield pa.RecordBatch.from_arrays([*others, pa.array(found, arrow)], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema), shared
 
 
 def criterion(kind: str, names: str = "names") -> Column:

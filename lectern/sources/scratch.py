@@ -17,3 +17,9 @@ def place(spark: SparkSession, tag: str) -> str:
     if not named and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(named or FALLBACK).rstrip('/')}/lectern/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -55,3 +55,12 @@ def test_criteria_of_a_question(spark):
     assert [tuple(r) for r in got] == [("1996'da 'te ne dedi?", "Deniz Baykal", "Milliyet"), ("Baykalcı olmak", None, None)]
     none = N.find_names(df, spark.createDataFrame([], "name string, kind string"))
     assert none.filter(F.size("names") > 0).count() == 0
+
+
+def test_a_worker_holds_one_block_at_a_time(spark):
+    """Whatever the number of blocks, one function over Arrow batches is left in the plan, and all names are found."""
+    words = [f"name{k}" for k in range(40)]
+    texts = spark.createDataFrame([(" ".join(words),), (None,)], "text string")
+    got = N.find_names(texts, spark.createDataFrame([(w, "author") for w in words], "name string, kind string"), block_bytes=100)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(len(r.names or ()) for r in got.collect()) == [0, 40]
