@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by a session on one machine that names no folder.
 FALLBACK = "/tmp/checkpoints"
@@ -19,6 +19,13 @@ def place(spark: SparkSession, tag: str) -> str:
     return f"{(named or FALLBACK).rstrip('/')}/lectern/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write rows that a plan reads more than once to the shared folder and read them back, so they are computed once."""
+    path = place(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
