@@ -9,6 +9,7 @@ from lectern.functions import text as T
 from lectern.operators import nearest
 from lectern.operators import splitting as S
 from lectern.operators.filters import first_rows
+from lectern.sources import scratch
 
 #: Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
@@ -203,9 +204,11 @@ def orchestrate(queries: DataFrame, ranked: DataFrame, plans: DataFrame, per_doc
     ``ranked`` has each collection's hits in rank order and ``plans`` the
     (query_id, collection, priority, retrieval_budget, reserve_budget) that a
     session allows. A query without plans is refused, one without hits is asked
-    to clarify.
+    to clarify. The hits within the budgets are written first, as several
+    steps read them: ``ranked`` runs once, when this is called.
     """
     mine = ranked.join(plans, ["query_id", "collection"]).filter(F.col("rank") <= F.col("retrieval_budget") + F.col("reserve_budget"))
+    mine = scratch.written(mine, "planned")
     first, rest = mine.filter("rank <= retrieval_budget"), mine.filter("rank > retrieval_budget")
     taken = assemble(first, 1 << 30, per_document, total).select("query_id", "position", "chunk_id", "document_id", "collection")
     before = evidence(taken, queries, band=None).select("query_id", F.col("action").alias("asked"), F.col("n").alias("n_primary"))

@@ -18,3 +18,8 @@ def test_both_reports_read_the_same_hits(spark, monkeypatch):
     got = S.within_budget(spark, SMALL)
     assert len(calls) == 1 and _cells(got) == 0
     assert {(r.truncated, r.n) for r in got.groupBy("truncated").agg(F.count("*").alias("n")).collect()} == {(False, 125), (True, 125)}
+
+
+def test_orchestration_ranks_once(spark):
+    assert _cells(S.orchestrated(spark, SMALL)) == 0
+    assert _cells(S.session_orchestrate(spark, SMALL)) == 0
