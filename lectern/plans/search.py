@@ -197,7 +197,7 @@ _STEP = """SELECT s.query_id, s.oi, CASE WHEN ok THEN list_append(docs, s.docume
     SELECT query_id, unnest(ids) AS chunk_id, unnest(colls) AS collection, unnest(range(1, len(ids) + 1)) AS position FROM fin""",
 )
 def expansion(spark, d):
-    p = _pool(spark, d)
+    p = scratch.written(_pool(spark, d), "pool")
     return R.expand(p.filter("rank <= 6"), p.filter("rank > 6"), 2).select("query_id", "chunk_id", "collection", "position")
 
 
@@ -283,7 +283,7 @@ def orchestrated(spark, d):
 
 @query("u13_merge_results", f"WITH {HITS} SELECT query_id, chunk_id FROM hits WHERE rank <= 5 UNION ALL SELECT DISTINCT query_id, chunk_id FROM hits WHERE rank > 5")
 def merge_results(spark, d):
-    h = _hits(spark, d).select("query_id", "chunk_id", "rank")
+    h = scratch.written(_hits(spark, d).select("query_id", "chunk_id", "rank"), "hits")
     return R.merge_results(h.filter("rank <= 5"), h.unionByName(h)).select("query_id", "chunk_id")
 
 

@@ -23,3 +23,8 @@ def test_both_reports_read_the_same_hits(spark, monkeypatch):
 def test_orchestration_ranks_once(spark):
     assert _cells(S.orchestrated(spark, SMALL)) == 0
     assert _cells(S.session_orchestrate(spark, SMALL)) == 0
+
+
+def test_expansion_and_merging_rank_once(spark):
+    assert _cells(S.expansion(spark, SMALL)) == 0
+    assert _cells(S.merge_results(spark, SMALL)) == 0
