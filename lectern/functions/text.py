@@ -19,11 +19,12 @@ ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 def lower_tr(c: Column) -> Column:
     """Lower case by Turkish rules: dotted and dotless i stay apart."""
-    return F.lower(F.translate(c, "İI", "iı"))
+    # Replacing searches bytes; translating would make a string of each character.
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("I"), F.lit("ı")))
 
 
 def upper_tr(c: Column) -> Column:
-    return F.upper(F.translate(c, "iı", "İI"))
+    return F.upper(F.replace(F.replace(c, F.lit("i"), F.lit("İ")), F.lit("ı"), F.lit("I")))
 
 
 def normalize_tr(c: Column) -> Column:

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of chunks that meet a block of queries in one task, and the least worth a task.
-CHUNK_BLOCK, LEAST_BLOCK = 65_536, 2_048
+#: Rows of chunks that meet a block of queries in one task, and the least worth a task; the least queries worth one.
+CHUNK_BLOCK, LEAST_BLOCK, LEAST_QUERIES = 65_536, 2_048, 256
 #: Queries and chunks whose products are held at once; pairs computed at once.
-TILE, PAIRS = (1_024, 4_096), 65_536
+TILE, PAIRS = (256, 16_384), 65_536
 #: Similarities so close may be equal at nine places.
 CLOSE = 1.1e-9
 EPSILON = 1e-9
@@ -274,6 +274,24 @@ def _without(q, c, members, tile, counts, k, ids, own, codes, may):
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
+def layout(n_queries: int, n: int, k: int, query_block: int, tasks: int) -> tuple[int, int]:
+    """Blocks of queries and of chunks: cells for as many tasks as the rows are worth, and of these layouts the one that deals and leaves the fewest rows.
+
+    Each block of queries meets a copy of all chunks, each block of chunks leaves
+    ``k`` rows for every query.
+    """
+    across, down = max(1, -(-n_queries // query_block)), max(1, -(-n // CHUNK_BLOCK))
+    widest = max(across, -(-n_queries // LEAST_QUERIES))
+
+    def shape(d: int) -> tuple[int, int]:
+        return min(widest, max(across, -(-tasks // d))), d
+
+    def cost(s: tuple[int, int]) -> tuple[int, int]:
+        return max(0, tasks - s[0] * s[1]), s[0] * n + s[1] * n_queries * k
+
+    return min((shape(d) for d in range(down, max(down, min(tasks, -(-n // LEAST_BLOCK))) + 1)), key=cost)
+
+
 def pairs(queries: DataFrame, chunks: DataFrame, k: int, query_block: int, by: tuple[str, ...] = (), skip: str | None = None, among: tuple[str, str] | None = None, counted: str | None = None) -> DataFrame:
     """The columns of both sides but the vectors, and ``similarity``: of each pair of blocks the ``k`` nearest rows of each query, and those that may tie with them.
 
@@ -284,9 +302,7 @@ def pairs(queries: DataFrame, chunks: DataFrame, k: int, query_block: int, by: t
     are counted in ``n_before``, at the first of a block's rows for a query (null where the map has none). Vectors of other lengths and null ones have no similarity.
     """
     n_queries, n = queries.count(), chunks.count()
-    across = max(1, -(-n_queries // query_block))
-    tasks = -(-2 * queries.sparkSession.sparkContext.defaultParallelism // across)
-    down = max(1, -(-n // CHUNK_BLOCK), min(tasks, -(-n // LEAST_BLOCK)))
+    across, down = layout(n_queries, n, k, query_block, 2 * queries.sparkSession.sparkContext.defaultParallelism)
     own_q, own_c = F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int"), F.pmod(F.xxhash64("chunk_id"), F.lit(down)).cast("int")
     q = queries.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda b: own_q * down + b)))
     c = chunks.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda b: b * down + own_c)))

@@ -1,7 +1,10 @@
-"""Hits that several steps read are ranked once."""
+"""Hits that several steps read are ranked once; cells are laid out by what they deal and leave."""
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
+from lectern.operators import nearest
+from lectern.operators import retrieval as R
 from lectern.plans import search as S
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,3 +31,20 @@ def test_orchestration_ranks_once(spark):
 def test_expansion_and_merging_rank_once(spark):
     assert _cells(S.expansion(spark, SMALL)) == 0
     assert _cells(S.merge_results(spark, SMALL)) == 0
+
+
+def test_layout_counts_the_rows_that_cells_leave():
+    """Many neighbours: more blocks of queries instead of many blocks of chunks that each leave them all."""
+    across, down = nearest.layout(5_129, 102_564, 150, R.QUERY_BLOCK, 16)
+    assert across * down >= 16 and across * 102_564 + down * 5_129 * 150 < 2_500_000
+    for n_queries, n, k in ((0, 0, 5), (1, 10, 5), (100, 2_000, 20), (30_770, 615_384, 150), (5, 10**6, 20), (10**6, 5, 20)):
+        across, down = nearest.layout(n_queries, n, k, R.QUERY_BLOCK, 16)
+        assert across * R.QUERY_BLOCK >= n_queries and down * nearest.CHUNK_BLOCK >= n and across >= 1 <= down
+
+
+def test_turkish_case_makes_no_string_of_each_character(spark):
+    text = "İIiı ŞĞ ÇÖÜ I'İ! 日本 É"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "x string")
+    lower, upper = T.lower_tr(F.col("x")), T.upper_tr(F.col("x"))
+    assert "translate" not in df.select(lower, upper)._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.select(lower, upper).collect()] == [("iıiı şğ çöü ı'i! 日本 é", "İIİI ŞĞ ÇÖÜ I'İ! 日本 É"), ("", ""), (None, None)]
