@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of five-word shingles, for the pipeline.
 
 Two texts are near copies if their sets of shingles have a similarity of 0.8 or
-more; classes are the connected components. Candidates meet under ``BANDS``
-keys of ``ROWS`` MinHash values each, and every link is checked on the whole
-sets. In each bucket all texts are first compared with the least one, then, in
+more; classes are the connected components. Candidates meet in buckets of two
+kinds: a class of SimHash fingerprints of the sets, linked by the pigeonring of
+:mod:`op1_simhash`, and a key of ``ROWS`` MinHash values, of which a text has
+``BANDS``, as few of the pairs at 0.8 are within the fingerprints' distance.
+Every link is checked on the whole sets. In each bucket all texts are first compared with the least one, then, in
 buckets that are not yet of one class, with the greatest one. In a bucket still
 of several classes after that, the texts outside its greatest class meet its
 members, in blocks that are dealt over tasks, so a bucket's texts link exactly
@@ -48,23 +50,30 @@ def keys(found: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(31))).astype(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles, each counted once, as a signed 64-bit integer."""
+    f = op1_simhash.majority(found.astype(">u8").tobytes())
+    return f - (1 << 64) if f >> 63 else f
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, size, keys) of each row; a node stands for all rows of one text."""
+    """(doc_id, node, size, fp, keys) of each row; a node stands for all rows of one text."""
 
     def run(batches):
         for b in stage.slices(batches, "text"):
-            known: dict[int, tuple[int, np.ndarray]] = {}
+            known: dict[int, tuple[int, int, np.ndarray]] = {}
             out = []
             for node, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if node not in known:
                     found = shingles(t)
-                    known[node] = (len(found), keys(found))
+                    known[node] = (len(found), fingerprint(found), keys(found))
                 out.append(known[node])
-            cols = [b.column(0), b.column(1), pa.array([n for n, _ in out], pa.int32()), pa.array([k for _, k in out], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "size", "keys"])
+            sizes, fps, held = zip(*out, strict=True)
+            cols = [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(held, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "size", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("node"), "text")
-    return stage.map_batches(rows, run, "doc_id long, node long, size int, keys array<long>")
+    return stage.map_batches(rows, run, "doc_id long, node long, size int, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -150,19 +159,33 @@ def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _held(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(node, size, key) of the buckets that each node is in, and the table of SimHash classes that this reads.
+
+    Fingerprints that the pigeonring links have their class's label as a key,
+    others themselves: texts of one fingerprint meet too.
+    """
+    fps = stage.written(nodes.select("fp").distinct(), "fingerprints", n, 16)
+    classes = op1_simhash.components(op1_simhash.links(fps))
+    stage.drop_table(nodes.sparkSession, fps)
+    near = nodes.select("node", "size", "fp").join(classes, "fp", "left")
+    near = near.select("node", "size", F.xxhash64(F.lit("simhash"), F.coalesce("label", "fp")).alias("key"))
+    return nodes.select("node", "size", F.explode("keys").alias("key")).union(near), classes
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that are near copies, enough of them to connect each class.
 
-    ``nodes`` has (node, size, keys, row) with ``row.doc_id`` an id whose row
-    holds the text. Empty tables give no pairs.
+    ``nodes`` has (node, size, fp, keys, row) with ``row.doc_id`` an id whose
+    row holds the text. Empty tables give no pairs.
     """
     spark, n = docs.sparkSession, nodes.count()
     total = _shingles_in(nodes, "size")
-    held = nodes.select("node", "size", F.explode("keys").alias("key"))
+    held, classes = _held(nodes, n)
     ends = held.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lo"), F.max(F.struct("node", "size")).alias("hi"))
     ends = ends.filter("lo.node < hi.node").select("key", F.col("lo.node").alias("lo"), F.col("lo.size").alias("lo_size"), F.col("hi.node").alias("hi"), F.col("hi.size").alias("hi_size"))
-    buckets = stage.written(ends, "buckets", BANDS * n // 2, 40)
-    members = stage.written(held.join(buckets, "key"), "members", BANDS * n, 60)
+    buckets = stage.written(ends, "buckets", (BANDS + 1) * n // 2, 40)
+    members = stage.written(held.join(buckets, "key"), "members", (BANDS + 1) * n, 60)
     most = members.count()
     linked = members.select("node").distinct().join(nodes.select("node", "row.doc_id"), "node")
     sets = stage.written(_sets(docs, linked), "shingles", total, 8)
@@ -173,7 +196,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         rest = _open(rest, edges, most)
     if rest is not None:
         edges = stage.written(edges.union(_across(rest, sets)), "near", 2 * _shingles_in(rest, "size"), 8)
-    stage.drop_table(spark, buckets, members, sets)
+    stage.drop_table(spark, classes, buckets, members, sets)
     return edges
 
 
@@ -189,7 +212,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows, n = _sketches(docs), docs.count()
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id")
-    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(first).alias("row"))
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(first).alias("row"))
     nodes = stage.written(nodes, "nodes", n, 240)
     labels = op1_simhash.components(links(docs, nodes)).withColumnRenamed("fp", "node")
     labelled = nodes.select("node", "row").join(labels, "node", "left")

@@ -49,7 +49,11 @@ def shingle_digests(text: str | None, shingle: int, seed: int = SEED) -> bytes:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit fingerprint of a whole text as an unsigned integer."""
-    raw = shingle_digests(text, shingle, seed)
+    return majority(shingle_digests(text, shingle, seed))
+
+
+def majority(raw: bytes) -> int:
+    """The bits that are set in over half of the 8-byte hashes of ``raw``; zero of none."""
     if len(raw) <= 8:
         return int.from_bytes(raw, "big")
     lanes = _LANES[np.frombuffer(raw, np.uint8)].reshape(-1, 8)

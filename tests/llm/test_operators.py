@@ -152,6 +152,28 @@ def test_pipeline_drops_near_copies_at_five_words(spark, docs, rows):
     assert near_copies.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("one_fingerprint", [False, True])
+def test_pipeline_brings_near_copies_together_by_simhash(spark, one_fingerprint):
+    """Texts without a common MinHash key meet by their fingerprints, be they within two bits or equal; whole sets decide."""
+    r = random.Random(8)
+    made = []
+    for _ in range(5):
+        ws = [f"w{r.randrange(9000)}" for _ in range(800)]
+        made += [" ".join(ws), " ".join([*ws, "tail"]), " ".join(ws).upper()]
+    fps = [near_copies.fingerprint(near_copies.shingles(t)) for t in made]
+    apart = [(fps[k] ^ fps[k + 1]).bit_count() for k in range(0, 15, 3)]
+    assert max(apart) in (1, 2) and all(fps[k] == fps[k + 2] for k in range(0, 15, 3))
+    frame = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    rows = near_copies._sketches(frame).withColumn("keys", F.array("node")).withColumn("row", F.struct("doc_id")).localCheckpoint()
+    assert [x.fp for x in rows.orderBy("doc_id").collect()] == fps
+    nodes = rows.drop("doc_id").withColumn("fp", F.lit(5).cast("long")) if one_fingerprint else rows.drop("doc_id")
+    labels = {x.fp: x.label for x in simhash.components(near_copies.links(frame, nodes)).collect()}
+    classes = {}
+    for x in rows.collect():
+        classes.setdefault(labels.get(x.node), []).append(x.doc_id)
+    assert sorted(map(sorted, classes.values())) == [[k, k + 1, k + 2] for k in range(0, 15, 3)]
+
+
 def test_texts_of_different_classes_in_a_bucket_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 2)
     r = random.Random(5)
