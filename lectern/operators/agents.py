@@ -168,7 +168,7 @@ def expanded_query(query: Column, expansion: Column) -> Column:
 REPORT_DEPTH = (40, 150)
 
 
-def deep_retrieve(queries: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None, skip: str | None = None) -> DataFrame:
+def deep_retrieve(queries: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None, skip: str | None = None, texts: DataFrame | None = None, text: Column | None = None) -> DataFrame:
     """What a deep report reads: a query with its expansion, embedded anew, and many chunks for it.
 
     ``queries`` has query_id, query and expansion; ``embed`` adds qvec to what
@@ -178,7 +178,7 @@ def deep_retrieve(queries: DataFrame, chunks: DataFrame, embed: Callable[[DataFr
     k, fetch = REPORT_DEPTH
     new = (F.coalesce("expansion", F.lit("")) != "") & (F.col("expansion") != F.col("query"))
     asked = queries.withColumn("expanded", F.when(new, F.col("expansion"))).withColumn("query", expanded_query(F.col("query"), F.coalesce("expansion", F.lit(""))))
-    found = R.retrieve(embed(asked.drop("expansion")), chunks, k, fetch, prefix, score, condition, skip)
+    found = R.retrieve(embed(asked.drop("expansion")), chunks, k, fetch, prefix, score, condition, skip, texts, text)
     return found.join(asked.select("query_id", F.col("query").alias("combined"), "expanded"), "query_id")
 
 

@@ -255,14 +255,17 @@ def context(ranked: DataFrame, max_chars: int, most_distance: float, total: int)
     return over.filter("over = 0").groupBy("query_id").agg(F.count("*").alias("n_chunks"), joined.alias("context"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int, fetch: int, prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None, skip: str | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int, fetch: int, prefix: list[tuple[str, str]], score: Column | None = None, condition: Column | None = None, skip: str | None = None, texts: DataFrame | None = None, text: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, distance, shown): filter by said years, rank, rerank, crop and head.
 
-    ``queries`` has query_id, query and qvec; ``chunks`` chunk_id, year, text,
-    embedding and the columns that ``prefix`` (label, column) shows. The years
-    of a query's dates and its bare years restrict its chunks; a query that
-    names none sees all. With ``score`` the ``fetch`` nearest are reranked and
-    the distance is what their score leaves of one. Texts join after ranking.
+    ``queries`` has query_id, query and qvec; ``chunks`` chunk_id, year, embedding
+    and, unless ``texts`` has them by chunk_id, text and the columns that
+    ``prefix`` (label, column) shows. ``text`` makes what is cropped of these,
+    for the rows found alone. The years of a query's dates and its bare years
+    restrict its chunks; a query that names none sees all. With ``score`` the
+    ``fetch`` nearest are reranked and the distance is what their score leaves
+    of one. The rows found are written when this is called, so their size
+    decides how texts join them.
     """
     said = F.col("query")
     dated = F.transform(T.exact_dates(said), lambda s: T.iso_year(s))
@@ -271,6 +274,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int, fetch: int, prefix:
     hits = top_k(asked, slim, fetch if score is not None else k, condition, skip=skip, among=("years", "year"))
     if score is not None:
         hits = rerank(hits, score, k).withColumn("distance", 1 - F.col("rerank_score"))
-    rows = hits.select("query_id", "query", "chunk_id", "rank", "distance").join(chunks.drop("embedding"), "chunk_id")
+    found = scratch.written(hits.select("query_id", "query", "chunk_id", "rank", "distance"), "found")
+    rows = found.join(chunks.drop("embedding") if texts is None else texts, "chunk_id")
+    rows = rows if text is None else rows.withColumn("text", text)
     head = T.prefix_line([(label, F.col(c)) for label, c in prefix])
     return rows.select("query_id", "chunk_id", "rank", "distance", F.concat(head, S.relevant_windows(F.col("text"), said)).alias("shown"))

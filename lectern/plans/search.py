@@ -325,9 +325,11 @@ def retrieve(spark, d):
     """Years from a date and from bare years, rank, rerank, crop to the words asked for and head."""
     k = F.col("query_id")
     q = _queries(spark, d).withColumn("query", F.when(k % 60 == 0, "3.4.1992 & 1990 The, SUR").when(k % 60 == 20, "und 1993").otherwise("que ing"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.regexp_replace("text", "[0-9]", "#").alias("text"), "source")
-    c = _chunks(spark, d).join(docs, "chunk_id").withColumn("year", (F.lit(1990) + F.col("chunk_id") % 5).cast("int"))
-    got = R.retrieve(q, c, 5, 20, [("Kaynak", "source"), ("Yıl", "year")], -(F.col("chunk_id") % 3) - F.col("distance"), skip="query_id")
+    year = (F.lit(1990) + F.col("chunk_id") % 5).cast("int")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source").withColumn("year", year)
+    c = _chunks(spark, d).join(docs.select("chunk_id"), "chunk_id").withColumn("year", year)
+    score, shown = -(F.col("chunk_id") % 3) - F.col("distance"), F.regexp_replace("text", "[0-9]", "#")
+    got = R.retrieve(q, c, 5, 20, [("Kaynak", "source"), ("Yıl", "year")], score, skip="query_id", texts=docs, text=shown)
     return got.select("query_id", "chunk_id", "rank", F.round("distance", 6).alias("distance"), F.md5("shown").alias("shown"))
 
 

@@ -33,6 +33,28 @@ def test_expansion_and_merging_rank_once(spark):
     assert _cells(S.merge_results(spark, SMALL)) == 0
 
 
+def test_retrieval_ranks_without_texts_and_joins_them_to_what_it_found(spark, monkeypatch):
+    """Texts are joined and changed for the rows found alone, which are written before."""
+    sides = []
+    monkeypatch.setattr(nearest, "pairs", lambda q, c, *a, f=nearest.pairs: sides.append(c) or f(q, c, *a))
+    got = S.retrieve(spark, SMALL)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert _cells(got) == 0 and len(sides) == 1
+    assert "text" not in sides[0].columns and "[0-9]" not in sides[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.index("[0-9]") < plan.index("Join Inner") and "embedding" not in plan
+
+
+def test_retrieval_of_texts_apart_equals_texts_beside_vectors(spark):
+    chunks = spark.range(30).select(F.col("id").alias("chunk_id"), (F.lit(1990) + F.col("id") % 3).cast("int").alias("year"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    texts = spark.range(60).select(F.col("id").alias("chunk_id"), F.concat(F.lit("çay 7 "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("source"))
+    asked = spark.createDataFrame([(1, "çay 1991", [1.0, 0.0]), (2, "çay", [0.0, 1.0])], "query_id int, query string, qvec array<double>")
+    masked = F.regexp_replace("text", "7", "#")
+    rows = lambda *a, **b: sorted(tuple(r) for r in R.retrieve(asked, *a, 4, 9, [("Kaynak", "source")], -F.col("distance"), **b).collect())
+    apart = rows(chunks, texts=texts, text=masked)
+    assert apart == rows(chunks.join(texts.withColumn("text", masked), "chunk_id")) and len(apart) == 8
+    assert all("çay # " in r[4] for r in apart) and {r[1] % 3 for r in apart if r[0] == 1} == {1}
+
+
 def test_layout_counts_the_rows_that_cells_leave():
     """Many neighbours: more blocks of queries instead of many blocks of chunks that each leave them all."""
     across, down = nearest.layout(5_129, 102_564, 150, R.QUERY_BLOCK, 16)
