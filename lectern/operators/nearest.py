@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 CHUNK_BLOCK, LEAST_BLOCK, LEAST_QUERIES = 65_536, 2_048, 256
 #: Queries and chunks whose products are held at once; pairs computed at once.
 TILE, PAIRS = (256, 16_384), 65_536
+#: The least queries that see the same values and get tiles of their own.
+ALIKE = 64
 #: Similarities so close may be equal at nine places.
 CLOSE = 1.1e-9
 EPSILON = 1e-9
@@ -102,6 +104,31 @@ def _allowed(queries: pa.Table, chunks: pa.Table, among: tuple[str, str] | None)
     return codes, seen
 
 
+def _tiles(queries: pa.Table, among: tuple[str, str] | None) -> tuple[pa.Table, list[tuple[range, int]]]:
+    """The queries in tiles: many that see the same values stand together under a number, the others under -1."""
+
+    def cut(a: int, b: int, run: int) -> list[tuple[range, int]]:
+        return [(range(x, min(x + TILE[0], b)), run) for x in range(a, b, TILE[0])]
+
+    if among is None or not queries.num_rows:
+        return queries, cut(0, queries.num_rows, -1)
+    numbers: dict = {}
+    run = np.array([numbers.setdefault(None if v is None else frozenset(v), len(numbers)) for v in queries[among[0]].to_pylist()], np.int64)
+    run[np.bincount(run)[run] < ALIKE] = -1
+    order = np.argsort(run, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(run[order])) + 1, len(order)]
+    return queries.take(pa.array(order)), [t for a, b in zip(starts[:-1], starts[1:], strict=True) for t in cut(int(a), int(b), int(run[order[a]]))]
+
+
+def _where(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true places of a table that has few, looking at eight places at once."""
+    flat = np.ascontiguousarray(found).ravel()
+    whole = len(flat) // 8 * 8
+    near = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    at = np.r_[near[flat[near]], whole + np.flatnonzero(flat[whole:])]
+    return np.divmod(at, max(1, found.shape[1]))
+
+
 def _first(q: np.ndarray, s: np.ndarray, j: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs by query and falling similarity: the first ``k`` of each and those that rounding could bring among them; and the queries' ``k``-th."""
     down = np.where(np.isnan(s), np.inf, -s)
@@ -138,6 +165,7 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
     """The best pairs of two blocks, all columns but the vectors beside ``similarity``; with ``counted`` also ``n_before``."""
     order = pc.sort_indices(chunks, sort_keys=[("chunk_id", "ascending")])
     chunks = chunks.take(order)
+    queries, tiles = _tiles(queries, among)
     q, c = _Side(queries["qvec"]), _Side(chunks["embedding"])
     groups, (codes, seen) = _codes(chunks, by), _allowed(queries, chunks, among)
     ids = _codes(chunks, ["chunk_id"])
@@ -155,9 +183,13 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
         by_length = {n: members[c.length[members] == n] for n in c.rows}
         by_length = {n: m if counted else _once(c, n, m, codes, want) for n, m in by_length.items() if len(m)}
         value = chunks[by[0]][int(members[0])].as_py() if counted else None
-        for a in range(0, queries.num_rows, TILE[0]):
-            tile = range(a, min(a + TILE[0], queries.num_rows))
+        held = None
+        for tile, run in tiles:
             may = seen(tile) if seen else None
+            if run != held:
+                # What all of a run may see is left to them beforehand; the others' tiles hide what each may not.
+                held, mine = run, by_length if run < 0 else {n: m[may[0][codes[m]]] for n, m in by_length.items()}
+                units = {n: c.units[n][c.at[m]] for n, m in mine.items()}
             at, sim, row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
             limit = np.full(len(tile), -np.finfo(np.float32).max, np.float64)
             if counted:
@@ -167,7 +199,7 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                 f_own = np.array([-1 if f is None else -f["c"] for f in firsts], np.int64)
                 n_before = np.zeros(len(tile), np.int64)
                 chunk_ids = chunks["chunk_id"].to_numpy()
-            for n, m in by_length.items():
+            for n, m in mine.items():
                 here = np.flatnonzero(q.length[tile.start : tile.stop] == n)
                 if not len(here):
                     continue
@@ -176,13 +208,13 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                 for b in range(0, len(m), TILE[1]):
                     rows = m[b : b + TILE[1]]
                     ci = c.at[rows]
-                    s = q.units[n][qi] @ c.units[n][ci].T
+                    s = q.units[n][qi] @ units[n][b : b + TILE[1]].T
                     norms, lengths = q.norms[n][qi], c.norms[n][ci]
                     with np.errstate(all="ignore"):
                         if min(np.min(norms, where=norms > 0, initial=np.inf), 1e9) * min(np.min(lengths, where=lengths > 0, initial=np.inf), 1e9) < 1e-2:
                             both = norms[:, None] * lengths
                             s *= (both / (both + EPSILON)).astype(np.float32)
-                    hidden = None if may is None else ~may[here][:, codes[rows]]
+                    hidden = None if may is None or run >= 0 else ~may[here][:, codes[rows]]
                     if hidden is not None:
                         s[hidden] = -np.inf
                     odd_q, odd_c = q.odd[n][qi], c.odd[n][ci]
@@ -197,7 +229,7 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                             unsafe = odd_q[:, None] | odd_c[None, :]
                             n_before[here] -= np.count_nonzero(sure & unsafe, axis=1)
                             near |= unsafe
-                        i, j = np.nonzero(near)
+                        i, j = _where(near)
                         exact = _similarities(q, c, n, qi[i], ci[j])
                         np.add.at(n_before, here[i], _ahead(exact, chunk_ids[rows[j]], f_cos[here[i]], f_own[here[i]]))
                     if strange:
@@ -211,7 +243,7 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                         found |= odd_q[:, None] | odd_c[None, :]
                         if hidden is not None:
                             found &= ~hidden
-                    i, j = np.nonzero(found)
+                    i, j = _where(found)
                     if own is not None:
                         other = ids[rows[j]] != own[tile.start + here[i]]
                         i, j = i[other], j[other]
@@ -221,7 +253,7 @@ def _cell(queries: pa.Table, chunks: pa.Table, k: int, by: list[str], skip: str
                     at, sim, row, last = _first(np.r_[at, here[i]], np.r_[sim, exact], np.r_[row, rows[j]], place, k)
                     limit[at] = np.maximum(limit[at], np.where(np.isfinite(last), -last - margin - CLOSE, limit[at]))
             unknown = _without(q, c, members, tile, np.bincount(at, minlength=len(tile)), k, ids, own, codes, may)
-            left.append(np.r_[at, unknown[0]] + a)
+            left.append(np.r_[at, unknown[0]] + tile.start)
             right.append(np.r_[row, unknown[1]])
             scores.append(np.r_[sim, np.full(len(unknown[0]), np.inf)])
             if counted:

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,37 @@ def test_counts_before_the_first_relevant(spark, monkeypatch):
     monkeypatch.setattr(nearest, "TILE", (4, 3))
     got = E.window_bench(queries, chunks, relevant).orderBy("max_tokens").collect()
     assert [r.mrr for r in got] == [pytest.approx(1 / 3)] * 2
+
+
+@pytest.mark.parametrize(("alike", "tile"), [(1, (16, 64)), (5, (7, 11)), (12, (1024, 4096)), (1000, (16, 9))])
+def test_queries_that_see_the_same_values_share_tiles(spark, monkeypatch, alike, tile):
+    """Tiles of queries that see the same, tiles that hide what each may not see, and both beside each other."""
+    monkeypatch.setattr(nearest, "TILE", tile)
+    monkeypatch.setattr(nearest, "ALIKE", alike)
+    queries, chunks = _rows(11)
+    queries += [(q, v, own, years) for q, (_, v, own, years) in enumerate(queries, 1000) if years in ([], [1])]
+    q = spark.createDataFrame(queries, "query_id long, qvec array<double>, own long, years array<int>")
+    c = spark.createDataFrame(chunks, "chunk_id long, embedding array<double>, label string, year int")
+    got = R.top_k(q, c, 6, skip="own", among=("years", "year"))
+    assert sorted(((r.query_id, r.chunk_id, r.label, r["rank"]) for r in got.collect()), key=str) == _plain(queries, chunks, 6, False)
+
+
+def test_pairs_that_no_query_may_see_are_not_multiplied(monkeypatch):
+    """Of ten years each query sees one: a tenth of all pairs is compared."""
+    n, compared = 2_000, []
+    monkeypatch.setattr(nearest, "_where", lambda found, f=nearest._where: compared.append(found.size) or f(found))
+    vectors = pa.array(np.random.default_rng(3).normal(size=(n, 4)).tolist(), pa.list_(pa.float64()))
+    chunks = pa.table({"chunk_id": range(n), "year": [k % 10 for k in range(n)], "embedding": vectors})
+    queries = pa.table({"query_id": range(n), "years": [[k // 7 % 10] for k in range(n)], "qvec": vectors})
+    got = nearest._cell(queries, chunks, 3, [], "query_id", ("years", "year"), None)
+    assert sum(compared) <= n * n // 10
+    assert got.num_rows == 3 * n and all(q // 7 % 10 == y for q, y in zip(got["query_id"].to_pylist(), got["year"].to_pylist(), strict=True))
+
+
+def test_true_places_of_a_table():
+    rnd = np.random.default_rng(5)
+    for shape in ((0, 3), (1, 1), (3, 5), (4, 16), (7, 33)):
+        for share in (0, 0.1, 1):
+            found = rnd.random(shape) < share
+            for table in (found, found[:, ::2]):
+                assert [x.tolist() for x in nearest._where(table)] == [x.tolist() for x in np.nonzero(table)]
