@@ -2,17 +2,17 @@
 
 An Aho-Corasick automaton over the folded vocabulary finds all names of a text
 in one pass, however many names there are. It is built once in each worker from
-a broadcast of checked size; a greater vocabulary goes in blocks that texts pass
-one after the other, written in between, so nothing is shuffled.
+a broadcast of checked size. A greater vocabulary is joined with the phrases of
+each text that have as many words as a name, so work is linear in both.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -20,8 +20,10 @@ from pyspark.sql import types as Y
 from lectern.functions.text import fold, folded
 from lectern.sources import scratch
 
-#: Bytes of names in one automaton, which takes about a hundred times that in a worker.
+#: Bytes of names in an automaton, which takes about a hundred times that in a worker.
 BLOCK_BYTES = 4_000_000
+#: Phrases of texts that a worker passes on at once.
+PHRASES = 200_000
 _NAME = "struct<kind:string,name:string,start:int,end:int>"
 _WORD = re.compile(r"\w+")
 _built: dict[str, object] = {}
@@ -37,7 +39,7 @@ def _automaton(block: str, held: list[tuple[str, list[tuple[str, str]]]]):
     if block not in _built:
         import ahocorasick
 
-        _built.clear()  # one block at a time
+        _built.clear()  # one vocabulary at a time
         made = ahocorasick.Automaton()
         for key, named in held:
             made.add_word(f" {key} ", (len(key), named))
@@ -90,52 +92,76 @@ def find_names(texts: DataFrame, names: DataFrame, text_col: str = "text", block
     Names and texts meet folded, by whole words; places are those in the text.
     Null texts have no names and no rest. Columns of these names are replaced.
     """
-    held = _vocabulary(names)
+    held = scratch.written(_vocabulary(names), "vocabulary")
     size = held.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("name")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    kept = [c for c in texts.columns if c not in ("names", "rest", "_found")]
-    out = texts.select(*kept).withColumn("_found", F.array().cast(f"array<{_NAME}>"))
+    kept = texts.select(*[c for c in texts.columns if c not in ("names", "rest", "_found", "_row")])
     grouped = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("kind", "name"))).alias("named"))
-    path = None
-    for block in range(blocks):
-        part = grouped.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
-        # About ``block_bytes`` of names, whatever the vocabulary.
-        rows = [(r.key, [(x.kind, x.name) for x in r.named]) for r in part.collect()]
-        out, shared = _passed(out, rows, text_col, last=block == blocks - 1)
-        if block < blocks - 1:
-            # Blocks run one after the other, so that a worker holds one automaton however many there are.
-            path, before = scratch.place(texts.sparkSession, "names"), path
-            out.write.parquet(path)
-            out = texts.sparkSession.read.schema(out.schema).parquet(path)
-            shared.destroy()
-            if before:
-                scratch.drop(texts.sparkSession, before)
+    if size > block_bytes:
+        return _joined(kept, grouped, text_col)
+    # No more than ``block_bytes`` of names.
+    rows = [(r.key, [(x.kind, x.name) for x in r.named]) for r in grouped.collect()]
+    shared = texts.sparkSession.sparkContext.broadcast(rows)
+    block = str(shared._jbroadcast.id())
+
+    def find(text: str, _) -> list[dict]:
+        return _matches(_automaton(block, shared.value), text) if shared.value else []
+
+    return _named(kept.withColumn("_found", F.lit(None).cast("int")), text_col, find)
+
+
+def _joined(texts: DataFrame, grouped: DataFrame, text_col: str) -> DataFrame:
+    """The names of texts by a join of their phrases with the vocabulary; rows are numbered, and the numbers written."""
+    numbered = scratch.written(texts.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    lengths = sorted(r.n for r in grouped.select(F.size(F.split("key", " ")).alias("n")).distinct().collect())
+
+    def phrases(batches):
+        for b in batches:
+            rows, keys = [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = _WORD.findall(folded(text))
+                said = {" ".join(words[k : k + n]) for n in lengths for k in range(len(words) - n + 1)}
+                rows += [row] * len(said)
+                keys += said
+                if len(keys) >= PHRASES:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.string())], names=["_row", "key"])
+                    rows, keys = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.string())], names=["_row", "key"])
+
+    said = numbered.select("_row", text_col).filter(F.col(text_col).isNotNull()).mapInArrow(phrases, "_row long, key string")
+    found = scratch.written(said.join(grouped, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "named")).alias("_found")), "found")
+    return _named(numbered.join(found, "_row", "left").drop("_row"), text_col, _places)
+
+
+def _places(text: str, found: list[dict] | None) -> list[dict]:
+    """All names of those that a text is known to hold, with their places in it."""
+    held = {f["key"]: f["named"] for f in found or ()}
+    plain = folded(text) if held else ""
+    words = [(m.start(), m.end()) for m in _WORD.finditer(plain)]
+    shown = [plain[s:e] for s, e in words]
+    out = []
+    for n in {key.count(" ") + 1 for key in held}:
+        for k in range(len(words) - n + 1):
+            for m in held.get(" ".join(shown[k : k + n]), ()):
+                out.append({"kind": m["kind"], "name": m["name"], "start": words[k][0], "end": words[k + n - 1][1]})
     return out
 
 
-def _passed(texts: DataFrame, rows: list, text_col: str, last: bool) -> tuple[DataFrame, Broadcast]:
-    shared = texts.sparkSession.sparkContext.broadcast(rows)
-    block = str(shared._jbroadcast.id())
+def _named(texts: DataFrame, text_col: str, find: Callable[[str, list | None], list[dict]]) -> DataFrame:
+    """``texts`` with ``names`` and ``rest`` instead of ``_found``, by a function of a text and that."""
     at, found_at = texts.columns.index(text_col), texts.columns.index("_found")
     fields = [f for f in texts.schema.fields if f.name != "_found"]
-    kind = texts.schema["_found"].dataType
-    schema = Y.StructType([*fields, *([Y.StructField("names", kind), Y.StructField("rest", Y.StringType())] if last else [Y.StructField("_found", kind)])])
+    schema = Y.StructType([*fields, Y.StructField("names", Y._parse_datatype_string(f"array<{_NAME}>")), Y.StructField("rest", Y.StringType())])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            automaton = _automaton(block, shared.value) if shared.value else None
             said = b.column(at).to_pylist()
-            found = [old + (_matches(automaton, t) if t and automaton else []) for t, old in zip(said, b.column(found_at).to_pylist(), strict=True)]
+            found = [longest_first(find(t, f)) if t else [] for t, f in zip(said, b.column(found_at).to_pylist(), strict=True)]
+            rest = [None if t is None else _rest(t, f) for t, f in zip(said, found, strict=True)]
             others = [c for k, c in enumerate(b.columns) if k != found_at]
-            if last:
-                found = [longest_first(f) for f in found]
-                rest = [None if t is None else _rest(t, f) for t, f in zip(said, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(found, arrow), pa.array(rest, pa.string())], names=schema.names)
-            else:
-                yield pa.RecordBatch.from_arrays([*others, pa.array(found, arrow)], names=schema.names)
-
-    return texts.mapInArrow(run, schema), shared
+            yield pa.RecordBatch.from_arrays([*others, pa.array(found, arrow), pa.array(rest, pa.string())], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
 
 
 def criterion(kind: str, names: str = "names") -> Column:

@@ -55,3 +55,21 @@ def test_outliers_so_far_at_exactly_the_limit(spark, tmp_path):
     assert oracle.compare(spark, con, name, __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name], str(tmp_path)) == ""
     exact = Q.outliers_so_far(df.filter("user_id > 2"), "user_id", "value", "event_id")
     assert exact.filter(F.col("outlier")).count() != __spark_entry__.queries()[name](spark, str(tmp_path)).filter("outlier and event_id >= 300").count()
+
+
+def test_names_of_a_large_vocabulary_read_texts_once(spark, monkeypatch):
+    """However many times a vocabulary exceeds one automaton, texts are not passed on block by block."""
+    from lectern.operators import names as N
+    from lectern.sources import scratch
+
+    placed = []
+    place = scratch.place
+    monkeypatch.setattr(scratch, "place", lambda s, tag: placed.append(tag) or place(s, tag))
+    words = [f"n{k}" for k in range(60)]
+    texts = spark.createDataFrame([(k, " ".join(words[k:] + ["zz"])) for k in range(30)] + [(30, None), (31, "")], "i int, text string")
+    got = {}
+    for size in (60, 1_000_000):
+        placed.clear()
+        got[size] = sorted(N.find_names(texts, spark.createDataFrame([(" ".join(words[k : k + 1 + k % 2]), "author") for k in range(59)], "name string, kind string"), block_bytes=size).collect(), key=lambda r: r.i)
+        assert len(placed) <= 3
+    assert got[60] == got[1_000_000] and len(got[60][0].names) > 29
