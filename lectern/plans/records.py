@@ -154,8 +154,9 @@ def merged_metadata(spark, d):
     document = F.create_map(F.lit("topics"), F.col("o_orderpriority"), F.lit("period"), F.lit(None).cast("string"))
     fallback = F.create_map(F.lit("author"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")))
     extra = F.create_map(F.lit("extra"), F.lit("lost"), F.lit("topics"), F.lit("lost"))
-    m = table(spark, d, "orders").select(k.alias("k"), D.merged(D.canonical(raw), document, fallback, extra).alias("m"))
-    return m.select("k", *[F.try_element_at("m", F.lit(c)).alias(c) for c in ("year", "source_name", "date", "author", "topics", "extra")])
+    # A generated row computes the map once for all of its columns.
+    fields = lambda m: F.struct(*[F.try_element_at(m, F.lit(c)).alias(c) for c in ("year", "source_name", "date", "author", "topics", "extra")])
+    return table(spark, d, "orders").select(k.alias("k"), F.inline(F.transform(F.array(D.merged(D.canonical(raw), document, fallback, extra)), fields)))
 
 
 @query(

@@ -73,3 +73,10 @@ def test_names_of_a_large_vocabulary_read_texts_once(spark, monkeypatch):
         got[size] = sorted(N.find_names(texts, spark.createDataFrame([(" ".join(words[k : k + 1 + k % 2]), "author") for k in range(59)], "name string, kind string"), block_bytes=size).collect(), key=lambda r: r.i)
         assert len(placed) <= 3
     assert got[60] == got[1_000_000] and len(got[60][0].names) > 29
+
+
+def test_metadata_maps_are_computed_once(spark):
+    """Naming a map in several places of an expression must not multiply what is computed for a row."""
+    name = "f9_f11_metadata"
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_concat(") <= 6 and plan.count("o_orderpriority") < 10
