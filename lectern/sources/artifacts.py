@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,10 @@ from lectern.sources.reports import artifact_name
 #: Files that one listing entry of the driver names; a folder holds the names that begin alike.
 FOLDERS = 256
 ASIDE = "_making"
+#: Folders whose files the driver moves at once.
+MOVERS = 16
+#: Characters of contents that are read at once.
+READ_CHARS = 4_000_000
 
 
 def _store(uri: str):
@@ -61,40 +66,54 @@ class ArtifactWriter(DataSourceWriter):
         self.aside = f"{self.path}/{ASIDE}-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> Written:
+        from pyarrow import fs
         from pyspark import TaskContext
 
         attempt = f"{self.aside}/{TaskContext.get().taskAttemptId()}"
         store, root = _store(attempt)
+        final = _store(self.path)[1]
         made: set[str] = set()
         for row in rows:
             if row["name"] is None or "/" in row["name"]:
                 raise ValueError(f"no name for a file: {row['name']}")
             content = (row["content"] or "").encode()
             folder = folder_of(row["name"])
+            at = f"{folder}/{inner_of(content)}"
+            if store.get_file_info(f"{final}/{at}/{row['name']}").type == fs.FileType.File:
+                continue
             made.add(folder)
-            place = f"{root}/{folder}/{inner_of(content)}"
+            place = f"{root}/{at}"
             store.create_dir(place)
             with store.open_output_stream(f"{place}/{row['name']}") as out:
                 out.write(content)
         return Written(attempt, sorted(made))
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Move what successful tasks wrote, folder by folder: the driver holds names, never contents."""
-        from pyarrow import fs
-
+        """Move what successful tasks wrote, some folders at once: the driver holds their names, never contents."""
+        made: dict[str, list[str]] = {}
         for m in messages:
             for folder in m.folders if m else []:
-                store, root = _store(m.attempt)
-                made, final = f"{root}/{folder}", f"{_store(self.path)[1]}/{folder}"
-                store.create_dir(final)
-                there = {f.path[len(final) :] for f in _files(store, final)}
-                for f in _files(store, made):
-                    at = f.path[len(made) :]
-                    if at not in there:
-                        store.create_dir(f"{final}{at}".rsplit("/", 1)[0])
-                        store.move(f.path, f"{final}{at}")
+                made.setdefault(folder, []).append(m.attempt)
+        with ThreadPoolExecutor(MOVERS) as pool:
+            for _ in pool.map(self._move, made, made.values()):
+                pass
         self._clear()
 
+    def _move(self, folder: str, attempts: list[str]) -> None:
+        """A folder's files of all tasks; what is in place is listed once."""
+        store, root = _store(self.path)
+        final = f"{root}/{folder}"
+        store.create_dir(final)
+        there = {f.path[len(final) :] for f in _files(store, final)}
+        for attempt in attempts:
+            made = f"{_store(attempt)[1]}/{folder}"
+            for f in _files(store, made):
+                at = f.path[len(made) :]
+                if at not in there:
+                    there.add(at)
+                    store.create_dir(f"{final}{at}".rsplit("/", 1)[0])
+                    store.move(f.path, f"{final}{at}")
+
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
 
@@ -165,8 +184,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 folder = f"{root}/{k:02x}"
                 if store.get_file_info(folder).type == fs.FileType.NotFound:
                     continue
+                names, contents, size = [], [], 0
                 for f in _files(store, folder):
                     with store.open_input_stream(f.path) as got:
-                        yield pa.RecordBatch.from_arrays([pa.array([f.base_name]), pa.array([got.read().decode()])], names=["name", "content"])
+                        names.append(f.base_name)
+                        contents.append(got.read().decode())
+                    size += len(contents[-1])
+                    if size >= READ_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.string())], names=["name", "content"])
+                        names, contents, size = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.string())], names=["name", "content"])
 
     return spark.range(FOLDERS).repartition(32).mapInArrow(run, "name string, content string")

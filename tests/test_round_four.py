@@ -80,3 +80,25 @@ def test_metadata_maps_are_computed_once(spark):
     name = "f9_f11_metadata"
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("map_concat(") <= 6 and plan.count("o_orderpriority") < 10
+
+
+def test_commit_lists_what_is_in_place_once(tmp_path, monkeypatch):
+    """Not once for each task, which grew as the square of the files; of two tasks' files of one name the first stays."""
+    from pathlib import Path
+
+    from lectern.sources import artifacts
+
+    sink = artifacts.ArtifactWriter(f"{tmp_path}/a")
+    for task in range(5):
+        for folder in ("00", "01"):
+            for name in (f"f{task}.md", "same.md"):
+                at = Path(f"{sink.aside}/{task}/{folder}/inner{name[1]}/{name}")
+                at.parent.mkdir(parents=True)
+                at.write_text(str(task))
+    listed = []
+    files = artifacts._files
+    monkeypatch.setattr(artifacts, "_files", lambda store, folder: listed.append(folder) or files(store, folder))
+    sink.commit([artifacts.Written(f"{sink.aside}/{task}", ["00", "01"]) for task in range(5)] + [None])
+    assert sorted(f for f in listed if artifacts.ASIDE not in f) == [f"{tmp_path}/a/00", f"{tmp_path}/a/01"]
+    assert sorted(p.name for p in Path(f"{tmp_path}/a/01").rglob("*.md")) == [*(f"f{k}.md" for k in range(5)), "same.md"]
+    assert Path(f"{tmp_path}/a/00/innera/same.md").read_text() == "0" and not Path(sink.aside).exists()
